@@ -1,0 +1,9 @@
+"""Registered queries."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
