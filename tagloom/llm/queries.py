@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, pii, piece_codec, topk
+from . import html_extract, langid, license_scan, packing, pii, piece_codec, quality, topk
 from .common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     known = langid.profiles(docs.filter(~langid.held_out()))
@@ -29,6 +33,10 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digest(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("d2")
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -37,10 +45,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_language_id, op3_pii, op4_piece_codec, op6_exact_topk, op7_best_fit_packing)
+    named = (op1_html_extraction, op2_language_id, op3_pii, op4_piece_codec, op5_quality_rules, op6_exact_topk, op7_best_fit_packing, op9_license_scan)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": topk.SQL}
+    return {"op6_exact_topk": topk.SQL, "op9_license_scan": license_scan.sql()}
