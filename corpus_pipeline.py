@@ -1,28 +1,61 @@
-"""The corpus pipeline: quality rules, near-duplicates, repeated passages, personal data, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, personal data, packing.
+
+Each stage works on all that its predecessor kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagloom.llm import packing, pii
+from tagloom.llm import neardup, packing, pii, quality, suffix_dedup
+from tagloom.llm.common import written
 from tagloom.llm.queries import WORD_TOKENIZER
 
 
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the fixed limits or lie far from their language and source go."""
+    return quality.filtered(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one of the smallest doc_id."""
+    return neardup.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes or more that occur elsewhere too are cut out."""
+    return _recounted(suffix_dedup.deduplicated(docs))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redacted(docs)
+    """Personal data, disguised or not, gives way to its kind in brackets."""
+    return _recounted(pii.redacted(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, packed into sequences."""
     return packing.pack(docs, WORD_TOKENIZER)
 
 
-STAGES = [("pii", personal_data), ("packing", pack)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_neardup", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("pii", personal_data),
+    ("best_fit_packing", pack),
+]
 
+#: No SQL has signatures' candidates, robust estimates or packing; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -196,8 +196,8 @@ def _across(regions: DataFrame, labels: DataFrame, signatures: DataFrame, agree:
     return listed.union(tiled).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, agree: int = 79) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): components of documents linked at `percent` similarity of shingle sets.
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, agree: int = 79) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): components of documents linked at `percent` similarity of their sets of `size`-word shingles.
 
     `agree` columns of 128 must agree before sets are compared; a pair at 80 % fails that, or misses two common
     regions, about once in a million. Null texts and texts without words have no shingles and link with nothing,
@@ -227,6 +227,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, agree: in
     return member.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows without those documents that near_duplicates() doesn't keep; rows without a doc_id stay."""
+    gone = near_duplicates(docs, size, percent).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(written(gone, "neardup-gone"), "doc_id", "left_anti").select(*docs.columns)
+
+
 SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents

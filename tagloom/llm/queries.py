@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, langid, license_scan, neardup, packing, pii, piece_codec, quality, topk
+from . import html_extract, langid, license_scan, neardup, packing, pii, piece_codec, quality, suffix_dedup, topk
 from .common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -46,17 +46,21 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_html_extraction, op2_language_id, op3_pii, op4_piece_codec, op5_quality_rules, op6_exact_topk, op7_best_fit_packing, op8_minhash_neardup, op9_license_scan)
+    named = (op1_html_extraction, op2_language_id, op3_pii, op4_piece_codec, op5_quality_rules, op6_exact_topk, op7_best_fit_packing, op8_minhash_neardup, op9_license_scan, op10_suffix_dedup)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": topk.SQL, "op8_minhash_neardup": neardup.SQL, "op9_license_scan": license_scan.sql()}
+    return {"op6_exact_topk": topk.SQL, "op8_minhash_neardup": neardup.SQL, "op9_license_scan": license_scan.sql(), "op10_suffix_dedup": suffix_dedup.SQL}
