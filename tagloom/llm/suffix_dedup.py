@@ -189,7 +189,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 def merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
     """Disjoint spans in order, clipped to n bytes."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((max(0, s["start"]), min(n, s["end"])) for s in spans or ()):
+    for a, b in sorted((max(0, s["start"]), min(n, s["end"])) for s in (() if spans is None else spans)):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], b))
         elif a < b:
