@@ -1,0 +1,83 @@
+"""The weighted skill graph: tag counts, co-occurrence, edge weights, node ids, degrees, community figures."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.ordering import ranked_index
+
+
+def tag_counts(records: DataFrame) -> DataFrame:
+    """(tag, n): occurrences over all records; a tag that a record repeats counts each time."""
+    return records.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def cooccurrence(records: DataFrame) -> DataFrame:
+    """(a, b, co), a <= b: one for each pair of places in a record. Pairs are made inside the row and added up
+    before the one shuffle."""
+    later = F.transform("tags", lambda x, i: F.transform(F.slice("tags", i + 2, F.size("tags")), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))))
+    pairs = records.filter(F.size("tags") > 1).select(F.explode(F.flatten(later)).alias("p"))
+    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("co"))
+
+
+def edge_weights(co: DataFrame, counts: DataFrame) -> DataFrame:
+    """(a, b, co, weight) of pairs of different tags: (co + 2) / (n_a + 1) / (n_b + 1)."""
+    left, right = counts.select(F.col("tag").alias("a"), F.col("n").alias("n_a")), counts.select(F.col("tag").alias("b"), F.col("n").alias("n_b"))
+    joined = co.filter(F.col("a") != F.col("b")).join(left, "a").join(right, "b")
+    return joined.select("a", "b", "co", ((F.col("co") + 2) / (F.col("n_a") + 1) / (F.col("n_b") + 1)).alias("weight"))
+
+
+def skill_graph(records: DataFrame) -> DataFrame:
+    """The edges (a, b, co, weight), a < b, of the skill graph."""
+    return edge_weights(cooccurrence(records), tag_counts(records))
+
+
+def graph_nodes(edges: DataFrame) -> DataFrame:
+    """(tag) of every tag with an edge."""
+    return edges.select(F.explode(F.array("a", "b")).alias("tag")).distinct()
+
+
+def node_ids(nodes: DataFrame, large: bool = False) -> DataFrame:
+    """(tag, node_id) with ids from 0 in the order of tags; large: without a single sorted task."""
+    if large:
+        return ranked_index(nodes, ["tag"], "node_id").select("tag", F.col("node_id").cast("int").alias("node_id"))
+    return nodes.withColumn("node_id", F.row_number().over(Window.orderBy("tag")) - 1)
+
+
+def indexed_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(src, dst, weight, relation) with ids for tags."""
+    src, dst = ids.select(F.col("tag").alias("a"), F.col("node_id").alias("src")), ids.select(F.col("tag").alias("b"), F.col("node_id").alias("dst"))
+    return edges.join(src, "a").join(dst, "b").select("src", "dst", "weight", F.lit("related to").alias("relation"))
+
+
+def ids_of(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, node_ids): each record's tags as ids, in order; tags that are no node are left out."""
+    at = records.select("id", F.posexplode("tags").alias("pos", "tag")).join(ids, "tag")
+    return at.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id"))).alias("p")).select("id", F.col("p.node_id").alias("node_ids"))
+
+
+def tags_of(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """(key, tags): arrays of ids back as tags, in order."""
+    at = rows.select(key, F.posexplode("node_ids").alias("pos", "node_id")).join(ids, "node_id")
+    return at.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("p")).select(key, F.col("p.tag").alias("tags"))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(node_id, degree): the weights of a node's edges."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id"), "weight")
+    return ends.groupBy("node_id").agg(F.sum("weight").alias("degree"))
+
+
+def graph_volume(edges: DataFrame) -> DataFrame:
+    """(volume): twice the sum of all weights, 0 without edges."""
+    return edges.agg(F.coalesce(2 * F.sum("weight"), F.lit(0.0)).alias("volume"))
+
+
+def community_stats(edges: DataFrame, assignment: DataFrame) -> DataFrame:
+    """(comm, volume, inside, cut) of an assignment (node_id, comm)."""
+    a, b = assignment.select(F.col("node_id").alias("src"), F.col("comm").alias("cs")), assignment.select(F.col("node_id").alias("dst"), F.col("comm").alias("cd"))
+    ends = edges.join(a, "src").join(b, "dst")
+    each = ends.select(F.explode(F.array(F.struct(F.col("cs").alias("comm"), "weight", (F.col("cs") == F.col("cd")).alias("own")), F.struct(F.col("cd").alias("comm"), "weight", (F.col("cs") == F.col("cd")).alias("own")))).alias("e")).select("e.*")
+    sums = each.groupBy("comm").agg(F.sum("weight").alias("volume"), F.sum(F.when(F.col("own"), F.col("weight") / 2).otherwise(0.0)).alias("inside"))
+    return sums.withColumn("cut", F.col("volume") - 2 * F.col("inside"))
