@@ -2,9 +2,11 @@
 
 Documents of equal shingle sets are one class, and only its first document goes on. The signature is read in several
 orders (trees). A region is a set of documents that agree in the first columns of an order. Documents are sorted in
-each order, and each takes as its first candidate the sorted neighbour with the longest common prefix, however deep
-the region must be read for that. Confirmed links give components; in regions that still hold several components,
-all pairs across them are tested, by signature agreement first.
+each order, and each takes as a candidate the sorted neighbour with the longest common prefix, however deep the
+region must be read for that, and the document that most of its regions begin with. Pairs of one region that agree
+in enough columns but aren't joined by candidates yet are joined too, so that each cluster of candidates holds all
+pairs worth a test. Links are then confirmed on full sets: to the candidates first, and last all pairs across the
+components that a cluster still holds.
 """
 
 from __future__ import annotations
@@ -13,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, written
+from .common import discard, map_slices, written
 from .components import components
 
 COLUMNS, TREES = 128, 32
@@ -119,24 +120,6 @@ def _agree(pairs: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full shingle sets reach the similarity."""
-    pairs = written(pairs, "neardup-pairs")
-    sets = written(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), size).dropDuplicates(["node"]), "neardup-sets")
-    a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
-
-
 def _neighbours(rows: DataFrame) -> DataFrame:
     """(a, b): each document and the neighbour with the longest common prefix over all sorted orders."""
 
@@ -158,69 +141,194 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return near.groupBy("a").agg(F.max(F.struct("depth", "b"))["b"].alias("b"))
 
 
-def _across(regions: DataFrame, labels: DataFrame, signatures: DataFrame, agree: int, block: int = 512, small: int = 32) -> DataFrame:
-    """(a, b): pairs of one region but of different components that agree in enough columns.
-
-    Pairs of small regions are listed if two regions hold them; large regions are dealt out as blocks of their
-    lesser components against blocks of all, compared as matrices, so that only agreeing pairs are ever listed.
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key in turn; the batches must be sorted by the keys (integers)."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if last is not None and (values[a] != last).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = values[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, COLUMNS)
+
+
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    same = np.zeros((len(x), len(y)), dtype=np.uint8)
+    for c in range(COLUMNS):
+        same += x[:, c, None] == y[None, :, c]
+    return same
+
+
+class _Forest:
+    """Which labels a tile has joined so far; only joins that are new to it are worth reporting."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _tiles(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """Deals each group's rows (key, node, label, ...) out as tiles: blocks of all but its largest label (side 0)
+    against blocks of all its rows (side 1). Groups of one label have none."""
+    sizes = rows.groupBy(key, "label").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("m"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    mixed = rows.join(sizes.filter(F.col("labels") > 1), key).withColumn("of", F.ceil(F.col("m") / block).cast("int"))
+    own = mixed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    minor = own.filter(F.col("label") != F.col("main"))
+    held = minor.select(key, F.col("part").alias("i")).distinct()
+    left = minor.withColumn("i", F.col("part")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumn("side", F.lit(0))
+    right = own.withColumn("j", F.col("part")).join(held, key).withColumn("side", F.lit(1))
+    columns = [key, "i", "j", "side", *(c for c in rows.columns if c != key)]
+    return left.select(*columns).union(right.select(*columns)).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "side")
+
+
+def _joined_labels(regions: DataFrame, labels: DataFrame, signatures: DataFrame, agree: int, block: int = 512) -> DataFrame:
+    """(a, b): labels that pairs of one region connect, whose signatures agree in enough columns.
+
+    Every pair across labels is compared, in tiles; a tile reports no connection twice, so that what it reports is
+    no more than its labels.
     """
     rows = regions.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).filter(F.col("low") < F.col("high")).select("key", "m")
-    rows = written(rows.join(mixed, "key").select("key", "node", "label", "m"), "neardup-mixed")
-    few = rows.filter(F.col("m") <= small)
-    left, right = few.select("key", F.col("node").alias("a"), F.col("label").alias("la")), few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    listed = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= 2)
-    listed = _agree(listed, signatures, agree)
-
-    many = rows.filter(F.col("m") > small)
-    main = many.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    many = many.join(main, "key").join(signatures, "node")
-    minor = many.filter(F.col("label") != F.col("main"))
-    blocks = lambda df: df.withColumn("of", F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int"))
-    own = blocks(minor).withColumn("i", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumn("side", F.lit(0))
-    held = own.select("key", "i").distinct()
-    rest = blocks(many).withColumn("j", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).join(held, "key").withColumn("side", F.lit(1))
-    columns = ["key", "i", "j", "side", "node", "label", "signature"]
-
-    def compare(group: pa.Table) -> pa.Table:
-        x, y = (group.filter(pc.equal(group["side"], s)) for s in (0, 1))
-        sx, sy = (np.frombuffer(b"".join(t["signature"].to_pylist()), dtype=np.uint32).reshape(-1, COLUMNS) for t in (x, y))
-        lx, ly, nx, ny = x["label"].to_numpy(), y["label"].to_numpy(), x["node"].to_numpy(), y["node"].to_numpy()
-        same = np.zeros((len(nx), len(ny)), dtype=np.int32)
-        for c in range(COLUMNS):
-            same += sx[:, c, None] == sy[None, :, c]
-        i, j = np.nonzero((same >= agree) & (lx[:, None] != ly[None, :]))
-        return pa.table({"a": np.minimum(nx[i], ny[j]), "b": np.maximum(nx[i], ny[j])})
-
-    tiled = own.select(*columns).union(rest.select(*columns)).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
-    return listed.union(tiled).distinct()
+    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") < F.col("high")).select("key")
+    rows = rows.join(mixed, "key", "left_semi").join(signatures, "node").select("key", "node", "label", "signature")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        b: list[int] = []
+        for tile in _groups(batches, ["key", "i", "j"]):
+            side, label, marks = tile["side"].to_numpy(), tile["label"].to_numpy(), _matrix(tile["signature"])
+            x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(x) or not len(y):
+                continue
+            hit = (_agreement(marks[x], marks[y]) >= agree) & (label[x][:, None] != label[y][None, :])
+            forest = _Forest()
+            for i, j in np.unique(np.stack([label[x][hit.nonzero()[0]], label[y][hit.nonzero()[1]]], axis=1), axis=0).tolist():
+                if forest.join(i, j):
+                    a.append(i), b.append(j)
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _tiles(rows, "key", block).mapInArrow(run, "a long, b long")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    least, most = min(len(x), len(y)), max(len(x), len(y))
+    if 100 * least < percent * most:
+        return False
+    shared = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _stars(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 64) -> DataFrame:
+    """Of pairs (a, b), many with the same b, those whose full sets reach the similarity. A set of b is sent once for
+    each salt, one of a once for each pair."""
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
+    own = dealt.select("b", "salt", F.lit(1).alias("side"), F.col("a").alias("node"))
+    centre = dealt.select("b", "salt").distinct().select("b", "salt", F.lit(0).alias("side"), F.col("b").alias("node"))
+    rows = own.union(centre).join(sets.select("node", "hashes"), "node").repartition("b", "salt").sortWithinPartitions("b", "salt", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            a, b = [], []
+            for centre_, side, node, hashes in zip(*(batch.column(c).to_pylist() for c in ("b", "side", "node", "hashes")), strict=True):
+                if side == 0:
+                    at, held = centre_, np.frombuffer(hashes, dtype=np.uint64)
+                elif at == centre_ and _similar(np.frombuffer(hashes, dtype=np.uint64), held, percent):
+                    a.append(node), b.append(centre_)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.select("b", "side", "node", "hashes").mapInArrow(run, "a long, b long")
+
+
+def _remaining(clusters: DataFrame, labels: DataFrame, sets: DataFrame, signatures: DataFrame, agree: int, percent: int, block: int = 256) -> DataFrame:
+    """(a, b): links across the labels of a cluster (node, cluster), confirmed on full sets.
+
+    All pairs across labels whose signatures agree in enough columns are confirmed, but for those whose labels an
+    earlier link of the tile already joins.
+    """
+    rows = clusters.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = rows.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") < F.col("high")).select("cluster")
+    rows = rows.join(mixed, "cluster", "left_semi").join(signatures, "node").join(sets, "node").select("cluster", "node", "label", "signature", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _groups(batches, ["cluster", "i", "j"]):
+            side, node, label, marks = tile["side"].to_numpy(), tile["node"].to_numpy(), tile["label"].to_numpy(), _matrix(tile["signature"])
+            sets_ = [np.frombuffer(h, dtype=np.uint64) for h in tile["hashes"].to_pylist()]
+            x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(x) or not len(y):
+                continue
+            same = _agreement(marks[x], marks[y])
+            i, j = np.nonzero((same >= agree) & (label[x][:, None] != label[y][None, :]))
+            forest, a, b = _Forest(), [], []
+            for k in np.argsort(-same[i, j].astype(np.int32), kind="stable").tolist():  # the likeliest first
+                p, q = x[i[k]], y[j[k]]
+                if forest.root(label[p]) != forest.root(label[q]) and _similar(sets_[p], sets_[q], percent):
+                    forest.join(label[p], label[q])
+                    a.append(node[p]), b.append(node[q])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _tiles(rows, "cluster", block).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, agree: int = 79) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): components of documents linked at `percent` similarity of their sets of `size`-word shingles.
 
-    `agree` columns of 128 must agree before sets are compared; a pair at 80 % fails that, or misses two common
-    regions, about once in a million. Null texts and texts without words have no shingles and link with nothing,
+    Only pairs whose signatures agree in `agree` of 128 columns are confirmed; a pair at 80 % fails that, or shares
+    no region, about once in a million. Null texts and texts without words have no shingles and link with nothing,
     not even with one another. Repeated rows each give a row; other columns are not read. An empty table gives no rows.
     """
     marks = written(signed(docs, size), "neardup-signatures")
     classes = marks.filter(F.col("n_shingles") > 0).groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    firsts = classes.select("node").join(marks.select(F.col("doc_id").alias("node"), "signature").dropDuplicates(["node"]), "node")
+    firsts = classes.select("node").join(marks.select(F.col("doc_id").alias("node"), "signature"), "node").dropDuplicates(["node"])
     signatures = written(firsts, "neardup-first")
     order = lambda t: F.substring(F.concat("signature", "signature"), 4 * WIDTH * t + 1, 4 * DEEPEST)
     trees = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("signature", 4 * WIDTH * t + 1, 4 * WIDTH)).alias("key")) for t in range(TREES))))
     rows = signatures.select("node", trees.alias("r")).select("node", "r.tree", "r.key")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= 2).select("key")
-    regions = written(rows.join(shared, "key", "left_semi"), "neardup-regions")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter(F.col("n") >= 2).select("key", "centre")
+    regions = written(rows.join(shared, "key"), "neardup-regions")
 
+    # candidates: sorted neighbours, and the document that most often is the first of a document's regions
     at = F.element_at(F.array(*(order(t) for t in range(TREES))), F.col("tree") + 1)
     sorted_rows = written(regions.select("node", "tree").join(signatures, "node").select("node", "tree", at.alias("order")), "neardup-orders")
-    near = _agree(_neighbours(sorted_rows), signatures, agree)
-    links = written(_confirmed(near, docs, size, percent), "neardup-links")
+    near = _neighbours(sorted_rows)
+    often = regions.filter(F.col("node") != F.col("centre")).groupBy("node", "centre").agg(F.count("*").alias("n"))
+    star = often.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("m")).select("a", (-F.col("m.c")).alias("b"))
+    candidates = written(_agree(near.select("a", "b").union(star).distinct(), signatures, agree), "neardup-candidates")
+    discard(sorted_rows)
+    loose = written(components(candidates), "neardup-loose")
+    more = written(_joined_labels(regions.select("key", "node"), loose, signatures, agree), "neardup-joined")
+    members = written(components(candidates.union(more)), "neardup-clusters").select("node", F.col("label").alias("cluster"))
+    discard(regions)
+
+    sets = written(_sets(docs, members.select("node"), size).dropDuplicates(["node"]), "neardup-sets")
+    links = written(_stars(candidates, sets, percent), "neardup-links")
     labels = written(components(links), "neardup-labels")
-    more = _confirmed(_across(regions.select("key", "node"), labels, signatures, agree), docs, size, percent)
-    links = written(links.union(more), "neardup-links")
-    labels = components(links)
+    rest = written(_remaining(members, labels, sets, signatures, agree, percent), "neardup-links")
+    labels = components(links.union(rest))
 
     member = marks.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(labels, "node", "left")
     component = F.coalesce("label", "node", "doc_id")
