@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Customary license statements, as words, and their labels.
@@ -82,9 +84,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
     """
     vocabulary = sorted({w for t, _ in templates for w in t.split()})
     lines = docs.select("doc_id", "text")
-    based = base(lines, phrases)
     held = F.array_intersect(F.split("words", " "), F.lit(vocabulary))
-    counts = {r["w"]: r["n"] for r in based.select(F.explode(held).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    found = base(lines, phrases).select("doc_id", F.xxhash64("text").alias("of"), "n_words", "n_base", "first_word", "last_word", "found", held.alias("held"))
+    based = written(found, "license-words")
+    counts = {r["w"]: r["n"] for r in based.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
     rows, rare = [], set()
@@ -98,15 +101,16 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
 
     low = F.lower("text")
     some = lines.filter(F.greatest(*(low.contains(w).cast("int") for w in sorted(rare)), F.lit(0)) == 1)
+    some = some.filter(F.arrays_overlap(F.split(words_text(F.col("text")), " "), F.lit(sorted(rare))))
     blocks = some.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.split("text", "\n")).alias("line"))
     blocks = blocks.select("doc_id", "key", F.array_intersect(F.lit(order), F.split(words_text(F.col("line")), " ")).alias("tokens")).filter(F.size("tokens") > 0)
     probes = blocks.select("doc_id", "key", "tokens", F.posexplode("tokens").alias("pos", "token"))
     size = F.size("tokens")
     fits = (size >= F.col("need")) & (F.col("pos") <= size - F.col("need")) & (F.least(size - F.col("pos"), F.size("own") - F.col("at")) >= F.col("need"))
     shared = F.size(F.array_intersect("tokens", "own"))
-    pairs = probes.join(known, "token").filter(fits).withColumn("shared", shared).filter(F.col("shared") >= F.col("need"))
-    matched = pairs.groupBy(F.col("doc_id").alias("of"), "key").agg(F.collect_set("label").alias("more"), F.max(F.col("shared") / F.size("own")).alias("share"))
-    both = based.join(matched, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("key")), "left")
+    pairs = probes.join(F.broadcast(known), "token").filter(fits).withColumn("shared", shared).filter(F.col("shared") >= F.col("need"))
+    matched = pairs.groupBy(F.col("doc_id").alias("doc"), "key").agg(F.collect_set("label").alias("more"), F.max(F.col("shared") / F.size("own")).alias("share"))
+    both = based.join(matched, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("of") == F.col("key")), "left")
     nothing = F.array().cast("array<string>")
     return both.select(
         "doc_id",
