@@ -26,7 +26,6 @@ TEMPLATES = (
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("licensed under cc by 4 0", "cc-by"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
