@@ -175,7 +175,9 @@ def extract(pages: DataFrame, least_pages: int = 10, least_share: float = 0.3) -
     sizes = with_key.filter(F.size("subtrees") > 0).select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("of"))
     templates = counts.join(sizes, "host").filter(F.col("n") >= least_share * F.col("of")).select("host", "subtree")
     held = with_key.filter(F.size("subtrees") > 0).select("host", "key", F.explode("subtrees").alias("subtree")).join(templates, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("gone"))
-    joined = with_key.join(held, "key", "left")
+    # pages without a candidate, nearly all where sites mark their articles, need no join
+    some = with_key.filter(F.size("subtrees") > 0).join(held, "key", "left")
+    joined = some.unionByName(with_key.filter(F.size("subtrees") == 0), allowMissingColumns=True)
     kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["held"], F.col("gone"))))
     text = F.concat_ws("\n", F.transform(kept, lambda b: b["text"]))
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
