@@ -1,8 +1,8 @@
 """Quality rules in DataFrame operations: fixed limits, then robust multivariate outliers.
 
 For each language and source a minimum-covariance-determinant estimate of location and scatter is found by
-concentration steps: the documents nearest to the present estimate (a fixed share) give the next one. Documents far
-from the last estimate by Mahalanobis distance are rejected. Statistics enter as whole numbers on a fine grid, so
+concentration steps: the documents nearest to the present estimate (a fixed share) give the next one, until its
+determinant stops falling. Documents far from the last estimate by Mahalanobis distance are rejected. Statistics enter as whole numbers on a fine grid, so
 that sums are exact and the result doesn't depend on how rows are dealt.
 """
 
@@ -13,14 +13,17 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Grid points to a unit of the transformed statistics; bins to a unit of log distance.
 GRID, BINS = 1024, 64
-#: The chi-square median with as many degrees of freedom as there are statistics (3).
-_MEDIAN = 2.3660
-STATISTICS = ("z0", "z1", "z2")
+#: The least fall of a log determinant that counts as one; bins make distances as coarse as 1/BINS.
+TOLERANCE = 1e-3
+#: The chi-square median with as many degrees of freedom as there are statistics (4).
+_MEDIAN = 3.3567
+STATISTICS = ("z0", "z1", "z2", "z3")
 _P = len(STATISTICS)
+_PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 
 
 def counted(docs: DataFrame, *carried: str | Column) -> DataFrame:
@@ -64,22 +67,28 @@ def _grid(x: Column) -> Column:
 
 
 def transformed(stats: DataFrame) -> DataFrame:
-    """Adds z0 to z2: logs of word length, and of symbols and repeated words in ten words. Words of repeated lines are repeated words."""
+    """Adds z0 to z3: logs of word length, and of symbols, repeated lines and repeated words in ten words."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     share = lambda c: _grid(F.log1p(10.0 * F.col(c) / n))
-    return stats.withColumns({"z0": _grid(F.log1p(F.col("word_chars") / n)), "z1": share("n_symbols"), "z2": share("n_repeat_words")})
+    return stats.withColumns({"z0": _grid(F.log1p(F.col("word_chars") / n)), "z1": share("n_symbols"), "z2": share("n_dup_lines"), "z3": share("n_repeat_words")})
 
 
 def _estimate(sums: DataFrame, by: list[str], ridge: float) -> DataFrame:
-    """Location m_i and the Cholesky factor l_i_j of the scatter (plus ridge^2 on the diagonal) from exact sums."""
-    cov = {(i, j): (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) / (GRID * GRID) for i in range(_P) for j in range(i + 1)}
+    """Location m_i, inverse p_i_j of the scatter (plus ridge^2 on the diagonal) and log determinant, from sums."""
+    cov = {(i, j): (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) / (GRID * GRID) for i, j in _PAIRS}
     out = sums.select(*by, *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(_P)), *((v + (ridge * ridge if i == j else 0.0)).alias(f"c{i}{j}") for (i, j), v in cov.items()))
     for j in range(_P):
         root = F.sqrt(F.greatest(F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0)), F.lit(ridge * ridge / 4)))
         out = out.withColumn(f"l{j}{j}", root)
         for i in range(j + 1, _P):
             out = out.withColumn(f"l{i}{j}", (F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}"))
-    return out.select(*(F.col(c).alias(f"_{c}") for c in by), *(f"m{i}" for i in range(_P)), *(f"l{i}{j}" for i in range(_P) for j in range(i + 1)))
+    for j in range(_P):
+        out = out.withColumn(f"a{j}{j}", 1.0 / F.col(f"l{j}{j}"))
+        for i in range(j + 1, _P):
+            out = out.withColumn(f"a{i}{j}", -sum((F.col(f"l{i}{k}") * F.col(f"a{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}"))
+    inverse = (sum((F.col(f"a{k}{i}") * F.col(f"a{k}{j}") for k in range(i, _P)), F.lit(0.0)).alias(f"p{i}{j}") for i, j in _PAIRS)
+    log_det = sum((2.0 * F.log(f"l{i}{i}") for i in range(_P)), F.lit(0.0)).alias("log_det")
+    return out.select(*(F.col(c).alias(f"_{c}") for c in by), *(f"m{i}" for i in range(_P)), *inverse, log_det)
 
 
 def _same(by: list[str]) -> Column:
@@ -88,58 +97,81 @@ def _same(by: list[str]) -> Column:
 
 
 def _distances(rows: DataFrame, estimate: DataFrame, by: list[str]) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance from the row's group estimate."""
-    joined, ys = rows.join(estimate, _same(by), "left"), []
-    for i in range(_P):
-        y = (F.col(f"z{i}") - F.col(f"m{i}")) / GRID
-        for k in range(i):
-            y = y - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        joined = joined.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
-        ys.append(F.col(f"y{i}") * F.col(f"y{i}"))
-    return joined.withColumn("d2", sum(ys[1:], ys[0])).drop(*(c for c in estimate.columns), *(f"y{i}" for i in range(_P)))
+    """Adds d2, the squared Mahalanobis distance from the row's group estimate, and keeps the estimate's scale if it has one."""
+    u = [(F.col(f"z{i}") - F.col(f"m{i}")) / GRID for i in range(_P)]
+    d2 = sum(((1.0 if i == j else 2.0) * F.col(f"p{i}{j}") * u[i] * u[j] for i, j in _PAIRS), F.lit(0.0))
+    joined = rows.join(F.broadcast(estimate), _same(by), "left")
+    return joined.withColumn("d2", F.when(F.col("m0").isNotNull(), F.greatest(d2, F.lit(0.0)))).drop(*(c for c in estimate.columns if c != "scale"))
 
 
 def _sums() -> list[Column]:
     first = [F.sum(f"z{i}").alias(f"s{i}") for i in range(_P)]
-    return [F.count("*").alias("n"), *first, *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}{j}") for i in range(_P) for j in range(i + 1))]
+    return [F.count("*").alias("n"), *first, *(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}{j}") for i, j in _PAIRS)]
 
 
 def _below(binned: DataFrame, by: list[str], share: float) -> DataFrame:
-    """Of bins (by, bin, n, ...) those up to the one at which the share of the group's rows is reached."""
+    """Of bins (by, bin, n, ...) those up to the one at which the share of the group's rows is reached, and the part of each that belongs to it."""
     w = Window.partitionBy(*by)
     before = F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return binned.withColumn("before", before).withColumn("all", F.sum("n").over(w)).filter(F.col("before") < share * F.col("all"))
+    reached = binned.withColumn("before", before).withColumn("all", F.sum("n").over(w)).filter(F.col("before") < share * F.col("all"))
+    return reached.withColumn("part", F.least(F.lit(1.0), (share * F.col("all") - F.col("before")) / F.col("n")))
+
+
+def _nearest(binned: DataFrame, by: list[str], share: float) -> DataFrame:
+    """Sums over the share of each group's rows with the least distance; the last bin counts with the part that makes the share exact.
+
+    Whole bins add up as whole numbers and the last is one row, so that the order of rows changes nothing.
+    """
+    whole = F.col("part") >= 1.0
+    total = lambda c: F.coalesce(F.sum(F.when(whole, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(~whole, F.col("part") * F.col(c))), F.lit(0.0))
+    names = ["n", *(f"s{i}" for i in range(_P)), *(f"q{i}{j}" for i, j in _PAIRS)]
+    return _below(binned, by, share).groupBy(*by).agg(*(total(c).alias(c) for c in names))
 
 
 def _bin() -> Column:
     return F.floor(F.log1p("d2") * BINS).cast("int")
 
 
-def judged(stats: DataFrame, by: tuple[str, str] = ("lang", "source"), share: float = 0.75, steps: int = 2, ridge: float = 0.25, cutoff: float = 40.0, least_rows: int = 60) -> DataFrame:
-    """Adds base_failed and kept to counted() rows, which must come from a written table.
+def concentrated(usable: DataFrame, by: list[str], share: float, ridge: float, least_rows: int) -> DataFrame:
+    """The estimate of each group of at least `least_rows` rows when its determinant has stopped falling.
 
-    The estimate of a group starts at its medians and spreads and takes `steps` concentration steps to the `share`
-    of its rows with the least distance; rows that fail the fixed limits take no part. Distances are scaled so that
-    their median is that of a chi-square variable, unless that would narrow them. A group with fewer than
-    `least_rows` usable rows gives no verdict: its rows stay. Nulls in lang or source are a group of their own.
+    A step is kept where it lowers the log determinant by more than TOLERANCE, and the steps end when none does;
+    as the ridge bounds determinants from below, they do end. Each step reads and writes tables, so that plans don't
+    grow with the steps.
     """
-    by = list(by)
-    rows = transformed(stats).withColumn("base_failed", _failed())
-    usable = rows.filter(~F.col("base_failed")).select(*by, *STATISTICS)
     middle = usable.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile(f"z{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i in range(_P))).filter(F.col("n") >= least_rows)
     # medians as sums, and spreads as variances, so that the first estimate is made like the others
-    start = middle.select(*by, F.lit(1).alias("n"), *(F.col(f"p{i}")[1].alias(f"s{i}") for i in range(_P)), *((F.col(f"p{i}")[1] * F.col(f"p{j}")[1] + (F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) if i == j else 0.0)).alias(f"q{i}{j}") for i in range(_P) for j in range(i + 1)))
-    estimate = _estimate(start, by, ridge)
-    for _ in range(steps):
+    start = middle.select(*by, F.lit(1).alias("n"), *(F.col(f"p{i}")[1].alias(f"s{i}") for i in range(_P)), *((F.col(f"p{i}")[1] * F.col(f"p{j}")[1] + (F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) if i == j else 0.0)).alias(f"q{i}{j}") for i, j in _PAIRS))
+    estimate = written(_estimate(start, by, ridge).withColumn("log_det", F.lit(float("inf"))).withColumn("fell", F.lit(True)), "mcd-estimate")
+    values = [c for c in estimate.columns if c not in {"fell", *(f"_{c}" for c in by)}]
+    while estimate.filter("fell").limit(1).count():
         binned = _distances(usable, estimate, by).filter(F.col("d2").isNotNull()).groupBy(*by, _bin().alias("bin")).agg(*_sums())
-        inner = _below(binned, by, share).groupBy(*by).agg(F.sum("n").alias("n"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(_P)), *(F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i in range(_P) for j in range(i + 1)))
-        estimate = written(_estimate(inner, by, ridge), "mcd-estimate")
+        after = _estimate(_nearest(binned, by, share), by, ridge).select(*(F.col(f"_{c}").alias(c) for c in by), F.struct(*values).alias("after"))
+        fell = F.coalesce(F.col("after.log_det") < F.col("log_det") - TOLERANCE, F.lit(False))
+        both = after.join(estimate.drop("fell"), _same(by))
+        estimate = written(both.select(*(f"_{c}" for c in by), *(F.when(fell, F.col(f"after.{c}")).otherwise(F.col(c)).alias(c) for c in values), fell.alias("fell")), "mcd-estimate")
+    return estimate.drop("fell")
+
+
+def judged(stats: DataFrame, by: tuple[str, str] = ("lang", "source"), share: float = 0.75, ridge: float = 0.25, cutoff: float = 40.0, least_rows: int = 60) -> DataFrame:
+    """Adds base_failed and kept to counted() rows, which must come from a written table.
+
+    The estimate of a group starts at its medians and spreads and takes concentration steps to the `share` of its
+    rows with the least distance until its determinant stops falling; rows that fail the fixed limits take no part.
+    Distances are scaled so that their median is that of a chi-square variable, unless that would narrow them. A
+    group with fewer than `least_rows` usable rows gives no verdict: its rows stay. Nulls in lang or source are a
+    group of their own.
+    """
+    by = list(by)
+    rows = transformed(stats).withColumn("base_failed", _failed())
+    usable = written(rows.filter(~F.col("base_failed")).select(*by, *STATISTICS), "quality-usable")
+    estimate = concentrated(usable, by, share, ridge, least_rows)
     binned = _distances(usable, estimate, by).filter(F.col("d2").isNotNull()).groupBy(*by, _bin().alias("bin")).agg(F.count("*").alias("n"))
-    scale = _below(binned, by, 0.5).groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.greatest(F.lit(1.0), F.expm1((F.max("bin") + 1) / BINS) / _MEDIAN).alias("scale"))
-    judged_rows = _distances(rows, estimate, by)
-    scaled = judged_rows.join(scale, _same(by), "left")
-    outlier = F.coalesce(F.col("d2") > cutoff * F.coalesce("scale", F.lit(1.0)), F.lit(False))
-    return scaled.withColumn("kept", ~F.col("base_failed") & ~outlier).drop(*(f"_{c}" for c in by), "scale", *STATISTICS)
+    scale = _below(binned, by, 0.5).groupBy(*by).agg(F.greatest(F.lit(1.0), F.expm1((F.max("bin") + 1) / BINS) / _MEDIAN).alias("scale"))
+    scaled = written(scale.join(estimate, _same(by)).drop(*by), "mcd-estimate")
+    discard(usable)
+    outlier = F.coalesce(F.col("d2") > cutoff * F.col("scale"), F.lit(False))
+    return _distances(rows, scaled, by).withColumn("kept", ~F.col("base_failed") & ~outlier).drop("scale", *STATISTICS)
 
 
 def judge(docs: DataFrame, **limits) -> DataFrame:

@@ -281,6 +281,34 @@ def test_quality_outliers(spark):
     assert quality.filtered(_docs(spark, texts)).columns == _docs(spark, []).columns
 
 
+def test_quality_repeated_short_lines(spark):
+    """A label between unique lines repeats no three words, but lines."""
+    rng = random.Random(11)
+    texts = [_words(rng, 120, 5000) for _ in range(100)] + ["\n".join(f"Menu\n{w}" for w in set(_words(rng, 120, 5000).split())) for _ in range(3)]
+    rows = {r["doc_id"]: r for r in quality.judge(_docs(spark, texts)).collect()}
+    assert all(rows[i]["n_repeat_words"] == 0 and rows[i]["n_dup_lines"] > 90 for i in (100, 101, 102))
+    assert {i for i, r in rows.items() if not r["kept"]} == {100, 101, 102}
+
+
+def test_quality_determinant_stops_falling(spark):
+    """One more step from the estimate that is returned lowers no determinant."""
+    rng = random.Random(12)
+    points = [[int(rng.gauss(m, 300)) for m in (1700, 300, 0, 0)] for _ in range(300)] + [[int(rng.gauss(m, 60)) for m in (2600, 900, 0, 300)] for _ in range(120)]
+    usable = spark.createDataFrame([("en", None, *z) for z in points], "lang string, source string, z0 long, z1 long, z2 long, z3 long").repartition(3)
+    by, ridge = ["lang", "source"], 0.05
+    last = quality.concentrated(usable, by, 0.75, ridge, 60)
+    binned = quality._distances(usable, last, by).groupBy(*by, quality._bin().alias("bin")).agg(*quality._sums())
+    after = quality._estimate(quality._nearest(binned, by, 0.75), by, ridge)
+    assert after.first()["log_det"] >= last.first()["log_det"] - quality.TOLERANCE
+    # the determinant is that of the rows that were nearest, and the distances those of numpy
+    r = last.first()
+    inverse = np.array([[r[f"p{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])
+    assert abs(-np.linalg.slogdet(inverse)[1] - r["log_det"]) < 1e-6
+    u = (np.array(points) - [r[f"m{i}"] for i in range(4)]) / quality.GRID
+    found = sorted(x["d2"] for x in quality._distances(usable, last, by).collect())
+    assert np.allclose(found, sorted(np.einsum("ni,ij,nj->n", u, inverse, u)))
+
+
 def test_licenses(spark):
     texts = [None, "", "Released under the MIT License.", "mit\nlicense and the Apache  License", "nothing here", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "licensed mitre license"]
     rows = {r["doc_id"]: r for r in license_scan.scan(_docs(spark, texts)).collect()}
