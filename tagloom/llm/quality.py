@@ -9,6 +9,7 @@ that sums are exact and the result doesn't depend on how rows are dealt.
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ GRID, BINS = 1024, 64
 TOLERANCE = 1e-3
 #: The chi-square median with as many degrees of freedom as there are statistics (4).
 _MEDIAN = 3.3567
+#: The 0.999 quantile of that chi-square variable: the least squared distance of an outlier.
+CUTOFF = 18.4668
+#: The least spread of a statistic: the step that one occurrence makes in the shortest text of the fixed limits.
+RIDGE = math.log1p(10 / 50)
 STATISTICS = ("z0", "z1", "z2", "z3")
 _P = len(STATISTICS)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
@@ -153,25 +158,49 @@ def concentrated(usable: DataFrame, by: list[str], share: float, ridge: float, l
     return estimate.drop("fell")
 
 
-def judged(stats: DataFrame, by: tuple[str, str] = ("lang", "source"), share: float = 0.75, ridge: float = 0.25, cutoff: float = 40.0, least_rows: int = 60) -> DataFrame:
+def _pools(usable: DataFrame, by: list[str], least_rows: int) -> DataFrame:
+    """For each group the rows that give its estimate: its own, or those that share fewer group columns until there are `least_rows`.
+
+    `level` is the number of group columns given up, and pool0, pool1, ... hold the others' values; a group has no
+    row here if the whole table is too small.
+    """
+    counts = usable.groupBy(*by).agg(F.count("*").alias("n0"))
+    level = F.when(F.col("n0") >= least_rows, 0)
+    for k in range(1, len(by) + 1):
+        keys = by[: len(by) - k]
+        wider = counts.groupBy(*(F.col(c).alias(f"_{c}") for c in keys)).agg(F.sum("n0").alias(f"n{k}"))
+        counts = counts.join(F.broadcast(wider), _same(keys)).drop(*(f"_{c}" for c in keys)) if keys else counts.crossJoin(F.broadcast(wider))
+        level = level.when(F.col(f"n{k}") >= least_rows, k)
+    return counts.withColumn("level", level).filter(F.col("level").isNotNull()).select(*by, "level", *(F.when(i < len(by) - F.col("level"), F.col(c)).alias(f"pool{i}") for i, c in enumerate(by)))
+
+
+def judged(stats: DataFrame, by: tuple[str, str] = ("lang", "source"), share: float = 0.75, ridge: float = RIDGE, cutoff: float = CUTOFF, least_rows: int = 60) -> DataFrame:
     """Adds base_failed and kept to counted() rows, which must come from a written table.
 
     The estimate of a group starts at its medians and spreads and takes concentration steps to the `share` of its
     rows with the least distance until its determinant stops falling; rows that fail the fixed limits take no part.
     Distances are scaled so that their median is that of a chi-square variable, unless that would narrow them. A
-    group with fewer than `least_rows` usable rows gives no verdict: its rows stay. Nulls in lang or source are a
-    group of their own.
+    group with fewer than `least_rows` usable rows is judged by the estimate of its language, or else of all rows;
+    only a table with fewer rows in all gives no verdict. Nulls in lang or source are a group of their own.
     """
     by = list(by)
     rows = transformed(stats).withColumn("base_failed", _failed())
-    usable = written(rows.filter(~F.col("base_failed")).select(*by, *STATISTICS), "quality-usable")
-    estimate = concentrated(usable, by, share, ridge, least_rows)
-    binned = _distances(usable, estimate, by).filter(F.col("d2").isNotNull()).groupBy(*by, _bin().alias("bin")).agg(F.count("*").alias("n"))
-    scale = _below(binned, by, 0.5).groupBy(*by).agg(F.greatest(F.lit(1.0), F.expm1((F.max("bin") + 1) / BINS) / _MEDIAN).alias("scale"))
-    scaled = written(scale.join(estimate, _same(by)).drop(*by), "mcd-estimate")
+    narrow = rows.filter(~F.col("base_failed")).select(*by, *STATISTICS)
+    pools = written(_pools(narrow, by, least_rows), "quality-pools")
+    keys = ["level", *(f"pool{i}" for i in range(len(by)))]
+    needed = F.broadcast(pools.select(*(F.col(c).alias(f"_{c}") for c in keys)).distinct())
+    levels = narrow.withColumn("level", F.explode(F.array(*map(F.lit, range(len(by) + 1)))))
+    dealt = levels.select("level", *(F.when(i < len(by) - F.col("level"), F.col(c)).alias(f"pool{i}") for i, c in enumerate(by)), *STATISTICS)
+    usable = written(dealt.join(needed, _same(keys), "left_semi"), "quality-usable")
+    estimate = concentrated(usable, keys, share, ridge, least_rows)
+    binned = _distances(usable, estimate, keys).filter(F.col("d2").isNotNull()).groupBy(*keys, _bin().alias("bin")).agg(F.count("*").alias("n"))
+    scale = _below(binned, keys, 0.5).groupBy(*keys).agg(F.greatest(F.lit(1.0), F.expm1((F.max("bin") + 1) / BINS) / _MEDIAN).alias("scale"))
+    scaled = scale.join(estimate, _same(keys)).drop(*keys)
+    own = pools.join(scaled, _same(keys)).select(*(F.col(c).alias(f"_{c}") for c in by), *(c for c in scaled.columns if c not in {f"_{k}" for k in keys}))
+    final = written(own, "mcd-estimate")
     discard(usable)
     outlier = F.coalesce(F.col("d2") > cutoff * F.col("scale"), F.lit(False))
-    return _distances(rows, scaled, by).withColumn("kept", ~F.col("base_failed") & ~outlier).drop("scale", *STATISTICS)
+    return _distances(rows, final, by).withColumn("kept", ~F.col("base_failed") & ~outlier).drop("scale", *STATISTICS)
 
 
 def judge(docs: DataFrame, **limits) -> DataFrame:

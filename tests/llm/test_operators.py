@@ -309,6 +309,15 @@ def test_quality_determinant_stops_falling(spark):
     assert np.allclose(found, sorted(np.einsum("ni,ij,nj->n", u, inverse, u)))
 
 
+def test_quality_small_groups(spark):
+    """Groups too small for an estimate of their own get a verdict from their language or from all rows."""
+    rng = random.Random(13)
+    junk = " ".join(f"{w} #" for w in _words(rng, 120, 5000).split())
+    texts = [(_words(rng, 120, 5000), lang, f"s{i % 8}") for i in range(120) for lang in ("en", "de")] + [(junk, "en", "s1"), (junk, "fr", "s1"), (_words(rng, 120, 5000), "fr", None), (_words(rng, 120, 5000), None, None)]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(3)
+    assert {r["doc_id"] for r in quality.judge(docs).filter("not kept").collect()} == {240, 241}
+
+
 def test_licenses(spark):
     texts = [None, "", "Released under the MIT License.", "mit\nlicense and the Apache  License", "nothing here", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "licensed mitre license"]
     rows = {r["doc_id"]: r for r in license_scan.scan(_docs(spark, texts)).collect()}
