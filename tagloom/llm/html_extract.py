@@ -1,6 +1,6 @@
 """Main text of web pages: semantic rules in each page, and site templates found by counting subtrees per host.
 
-Each page is parsed once. Every element subtree that could be boilerplate is hashed; Spark counts in how many
+Each page is parsed once. Every block element's subtree that the semantic rules leave is hashed; Spark counts in how many
 different pages of a host each hash occurs, and subtrees that recur across many pages of their host are deleted.
 """
 
@@ -25,7 +25,6 @@ BLOCKS = frozenset("address article blockquote body caption center dd details di
 #: Words of class and id names, and roles, that mark what is not the main text.
 MARKS = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer foot cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments discussion disqus respond reply replies pagination pager toolbar masthead skip widget copyright legal disclaimer".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th figcaption".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/>]|\Z))""", re.I)
@@ -59,8 +58,8 @@ def _marked(attributes: str, in_article: bool) -> bool:
 def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """(blocks in page order with the subtrees that hold each, a hash of every subtree that may be a template).
 
-    Where a page has article or main elements only they count. Inside an article, text elements are never template
-    candidates; outside one, every element is.
+    Where a page has article or main elements only they count. Every block element is a template candidate, inside
+    an article too; inline elements are parts of a sentence and none. What the semantic rules drop is not hashed.
     """
     blocks: list[tuple[str, list[int], bool]] = []
     subtrees: list[int] = []
@@ -121,7 +120,7 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             continue
         if m[3].endswith("/") and name not in BLOCKS and name not in DROPPED:
             continue
-        if not dropped and not e.dropped and name in BLOCKS and name not in ("html", "body", "article", "main") and not (articles and name in _TEXT):
+        if not dropped and not e.dropped and name in BLOCKS and name not in ("html", "body"):
             e.hashed = len(subtrees)
             subtrees.append(0)
         dropped += e.dropped
@@ -169,15 +168,13 @@ def extract(pages: DataFrame, least_pages: int = 10, least_share: float = 0.3) -
     are extracted each, but count once for templates. Counting adds up in each task before the shuffle.
     """
     found = written(parsed(pages), "parsed-pages")
-    with_key = found.withColumn("key", F.xxhash64("page_id", "url", "body"))
-    seen = with_key.filter(F.size("subtrees") > 0).select("host", "body", F.explode("subtrees").alias("subtree")).distinct()
+    seen = found.select("host", "body", F.explode("subtrees").alias("subtree")).distinct()
     counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    sizes = with_key.filter(F.size("subtrees") > 0).select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    templates = counts.join(sizes, "host").filter(F.col("n") >= least_share * F.col("of")).select("host", "subtree")
-    held = with_key.filter(F.size("subtrees") > 0).select("host", "key", F.explode("subtrees").alias("subtree")).join(templates, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("gone"))
-    # pages without a candidate, nearly all where sites mark their articles, need no join
-    some = with_key.filter(F.size("subtrees") > 0).join(held, "key", "left")
-    joined = some.unionByName(with_key.filter(F.size("subtrees") == 0), allowMissingColumns=True)
+    sizes = found.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    templates = counts.join(sizes, "host").filter(F.col("n") >= least_share * F.col("of"))
+    # a host has at most 1 / least_share times the subtrees of a page; as a table its size is known when the join is planned
+    gone = written(templates.groupBy("host").agg(F.collect_set("subtree").alias("gone")), "page-templates")
+    joined = found.join(gone, "host", "left")
     kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["held"], F.col("gone"))))
     text = F.concat_ws("\n", F.transform(kept, lambda b: b["text"]))
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

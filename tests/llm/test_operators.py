@@ -344,3 +344,12 @@ def test_html_templates(spark):
     rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(20)] + [(99, "http://b.example/", page.format(99))]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[5] == "Story number 5" and got[99] == "Join our club today\nStory number 99"
+
+
+def test_html_templates_in_articles(spark):
+    """Notices that stand in the article of every page of a host go; the same words on a host with one page stay."""
+    page = "<body><main><h1>Title {0}</h1><p>Story number {0}</p><p>Share this story</p><ul><li>Fact {0}</li><li>Get our mail</li></ul></main></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(20)] + [(99, "http://b.example/", page.format(99))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[5] == "Title 5\nStory number 5\nFact 5"
+    assert got[99] == "Title 99\nStory number 99\nShare this story\nFact 99\nGet our mail"
