@@ -84,7 +84,6 @@ _BRACKET_AT = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?", re.I)
 _BRACKET_DOT = re.compile(r"\s?[\[({<]\s?(?:dot|punkt|point|\.)\s?[\])}>]\s?", re.I)
 _WORD_AT_DOT = re.compile(r"(?<=[A-Za-z0-9._%+-])( at | @ )[A-Za-z0-9-]+(?:(?: dot | \. |\.)[A-Za-z0-9-]+)+", re.I)
 _WORD_SEP = re.compile(r" at | @ | dot | \. ", re.I)
-_HINTS = ("[at", "(at", "{at", "<at", "[ at", "( at", "[@", "(@", "[dot", "(dot", "{dot", "[.]", "(.)", " dot ", " @ ", "[ dot", "( dot")
 
 
 class Traced:
@@ -133,17 +132,10 @@ def deobfuscated(text: str) -> Traced:
 
 
 def suspicious(text: str) -> bool:
-    """Whether any transducer could change the text."""
-    if not text.isascii():
-        try:
-            text.encode("latin-1")
-            if "­" in text or " " in text:
-                return True
-        except UnicodeEncodeError:
-            if _GLYPH.search(text):
-                return True
-    low = text.lower()
-    return any(h in low for h in _HINTS) or (" at " in low and re.search(r" at [a-z0-9-]+\.[a-z]", low) is not None) or _SPELLED.search(text) is not None
+    """Whether any transducer's own pattern matches; where none does, no transducer changes what another one sees."""
+    if not text.isascii() and _GLYPH.search(text):
+        return True
+    return any(p.search(text) for p in (_SPELLED, _BRACKET_AT, _BRACKET_DOT, _WORD_AT_DOT))
 
 
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -353,3 +353,20 @@ def test_html_templates_in_articles(spark):
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[5] == "Title 5\nStory number 5\nFact 5"
     assert got[99] == "Title 99\nStory number 99\nShare this story\nFact 99\nGet our mail"
+
+
+@pytest.mark.parametrize("said", ["jane@example{dot}com", "jane@example<dot>com", "jane@example[punkt]com", "jane@example(point)com", "jane@example [ . ] com", "jane{@}example.com", "jane{ at }example.com", "jane< at >example.com", "jane at example . com"])
+def test_pii_disguise_alone(said):
+    """A disguise is found whatever else the text holds."""
+    for text in (f"Write to {said} today", f"Write to {said} today, room one, two, three, four"):
+        found = pii.spans(text)[1]
+        assert [s for s in found if s[0] == "email"] == [("email", 9, 9 + len(said))]
+
+
+def test_pii_gate():
+    """No text that the gate holds back is changed by a transducer."""
+    rng = random.Random(14)
+    parts = ["jane", " ", "at", "AT", "@", " at ", " dot ", ".", " . ", "[", "]", "{", "}", "<", ">", "(", ")", "dot", "punkt", "point", "example", "com", "one", "two ", "three-", "\u0430", "\u00ad", "\u017f", "\n"]
+    for _ in range(20000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        assert pii.suspicious(text) or pii.deobfuscated(text).text == text
