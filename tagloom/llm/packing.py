@@ -1,9 +1,10 @@
 """Best-fit packing of token pieces: configuration linear program over the length histogram.
 
 Texts are tokenised and cut in Spark. Only the histogram (at most `capacity` rows) reaches the driver, where the
-configuration LP is solved by multiplicative weights with unbounded-knapsack pricing, rounded down, and completed
-by best fit over what the histogram still holds. The plan, again bounded by the capacity, goes back to the pieces:
-ranks inside each length come from salted counts, and numpy looks up each rank's sequence and place.
+configuration LP is solved by multiplicative weights with unbounded-knapsack pricing up to a proven gap and rounded
+to whole sequences; best fit chooses a pattern's last pieces and packs what is left. The plan, again bounded by the
+capacity, goes back to the pieces: ranks inside each length come from salted counts, and numpy looks up each rank's
+sequence and place.
 """
 
 from __future__ import annotations
@@ -148,124 +149,151 @@ class Plan:
         return self.base[at] + inside // self.each[at], self.offset[self.first[at] + inside % self.each[at]]
 
 
-def _priced(value: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Knapsack by dynamic programming: how many of each length (any number) fill the capacity at the highest value."""
+def _priced(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """Knapsack by dynamic programming: how many of each size (any number) fill the capacity at the highest value, and that value."""
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(int(lengths[0]), capacity + 1):
-        n = int(np.searchsorted(lengths, c, side="right"))
-        gain = value[:n] + best[c - lengths[:n]]
-        i = int(gain.argmax())
-        best[c], took[c] = gain[i], i
-    counts, c = np.zeros(len(lengths), dtype=np.int64), capacity
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    for c in range(int(sizes[0]), capacity + 1):
+        gain = value[: fits[c]] + best[c - sizes[: fits[c]]]
+        took[c] = gain.argmax()
+        best[c] = gain[took[c]]
+    counts, c = np.zeros(len(sizes), dtype=np.int64), capacity
     while c > 0 and took[c] >= 0:
         counts[took[c]] += 1
-        c -= int(lengths[took[c]])
-    return counts
+        c -= int(sizes[took[c]])
+    return counts, float(best[capacity])
 
 
-def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 160, step: float = 0.15) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used, about, in the configuration LP: multiplicative weights on the lengths.
+def _from_here_on(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x[::-1])[::-1]
 
-    A round prices the pattern worth most, uses it until its scarcest length is covered by a `step` of the need,
-    and lowers the weights of what it covered.
+
+def fractional(sizes: np.ndarray, need: np.ndarray, capacity: int, gap: float = 0.05) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Patterns and how often each is used in a solution of the configuration program, and a lower bound of its value.
+
+    A slot may hold a smaller piece, so that the program asks, for each size, that the slots of that size or more be
+    at least the pieces of that size or more. Multiplicative weights: each turn prices the pattern worth most under
+    weights that fall exponentially with a demand's cover, and uses it until no demand is covered by more than
+    `width` more; the weights of a turn over its pattern's worth bound the value from below. It ends when the
+    solution, scaled to cover every demand, is within `gap` of the best bound, halving the width where a whole pass
+    (of cover ln m / width) doesn't get there.
     """
-    weight, covered, used = 1.0 / need, np.zeros(len(need)), []
-    for _ in range(rounds):
-        pattern = _priced(weight * np.exp(-np.minimum(covered * 8, 600)), lengths, capacity)
-        held = pattern > 0
-        times = float((step * need[held] / pattern[held]).min())
-        covered += times * pattern / need
-        used.append((pattern, times))
-        if covered.min() >= 1:
+    demand, bound, width = _from_here_on(need), 0.0, 0.5
+    while True:
+        cover, used, turns, reached = np.zeros(len(sizes)), {}, 0, False
+        while not reached and cover.min() < np.log(len(sizes) + 1) / width:
+            weight = np.exp(cover.min() - cover) / demand
+            pattern, worth = _priced(np.cumsum(weight), sizes, capacity)
+            bound = max(bound, float(weight @ demand) / worth)
+            held = _from_here_on(pattern) / demand
+            times = width / held.max()
+            cover += times * held
+            used[pattern.tobytes()] = used.get(pattern.tobytes(), 0.0) + times
+            turns += 1
+            reached = turns % 50 == 0 and cover.min() > 0 and sum(used.values()) <= cover.min() * bound * (1 + gap)
+        if sum(used.values()) <= cover.min() * bound * (1 + gap):
+            return [(np.frombuffer(k, dtype=np.int64), t / float(cover.min())) for k, t in used.items()], bound
+        width /= 2
+
+
+def _filled(lengths: np.ndarray, left: np.ndarray, capacity: int, slots: list[int]) -> np.ndarray:
+    """How many pieces of each length go to one sequence: for each slot (a largest length's index) the longest that is left
+    and fits, then the longest that fit what room remains."""
+    full, room = np.zeros(len(lengths), dtype=np.int64), capacity
+    for slot in (*slots, *([len(lengths) - 1] * capacity)):
+        most = min(slot, int(np.searchsorted(lengths, room, side="right")) - 1)
+        fits = np.flatnonzero(left[: most + 1] > full[: most + 1])
+        if len(fits):
+            full[fits[-1]] += 1
+            room -= int(lengths[fits[-1]])
+        elif most == len(lengths) - 1 or slot == len(lengths) - 1:
             break
-    return used
+    return full
 
 
-def _patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, solves: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(which lengths, how many of each, how often) of patterns that use up the counts."""
-    left, patterns = counts.astype(np.int64).copy(), []
+def patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, bins: int = 256) -> list[tuple[np.ndarray, int, bool]]:
+    """(how many of each length, how often, whether the program chose it) of patterns that use up the counts.
 
-    def use(pattern: np.ndarray, times: int) -> None:
-        held = np.flatnonzero(pattern)
-        patterns.append((held, pattern[held], times))
-        left[held] -= pattern[held] * times
+    The program works on lengths rounded up to one of `bins` sizes. Its patterns are rounded one after another, each
+    to what keeps their sum rounded down. A pattern's slots take the longest pieces left for them, but for the last:
+    best fit fills the room that rounding up lengths left. A pattern is used as often as its lengths last, then with
+    the next shorter ones. Best fit packs what no pattern took.
+    """
+    left, out = counts.astype(np.int64).copy(), []
 
-    for i in np.flatnonzero((lengths == capacity) & (left > 0)):
-        use(np.eye(1, len(lengths), i, dtype=np.int64)[0], int(left[i]))
-    for _ in range(solves):  # the program's solution, shrunk until nothing is covered twice, and rounded down; then of the rest
-        some = np.flatnonzero(left > 0)
-        if not len(some):
-            break
-        found = fractional(lengths[some], left[some].astype(float), capacity)
-        most = (sum(p * t for p, t in found) / left[some]).max()
-        before = len(patterns)
-        for pattern, times in found:
-            full = np.zeros(len(lengths), dtype=np.int64)
-            full[some] = pattern
-            held = full > 0
-            if (n := min(int(times / most), int((left[held] // full[held]).min()))) > 0:
-                use(full, n)
-        if len(patterns) == before:
-            break
-    while (left > 0).any():  # best fit, largest first; each turn uses up a length or all but a remainder of one
-        full, room = np.zeros(len(lengths), dtype=np.int64), capacity
-        while True:
-            i = int(np.searchsorted(lengths, room, side="right")) - 1
-            fits = np.flatnonzero(left[: i + 1] - full[: i + 1] > 0)
-            if not len(fits):
-                break
-            i = int(fits[-1])
-            n = int(min(left[i] - full[i], room // lengths[i]))
-            full[i] += n
-            room -= n * int(lengths[i])
+    def use(full: np.ndarray, most: int | None, chosen: bool) -> int:
         held = full > 0
-        use(full, int((left[held] // full[held]).min()))
-    return patterns
+        times = int((left[held] // full[held]).min())
+        times = times if most is None else min(times, most)
+        left[held] -= full[held] * times
+        out.append((full, times, chosen))
+        return times
+
+    short = lengths < capacity
+    if short.any():
+        unit = max(1, capacity // bins)
+        sizes, of = np.unique(-(-lengths[short] // unit), return_inverse=True)
+        found, _ = fractional(sizes, np.bincount(of, weights=counts[short]), capacity // unit)
+        largest = np.searchsorted(lengths, sizes * unit, side="right") - 1
+        found.sort(key=lambda x: x[0][::-1].tolist(), reverse=True)
+        whole = np.diff(np.floor(np.cumsum([0.0, *(t for _, t in found)]) + 1e-9)).astype(int)
+        for (pattern, _), times in zip(found, whole.tolist(), strict=True):
+            slots = [int(largest[i]) for i in np.flatnonzero(pattern)[::-1] for _ in range(pattern[i])]
+            while times > 0 and (left[short] > 0).any():
+                times -= use(_filled(lengths, np.where(short, left, 0), capacity, slots[:-1]), times, True)
+    while (left > 0).any():
+        use(_filled(lengths, left, capacity, []), None, False)
+    return out
 
 
 def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
-    """Sequences for `counts[i]` pieces of `lengths[i]` (ascending), none over the capacity: from the rounded linear
-    program, or from best fit alone where that needs fewer."""
-    patterns = min((_patterns(lengths, counts, capacity, solves) for solves in (1, 0)), key=lambda found: sum(t for *_, t in found))
+    """Sequences for `counts[i]` pieces of `lengths[i]` (ascending), none over the capacity, by patterns()."""
     rows, offsets, base = [], [], 0
     given = np.zeros(len(lengths), dtype=np.int64)
-    for held, each, times in patterns:
+    for full, times, _ in patterns(lengths, counts, capacity) if len(lengths) else ():
         place = 0
-        for i, k in zip(held.tolist(), each.tolist(), strict=True):
-            rows.append((int(lengths[i]), int(given[i]), base, k, len(offsets)))
-            offsets.extend(place + j * int(lengths[i]) for j in range(k))
-            place += k * int(lengths[i])
+        for i in np.flatnonzero(full).tolist():
+            k, n = int(full[i]), int(lengths[i])
+            rows.append((n, int(given[i]), base, k, len(offsets)))
+            offsets.extend(range(place, place + k * n, n))
+            place += k * n
             given[i] += k * times
         base += times
     columns = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5).T
     return Plan(*columns, np.array(offsets, dtype=np.int64), base)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, part_rows: int = 500_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece in one of as few sequences as found.
 
     Null texts count as empty and hold the end id alone; copies are packed one by one; an empty table gives no rows.
-    A length that most pieces share is ranked in `salts` parts. The driver holds the histogram and the plan, which
-    the capacity bounds, and no documents.
+    A piece of `capacity` ids is a sequence of its own, numbered below 0, and takes no part in the rest. The pieces of
+    a length are ranked in parts of about `part_rows`, or of a 64th of all pieces if that is less, so that a common
+    length is no single task. The driver holds the histogram, the counts of those parts and the plan, and no documents.
     """
     spark = docs.sparkSession
-    cut = written(pieces(docs, tokenizer, capacity, end).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")), "packing-pieces")
-    counts = cut.groupBy("length", "salt").count().collect()
-    by = sorted((r["length"], r["salt"], r["count"]) for r in counts)
-    total: dict[int, int] = {}
-    starts = []
-    for length, salt, n in by:
-        starts.append((length, salt, total.get(length, 0)))
-        total[length] = total.get(length, 0) + n
+    cut = written(pieces(docs, tokenizer, capacity, end).withColumn("spread", F.xxhash64(F.monotonically_increasing_id())), "packing-pieces")
+    shorter = cut.filter(F.col("length") < capacity)
+    total = {r["length"]: r["count"] for r in shorter.groupBy("length").count().collect()}
     lengths = np.array(sorted(total), dtype=np.int64)
     found = spark.sparkContext.broadcast(plan(lengths, np.array([total[x] for x in lengths.tolist()], dtype=np.int64), capacity))
-    before = spark.createDataFrame(starts, "length long, salt int, before long")
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")))
-    ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("rank") - 1 + F.col("before")).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+    part = max(1, min(part_rows, sum(total.values()) // 64))
+    parts = spark.createDataFrame([(x, -(-n // part)) for x, n in total.items()], "length long, parts long")
+    salted = shorter.join(F.broadcast(parts), "length").withColumn("salt", F.pmod("spread", F.col("parts")))
+    before: list[tuple[int, int, int]] = []
+    given = dict.fromkeys(total, 0)
+    for r in sorted(salted.groupBy("length", "salt").count().collect()):
+        before.append((r["length"], r["salt"], given[r["length"]]))
+        given[r["length"]] += r["count"]
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")))
+    ranked = ranked.join(spark.createDataFrame(before, "length long, salt long, before long"), ["length", "salt"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") - 1 + F.col("before")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequence, offset = found.value.place(*(batch.column(c).to_numpy() for c in ("length", "rank")))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    own = cut.filter(F.col("length") == capacity).select(*cut.columns[:5], (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.union(own)

@@ -185,6 +185,33 @@ def test_plan_fits_any_histogram():
         assert len(used) <= 1.05 * _least_bins(lengths, counts, 100) + 2
 
 
+def test_plan_comes_from_the_program():
+    """The program's patterns make nearly all sequences, and fewer than best fit alone where large pieces must be paired well."""
+    rng = np.random.default_rng(2)
+    lengths = np.arange(1000, 1700, 3)
+    counts = rng.integers(1, 300, len(lengths))
+    found = packing.patterns(lengths, counts, 4096)
+    assert (sum(full * n for full, n, _ in found) == counts).all() and all(full @ lengths <= 4096 for full, *_ in found)
+    total, chosen = sum(n for _, n, _ in found), sum(n for _, n, c in found if c)
+    left, alone = counts.copy(), 0
+    while left.any():
+        full = packing._filled(lengths, left, 4096, [])
+        n = int((left[full > 0] // full[full > 0]).min())
+        left, alone = left - n * full, alone + n
+    assert chosen >= 0.95 * total and total < 0.95 * alone
+
+
+def test_program_is_bounded():
+    """The bound holds for the exact optimum, and the solution covers every demand within the gap."""
+    sizes, need = np.array([3, 4, 5]), np.array([10.0, 8.0, 6.0])
+    used, bound = packing.fractional(sizes, need, 10, gap=0.02)
+    value = sum(t for _, t in used)
+    slots = sum(p * t for p, t in used)
+    assert bound <= value <= 1.02 * bound + 1e-9
+    assert all(slots[i:].sum() >= need[i:].sum() - 1e-9 for i in range(3))
+    assert (10 * 3 + 8 * 4 + 6 * 5) / 10 <= value  # never below the volume
+
+
 def test_piece_codec(spark):
     rng = random.Random(6)
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
