@@ -2,7 +2,7 @@
 
 H(Y | X) is the sum of the terms of communities above Y that hold no node of X, so the gain of a node is the part of
 its path that is not covered yet. All starts are searched in one job; the tree goes to the tasks as arrays whose
-size is checked. Gains are rounded to 1e-9 before ranking, so that equal ones tie in every order of addition.
+size is checked. Terms count in whole units of 1e-9, so that equal gains tie in every order of addition.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ from ..functions.ordering import top_per_group
 
 #: Nodes times levels that may be sent to the tasks.
 MOST_CELLS = 20_000_000
+#: Units of a term.
+UNIT = 10**9
 
 
 @dataclass
 class Tree:
-    """Per node (ascending ids) and level the community's number and term; -1 where a node has no community."""
+    """Per node (ascending ids) and level the community's number and term in units; the last number where a node has none."""
 
     ids: np.ndarray
     comm: np.ndarray
@@ -40,7 +42,7 @@ class Tree:
         return out
 
     def gains(self, covered: np.ndarray) -> np.ndarray:
-        return np.round((self.term * ~covered[self.comm]).sum(axis=1), 9)
+        return (self.term * ~covered[self.comm]).sum(axis=1)
 
 
 def arrays(tree: DataFrame, paths: DataFrame, nodes: DataFrame) -> Tree:
@@ -51,25 +53,26 @@ def arrays(tree: DataFrame, paths: DataFrame, nodes: DataFrame) -> Tree:
     found = rows.select("node_id", "level", "comm", "se_term").toPandas()
     ids = np.sort(nodes.select("node_id").toPandas()["node_id"].to_numpy())
     levels = sorted(found["level"].unique().tolist())
+    found["se_term"] = np.rint(found["se_term"] * UNIT).astype(np.int64)
     keys = found[["level", "comm", "se_term"]].drop_duplicates(["level", "comm"]).reset_index(drop=True)
     number = {(a, b): i for i, (a, b) in enumerate(zip(keys["level"], keys["comm"], strict=True))}
-    comm, term = np.full((len(ids), len(levels)), len(keys)), np.zeros((len(ids), len(levels)))
+    comm, term = np.full((len(ids), len(levels)), len(keys)), np.zeros((len(ids), len(levels)), dtype=np.int64)
     at, column = np.searchsorted(ids, found["node_id"]), np.searchsorted(levels, found["level"])
     comm[at, column] = [number[k] for k in zip(found["level"], found["comm"], strict=True)]
     term[at, column] = found["se_term"]
     return Tree(ids, comm, term, keys["se_term"].to_numpy(), levels)
 
 
-def _beam(t: Tree, given: list[int], size: int, width: int, dedupe: bool, allowed: list[np.ndarray] | None) -> list[tuple[list[int], float]]:
-    """Sequences of rows with their entropy given the rows `given`, best first."""
-    states: list[tuple[list[int], float, np.ndarray]] = [([], 0.0, t.covered(given))]
+def _beam(t: Tree, given: list[int], size: int, width: int, dedupe: bool, allowed: list[np.ndarray] | None) -> list[tuple[list[int], int]]:
+    """Sequences of rows with their entropy, in units, given the rows `given`, best first."""
+    states: list[tuple[list[int], int, np.ndarray]] = [([], 0, t.covered(given))]
     for step in range(size):
         gain, parent, node = [], [], []
         for i, (taken, value, covered) in enumerate(states):
             free = np.ones(len(t.ids), dtype=bool) if allowed is None else allowed[min(step, len(allowed) - 1)].copy()
             free[[*given, *taken]] = False
             rows = np.flatnonzero(free)
-            gain.append(np.round(value + t.gains(covered)[rows], 9)), parent.append(np.full(len(rows), i)), node.append(rows)
+            gain.append(value + t.gains(covered)[rows]), parent.append(np.full(len(rows), i)), node.append(rows)
         gain, parent, node = np.concatenate(gain), np.concatenate(parent), np.concatenate(node)
         if not len(gain):
             break
@@ -83,11 +86,11 @@ def _beam(t: Tree, given: list[int], size: int, width: int, dedupe: bool, allowe
             kept.append(k)
             if len(kept) == width:
                 break
-        states = [([*states[parent[k]][0], int(node[k])], float(gain[k]), states[parent[k]][2] | t.covered([int(node[k])])) for k in kept]
+        states = [([*states[parent[k]][0], int(node[k])], int(gain[k]), states[parent[k]][2] | t.covered([int(node[k])])) for k in kept]
     return [(taken, value) for taken, value, _ in states if taken]
 
 
-def _searched(starts: DataFrame, tree: Tree, search: Callable[[Tree, list[int]], list[tuple[list[int], float]]]) -> DataFrame:
+def _searched(starts: DataFrame, tree: Tree, search: Callable[[Tree, list[int]], list[tuple[list[int], int]]]) -> DataFrame:
     """(id, rank, y_ids, entropy) of starts (id, node_ids)."""
     sent = starts.sparkSession.sparkContext.broadcast(tree)
     kind = starts.schema["id"].dataType.simpleString()
@@ -98,7 +101,7 @@ def _searched(starts: DataFrame, tree: Tree, search: Callable[[Tree, list[int]],
             for key, nodes in zip(batch.column("id").to_pylist(), batch.column("node_ids").to_pylist(), strict=True):
                 given = [int(i) for i in np.searchsorted(t.ids, nodes) if i < len(t.ids)]
                 found = search(t, [i for i in given if t.ids[i] in nodes])
-                yield pa.RecordBatch.from_pydict({"id": pa.array([key] * len(found), batch.schema.field("id").type), "rank": pa.array(range(1, len(found) + 1), pa.int32()), "y_ids": pa.array([t.ids[y].tolist() for y, _ in found], pa.list_(pa.int32())), "entropy": pa.array([v for _, v in found], pa.float64())})
+                yield pa.RecordBatch.from_pydict({"id": pa.array([key] * len(found), batch.schema.field("id").type), "rank": pa.array(range(1, len(found) + 1), pa.int32()), "y_ids": pa.array([t.ids[y].tolist() for y, _ in found], pa.list_(pa.int32())), "entropy": pa.array([v / UNIT for _, v in found], pa.float64())})
 
     return starts.select("id", "node_ids").mapInArrow(run, f"id {kind}, rank int, y_ids array<int>, entropy double")
 
@@ -122,7 +125,7 @@ def beam_sets_local(starts: DataFrame, tree: Tree, size: int, width: int, expand
     """As beam_sets(), but step t draws from the t-th community that holds the whole start: from the root down
     (expand='code') or from the deepest up to the root (expand='bottom_up'); beyond the last, from that again."""
 
-    def search(t: Tree, given: list[int]) -> list[tuple[list[int], float]]:
+    def search(t: Tree, given: list[int]) -> list[tuple[list[int], int]]:
         rings = [np.ones(len(t.ids), dtype=bool)]
         for c in range(t.comm.shape[1]):
             own = set(t.comm[given, c].tolist())
@@ -142,13 +145,13 @@ def all_sequences(starts: DataFrame, tree: Tree, size: int, most: int = 5_000_00
     if (n := max(1, len(tree.ids) - 1)) ** max(size, 0) > most:
         raise ValueError(f"{n} nodes have more than {most} sequences of {size}")
 
-    def search(t: Tree, given: list[int]) -> list[tuple[list[int], float]]:
+    def search(t: Tree, given: list[int]) -> list[tuple[list[int], int]]:
         if size < 1:
-            return [([], 0.0)]
+            return [([], 0)]
         rest, base, out = [i for i in range(len(t.ids)) if i not in given], t.covered(given), []
         for combo in itertools.combinations(rest, min(size, len(rest))):
             new = t.covered(list(combo)) & ~base
-            value = round(float(t.terms[new[:-1]].sum()), 9)
+            value = int(t.terms[new[:-1]].sum())
             out += [(list(order), value) for order in itertools.permutations(combo)]
         return sorted(out, key=lambda x: (-x[1], x[0]))
 

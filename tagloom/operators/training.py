@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,11 +138,9 @@ def left_padded(rows: DataFrame, batch_size: int, pad: int, column: str = "rever
 
 def split_bounds(n: int, proportions: str) -> list[int]:
     """Bounds of the parts of n rows: rounded shares added up, an overshoot taken from every bound but the first."""
-    shares = [float(x) for x in proportions.split(",")]
-    bounds = [0]
-    for x in shares:
-        bounds.append(bounds[-1] + int(round(x / sum(shares) * float(n))))
-    return [0, *(b - (bounds[-1] - n) for b in bounds[1:])]
+    parts = np.array(proportions.split(","), dtype=float)
+    ends = np.rint(n * parts / parts.sum()).astype(int).cumsum()
+    return [0, *(ends + n - ends[-1]).tolist()]
 
 
 def phase_split(rows: DataFrame, proportions: str, seed: int, *keys: str) -> DataFrame:

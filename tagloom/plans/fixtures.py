@@ -48,7 +48,7 @@ WITH_TREE = (
   ), vol
 ), terms AS (SELECT node_id, level, comm, se_term FROM paths JOIN tree USING (level, comm)
 ), wide AS (
-  SELECT node_id, sum(se_term) AS full_term, list(comm ORDER BY level) AS c, list(se_term ORDER BY level) AS t FROM terms GROUP BY 1
+  SELECT node_id, sum(se_term) AS full_term, list(comm ORDER BY level) AS c, list(round(se_term * 1e9)::BIGINT ORDER BY level) AS units FROM terms GROUP BY 1
 ), sets AS (SELECT id, list_distinct(list(node_id)) AS node_ids FROM occ JOIN nodes USING (tag) GROUP BY 1)"""
 )
 

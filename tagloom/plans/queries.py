@@ -241,12 +241,12 @@ def chain_entropy_fixed(spark, sf):
 
 # search
 
-_GAIN = "list_sum(list_transform(range(1, 5), lambda i: CASE WHEN {y}.c[i] <> {x}.c[i] {more} THEN {y}.t[i] ELSE 0 END))"
+_GAIN = "list_sum(list_transform(range(1, 5), lambda i: CASE WHEN {y}.c[i] <> {x}.c[i] {more} THEN {y}.units[i] ELSE 0 END))"
 _FIRST = f"""one AS (
-  SELECT x.node_id AS s, y.node_id AS y1, round({_GAIN.format(x='x', y='y', more='')}, 9) AS h1 FROM wide x JOIN wide y ON x.node_id <> y.node_id
+  SELECT x.node_id AS s, y.node_id AS y1, {_GAIN.format(x='x', y='y', more='')} AS h1 FROM wide x JOIN wide y ON x.node_id <> y.node_id
 ), step AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h1 DESC, y1) AS r1 FROM one)"""
 _SECOND = f"""two AS (
-  SELECT s, y1, z.node_id AS y2, r1, round(h1 + {_GAIN.format(x='x', y='z', more='AND z.c[i] <> y.c[i]')}, 9) AS h2
+  SELECT s, y1, z.node_id AS y2, r1, h1 + {_GAIN.format(x='x', y='z', more='AND z.c[i] <> y.c[i]')} AS h2
   FROM step JOIN wide x ON s = x.node_id JOIN wide y ON y1 = y.node_id JOIN wide z ON z.node_id NOT IN (s, y1)
 )"""
 
@@ -258,37 +258,37 @@ def _fixed_search(spark: SparkSession, sf: str) -> tuple[DataFrame, combos.Tree]
 
 
 def _found(df: DataFrame) -> DataFrame:
-    return df.select(F.col("id").alias("start_id"), "rank", _joined(F.col("y_ids")).alias("y_ids"), _r("entropy"))
+    return df.select(F.col("id").alias("start_id"), "rank", _joined(F.col("y_ids")).alias("y_ids"), "entropy")
 
 
-@query(f"WITH {fx.WITH_TREE}, {_FIRST} SELECT s AS start_id, 1 AS rank, y1::VARCHAR AS y_ids, round(h1, 6) AS entropy FROM step WHERE r1 = 1")
+@query(f"WITH {fx.WITH_TREE}, {_FIRST} SELECT s AS start_id, 1 AS rank, y1::VARCHAR AS y_ids, h1 / 1e9 AS entropy FROM step WHERE r1 = 1")
 def beam_k2_fixed(spark, sf):
     starts, tree = _fixed_search(spark, sf)
     return _found(combos.beam_sets(starts, tree, 1, 100).filter("rank = 1"))
 
 
 @query(f"""WITH {fx.WITH_TREE}, {_FIRST}, {_SECOND}
-SELECT s AS start_id, 1 AS rank, y1 || ',' || y2 AS y_ids, round(h2, 6) AS entropy FROM two QUALIFY row_number() OVER (PARTITION BY s ORDER BY h2 DESC, r1, y2) = 1""")
+SELECT s AS start_id, 1 AS rank, y1 || ',' || y2 AS y_ids, h2 / 1e9 AS entropy FROM two QUALIFY row_number() OVER (PARTITION BY s ORDER BY h2 DESC, r1, y2) = 1""")
 def beam_k3_fixed(spark, sf):
     starts, tree = _fixed_search(spark, sf)
     return _found(combos.beam_sets(starts, tree, 2, 100).filter("rank = 1"))
 
 
 @query(f"""WITH {fx.WITH_TREE}, {_FIRST}, {_SECOND.replace('FROM step JOIN', 'FROM (FROM step WHERE r1 = 1) JOIN')}
-SELECT s AS start_id, 1 AS rank, y1 || ',' || y2 AS y_ids, round(h2, 6) AS entropy FROM two QUALIFY row_number() OVER (PARTITION BY s ORDER BY h2 DESC, y2) = 1""")
+SELECT s AS start_id, 1 AS rank, y1 || ',' || y2 AS y_ids, h2 / 1e9 AS entropy FROM two QUALIFY row_number() OVER (PARTITION BY s ORDER BY h2 DESC, y2) = 1""")
 def greedy_set_fixed(spark, sf):
     starts, tree = _fixed_search(spark, sf)
     return _found(combos.greedy_set(starts, tree, 2))
 
 
 @query(f"""WITH {fx.WITH_TREE}, {_FIRST}, {_SECOND}
-SELECT s AS start_id, (row_number() OVER (PARTITION BY s ORDER BY h2 DESC, r1, y2))::INTEGER AS rank, y1 || ',' || y2 AS y_ids, round(h2, 6) AS entropy FROM two QUALIFY rank <= 20""")
+SELECT s AS start_id, (row_number() OVER (PARTITION BY s ORDER BY h2 DESC, r1, y2))::INTEGER AS rank, y1 || ',' || y2 AS y_ids, h2 / 1e9 AS entropy FROM two QUALIFY rank <= 20""")
 def beam_sequences_fixed(spark, sf):
     starts, tree = _fixed_search(spark, sf)
     return _found(combos.beam_sequences(starts, tree, 2, 100).filter("rank <= 20"))
 
 
-@query(f"WITH {fx.WITH_TREE}, {_FIRST}, {_SECOND} SELECT s AS start_id, y1 || ',' || y2 AS y_ids, round(h2, 6) AS entropy FROM two")
+@query(f"WITH {fx.WITH_TREE}, {_FIRST}, {_SECOND} SELECT s AS start_id, y1 || ',' || y2 AS y_ids, h2 / 1e9 AS entropy FROM two")
 def all_sequences_fixed(spark, sf):
     starts, tree = _fixed_search(spark, sf)
     return _found(combos.all_sequences(starts, tree, 2)).drop("rank")
@@ -297,7 +297,7 @@ def all_sequences_fixed(spark, sf):
 @query(f"""WITH {fx.WITH_TREE}, {_FIRST}, near AS (
   SELECT s, y1, h1, r1 FROM step
 ), {_SECOND.replace('FROM step JOIN', 'FROM near JOIN').replace('z.node_id NOT IN (s, y1)', 'z.node_id NOT IN (s, y1) AND z.c[1] = x.c[1]')}
-SELECT s AS start_id, 1 AS rank, y1 || ',' || y2 AS y_ids, round(h2, 6) AS entropy FROM two QUALIFY row_number() OVER (PARTITION BY s ORDER BY h2 DESC, r1, y2) = 1""")
+SELECT s AS start_id, 1 AS rank, y1 || ',' || y2 AS y_ids, h2 / 1e9 AS entropy FROM two QUALIFY row_number() OVER (PARTITION BY s ORDER BY h2 DESC, r1, y2) = 1""")
 def local_beam_fixed(spark, sf):
     starts, tree = _fixed_search(spark, sf)
     return _found(combos.beam_sets_local(starts, tree, 2, 100).filter("rank = 1"))
@@ -313,14 +313,14 @@ def top_paths_fixed(spark, sf):
     return combos.top_paths(edges, entropy.node_entropy(tree, paths), 2, 5).select("start", F.array_join("path", ",").alias("path"), _r("score"), "rank")
 
 
-@query(f"WITH {fx.WITH_TREE}, {_FIRST} SELECT s AS start_id, y1 AS y_id, round(h1, 6) AS entropy, s // 100 AS batch, 2 AS k FROM step WHERE r1 = 1")
+@query(f"WITH {fx.WITH_TREE}, {_FIRST} SELECT s AS start_id, y1 AS y_id, h1 / 1e9 AS entropy, s // 100 AS batch, 2 AS k FROM step WHERE r1 = 1")
 def combos_round_trip(spark, sf):
     """Best pairs written by k and batch and read back."""
     starts, tree = _fixed_search(spark, sf)
     path = _path(spark, "combos")
     found = combos.combos_for_all_starts(starts.select(F.col("id").alias("node_id")), tree, 2, 100)
     files.write_combos(found, path, 2)
-    return files.read_combos(spark, path, 2).select("start_id", F.col("y_ids")[0].alias("y_id"), _r("max_conditional_se", "entropy"), F.col("batch").cast("int").alias("batch"), F.col("k").cast("int").alias("k"))
+    return files.read_combos(spark, path, 2).select("start_id", F.col("y_ids")[0].alias("y_id"), F.col("max_conditional_se").alias("entropy"), F.col("batch").cast("int").alias("batch"), F.col("k").cast("int").alias("k"))
 
 
 # taxonomy
