@@ -1,37 +1,29 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with license templates.
 
-Tokens are ordered by how many documents hold them, rarest first. A block (a line) and a template can only reach the
-containment threshold if they share a token of both prefixes, at positions that leave enough tokens, and if the
-block is long enough; all pairs that pass these filters are joined on prefix tokens and checked.
+Blocks are windows over a text's words, whatever its lines: twice as long as the template's words rounded up to a
+power of two, at half their length, so that every run of the template's length lies whole in one. Tokens are ordered
+by how many documents hold them, rarest first. A block and a template can only reach the containment threshold if they
+share a token of both prefixes, at positions that leave enough tokens, and if the block is long enough; all pairs that
+pass these filters are joined on prefix tokens and checked.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .license_texts import NOTICES, STATEMENTS
 
 #: Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Customary license statements, as words, and their labels.
-TEMPLATES = (
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("licensed under the apache license version 2 0", "apache"),
-    ("you may not use this file except in compliance with the license", "apache"),
-    ("this work is licensed under the gnu general public license version 3", "gpl"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
-    ("all rights reserved no part of this publication may be reproduced", "proprietary"),
-)
+TEMPLATES = STATEMENTS + NOTICES
 THRESHOLD = 0.9
+#: The least stride of windows.
+LEAST_STRIDE = 8
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,13 +35,23 @@ def words_text(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), low, F.lit(" ")), _GAP, " ")
 
 
+def template_words(text: str) -> list[str]:
+    """A template's words, in order, as words_text() gives them."""
+    return [w for w in re.split(_GAP, text.translate(str.maketrans(_UPPER, _LOWER))) if w]
+
+
+def stride(words: list[str]) -> int:
+    """The distance of the windows that a template of these words is sought in; they are twice as long."""
+    return max(LEAST_STRIDE, 1 << (len(words) - 1).bit_length())
+
+
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
 def base(docs: DataFrame, phrases=PHRASES) -> DataFrame:
-    """Columns n_words, n_base, first_word, last_word and found (labels) beside doc_id and text."""
-    with_words = docs.select("doc_id", "text", words_text(F.col("text")).alias("words"))
+    """Columns words, n_words, n_base, first_word, last_word and found (labels) beside doc_id."""
+    with_words = docs.select("doc_id", words_text(F.col("text")).alias("words"))
     hot = F.greatest(*(F.col("words").contains(f" {p} ").cast("int") for p, _ in phrases)) == 1
     count, first, last, labels = F.lit(0), [], [], []
     for phrase, label in phrases:
@@ -64,7 +66,6 @@ def base(docs: DataFrame, phrases=PHRASES) -> DataFrame:
     none = F.lit(None).cast("long")
     return with_words.select(
         "doc_id",
-        "text",
         "words",
         (_spaces(F.col("words")) - 1).cast("long").alias("n_words"),
         F.when(hot, count).otherwise(0).cast("long").alias("n_base"),
@@ -77,39 +78,50 @@ def base(docs: DataFrame, phrases=PHRASES) -> DataFrame:
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every whole text.
 
-    Containment is the share of a template's distinct words that a line holds; the score is the largest that reaches
+    Containment is the share of a template's distinct words that a window holds; the score is the largest that reaches
     the threshold, 1 where a phrase stands, else 0. Null and empty texts have no words; repeated rows each give a
-    row; other columns are not read. The driver holds the counts of the templates' own words and nothing else.
+    row; other columns are not read. Only texts that hold enough words of a template at all are cut into windows. The
+    driver holds the counts of the templates' own words and nothing else.
     """
-    vocabulary = sorted({w for t, _ in templates for w in t.split()})
-    lines = docs.select("doc_id", "text")
-    held = F.array_intersect(F.split("words", " "), F.lit(vocabulary))
-    found = base(lines, phrases).select("doc_id", F.xxhash64("text").alias("of"), "n_words", "n_base", "first_word", "last_word", "found", held.alias("held"))
-    based = written(found, "license-words")
+    known = [(k, label, template_words(text)) for k, (text, label) in enumerate(templates)]
+    need = {k: math.ceil(threshold * len(set(words)) - 1e-9) for k, _, words in known}
+    vocabulary = sorted({w for _, _, words in known for w in words})
+    counted = base(docs, phrases).withColumn("held", F.array_intersect(F.split("words", " "), F.lit(vocabulary)))
+    enough = F.lit(False)
+    for least in sorted(set(need.values())):
+        own = F.array(*(F.lit(sorted(set(words))) for k, _, words in known if need[k] == least))
+        enough |= (F.size("held") >= least) & (F.array_max(F.transform(own, lambda t: F.size(F.array_intersect("held", t)))) >= least)
+    # words are written only where some template may stand, so that the table stays small
+    rows = counted.select(F.monotonically_increasing_id().alias("row"), *(c for c in counted.columns if c != "words"), F.when(enough, F.col("words")).alias("words"))
+    based = written(rows, "license-words")
+
     counts = {r["w"]: r["n"] for r in based.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
-    rows, rare = [], set()
-    for k, (text, label) in enumerate(templates):
-        own = sorted(set(text.split()), key=place.__getitem__)
-        need = math.ceil(threshold * len(own) - 1e-9)
-        for i, w in enumerate(own[: len(own) - need + 1]):
-            rows.append((k, label, own, need, w, i))
-            rare.add(w)
-    known = docs.sparkSession.createDataFrame(rows, "template int, label string, own array<string>, need int, token string, at int")
-
-    low = F.lower("text")
-    some = lines.filter(F.greatest(*(low.contains(w).cast("int") for w in sorted(rare)), F.lit(0)) == 1)
-    some = some.filter(F.arrays_overlap(F.split(words_text(F.col("text")), " "), F.lit(sorted(rare))))
-    blocks = some.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.split("text", "\n")).alias("line"))
-    blocks = blocks.select("doc_id", "key", F.array_intersect(F.lit(order), F.split(words_text(F.col("line")), " ")).alias("tokens")).filter(F.size("tokens") > 0)
-    probes = blocks.select("doc_id", "key", "tokens", F.posexplode("tokens").alias("pos", "token"))
+    prefixes, strides = [], {}
+    for k, label, words in known:
+        own = sorted(set(words), key=place.__getitem__)
+        strides.setdefault(stride(words), set()).update(own)
+        prefixes += [(stride(words), k, label, own, need[k], w, i) for i, w in enumerate(own[: len(own) - need[k] + 1])]
+    known_rows = docs.sparkSession.createDataFrame(prefixes, "stride int, template int, label string, own array<string>, need int, token string, at int")
+
+    def windows(n: int, own: set[str]) -> Column:
+        """The windows' tokens in global order, for the templates with this stride."""
+        ordered = F.lit(sorted(own, key=place.__getitem__))
+        last = F.greatest(F.floor((F.size("split") - 1) / n), F.lit(0)).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_intersect(ordered, F.slice("split", i * n + 1, F.lit(2 * n))))
+        least = min(need[k] for k, _, words in known if stride(words) == n)
+        return F.transform(F.filter(cut, lambda t: F.size(t) >= least), lambda t: F.struct(F.lit(n).alias("stride"), t.alias("tokens")))
+
+    split = based.filter(F.col("words").isNotNull()).select("row", F.split(F.trim("words"), " ").alias("split"))
+    blocks = split.select("row", F.explode(F.array_distinct(F.concat(*(windows(n, own) for n, own in sorted(strides.items()))))).alias("b")).select("row", "b.*")
+    probes = blocks.select("row", "stride", "tokens", F.posexplode("tokens").alias("pos", "token"))
     size = F.size("tokens")
     fits = (size >= F.col("need")) & (F.col("pos") <= size - F.col("need")) & (F.least(size - F.col("pos"), F.size("own") - F.col("at")) >= F.col("need"))
     shared = F.size(F.array_intersect("tokens", "own"))
-    pairs = probes.join(F.broadcast(known), "token").filter(fits).withColumn("shared", shared).filter(F.col("shared") >= F.col("need"))
-    matched = pairs.groupBy(F.col("doc_id").alias("doc"), "key").agg(F.collect_set("label").alias("more"), F.max(F.col("shared") / F.size("own")).alias("share"))
-    both = based.join(matched, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("of") == F.col("key")), "left")
+    pairs = probes.join(known_rows, ["stride", "token"]).filter(fits).withColumn("shared", shared).filter(F.col("shared") >= F.col("need"))
+    matched = pairs.groupBy("row").agg(F.collect_set("label").alias("more"), F.max(F.col("shared") / F.size("own")).alias("share"))
+    both = based.drop("words", "held").join(matched, "row", "left")
     nothing = F.array().cast("array<string>")
     return both.select(
         "doc_id",
@@ -124,16 +136,17 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
 
 
 def sql(templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES) -> str:
-    """The same for DuckDB, each line against each template."""
+    """The same for DuckDB, each window against each template."""
     gap = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     low = f"translate({{}}, '{_UPPER}', '{_LOWER}')"
-    known = ", ".join(f"({sorted(set(t.split()))!r}, '{label}', {math.ceil(threshold * len(set(t.split())) - 1e-9)})" for t, label in templates)
+    words = [(template_words(t), label) for t, label in templates]
+    known = ", ".join(f"({sorted(set(w))!r}, '{label}', {math.ceil(threshold * len(set(w)) - 1e-9)}, {stride(w)})" for w, label in words)
     said = ", ".join(f"('{p}', '{label}')" for p, label in phrases)
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, trim(regexp_replace({low.format("coalesce(text, '')")}, '{gap}', ' ', 'g')) AS norm FROM documents
 ), w AS (SELECT *, CASE WHEN norm = '' THEN [] ELSE string_split(norm, ' ') END AS words FROM d
-), known(tokens, label, need) AS (VALUES {known}
+), known(tokens, label, need, stride) AS (VALUES {known}
 ), said(phrase, label) AS (VALUES {said}
 ), places AS (
   SELECT doc_id, s.label, i.i - 1 AS pos FROM w, said s, LATERAL (SELECT unnest(range(1, len(words) + 1)) AS i) i
@@ -141,11 +154,11 @@ WITH d AS (
 ), b AS (
   SELECT doc_id, count(*) AS n, min(pos) AS first, max(pos) AS last, list(DISTINCT label) AS found FROM places GROUP BY 1
 ), blocks AS (
-  SELECT doc_id, list_distinct(string_split(regexp_replace({low.format("line")}, '{gap}', ' ', 'g'), ' ')) AS tokens
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  SELECT doc_id, stride, list_distinct(words[i * stride + 1:(i + 2) * stride]) AS tokens
+  FROM (SELECT doc_id, words, stride, unnest(range(0, greatest((len(words) - 1) // stride, 0) + 1)) AS i FROM w, (SELECT DISTINCT stride FROM known))
 ), m AS (
   SELECT doc_id, list(DISTINCT label) AS more, max(shared / len(own)) AS share FROM (
-    SELECT b.doc_id, k.label, k.tokens AS own, k.need, len(list_intersect(b.tokens, k.tokens)) AS shared FROM blocks b, known k
+    SELECT b.doc_id, k.label, k.tokens AS own, k.need, len(list_intersect(b.tokens, k.tokens)) AS shared FROM blocks b JOIN known k USING (stride) WHERE len(b.tokens) >= k.need
   ) WHERE shared >= need GROUP BY 1
 )
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word,

@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tagloom.llm import components, html_extract, langid, license_scan, neardup, packing, pii, piece_codec, quality, suffix_dedup, topk
+from tagloom.llm import components, html_extract, langid, license_scan, license_texts, neardup, packing, pii, piece_codec, quality, suffix_dedup, topk
 
 PIECE = public_tokenizers.path("piece_bpe_32k.model")
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -354,6 +354,40 @@ def test_licenses(spark):
     assert rows[7]["first_word"] is None and rows[6]["score"] == 1.0
 
 
+def test_wrapped_licenses(spark):
+    """Notices are found across lines and comment marks, and their scattered words aren't taken for them."""
+    notices = dict(zip((label for _, label in license_texts.NOTICES), (text for text, _ in license_texts.NOTICES), strict=True))
+    wrap = lambda text, mark: "\n".join(mark + " ".join(text.split()[i : i + 7]) for i in range(0, len(text.split()), 7))
+    rng = random.Random(15)
+    filler = lambda n: _words(rng, n, 5000)
+    scattered = " ".join(x for w in license_scan.template_words(notices["bsd"]) for x in (w, *filler(5).split()))
+    texts = [f"{filler(300)}\n{wrap(notices[k], mark)}\n{filler(200)}" for k in ("mit", "bsd", "gpl", "mpl") for mark in ("// ", " * ", "")]
+    texts += [scattered, notices["isc"].replace("fee", "charge"), " ".join(notices["isc"].split()[:12])]
+    rows = {r["doc_id"]: r for r in license_scan.scan(_docs(spark, texts)).collect()}
+    assert [rows[i]["labels"] for i in range(len(texts))] == ["mit"] * 3 + ["bsd"] * 3 + ["gpl"] * 3 + ["mpl"] * 3 + ["", "isc", ""]
+    assert rows[0]["base_labels"] == "" and rows[13]["score"] < 1
+
+
+def test_license_windows_are_brute_force(spark):
+    """The filters of the join lose no window that reaches the threshold, and add none."""
+    rng = random.Random(16)
+    templates = tuple((" ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 14))), f"l{i}") for i in range(12))
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuv") for _ in range(rng.randrange(0, 60))) for _ in range(120)]
+    want = {}
+    for i, text in enumerate(texts):
+        words, best, labels = text.split(), 0.0, set()
+        for t, label in templates:
+            own, n = set(t.split()), license_scan.stride(t.split())
+            for a in range(0, max(len(words), 1), n):
+                shared = len(own & set(words[a : a + 2 * n]))
+                if shared >= 0.8 * len(own) - 1e-9:
+                    labels.add(label)
+                    best = max(best, shared / len(own))
+        want[i] = (",".join(sorted(labels)), best)
+    rows = license_scan.scan(_docs(spark, texts), templates=templates, threshold=0.8).collect()
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in rows} == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><header>Top</header>
 <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; more</h1><p>First  line<br>of <b>text</b><p>Second &lt;one&gt;<script>var t="</p>";</script>
 <aside>See also</aside><div class="comments"><p>Nice post</p></div><ul><li>Item one</li><li>Item two</li></ul></article><footer>&copy; us</footer></body></html>"""
