@@ -1,13 +1,15 @@
-"""Main text of web pages: semantic rules in each page, and site templates found by counting subtrees per host.
+"""Main text of web pages: site templates found by counting subtrees per host, and semantic rules in each page.
 
-Each page is parsed once. Every block element's subtree that the semantic rules leave is hashed; Spark counts in how many
-different pages of a host each hash occurs, and subtrees that recur across many pages of their host are deleted.
+Each page is parsed once. The subtree of every block element is hashed before any rule is applied; Spark counts in how
+many different pages of a host each hash occurs, and subtrees that recur across many pages of their host are deleted.
+Rules about element names, roles and class names then drop what stands on too few pages to be told by counting.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -17,14 +19,20 @@ from pyspark.sql import functions as F
 
 from .common import map_slices, written
 
-#: Element names of HTML by their part in a page.
+#: Element names of HTML by their part in a page. SKIPPED ones are parts of a line that aren't read.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = RAW | frozenset("head nav footer aside form button select option menu dialog svg math object canvas audio video map fieldset label datalist".split())
-BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Words of class and id names, and roles, that mark what is not the main text.
-MARKS = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer foot cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments discussion disqus respond reply replies pagination pager toolbar masthead skip widget copyright legal disclaimer".split())
+SKIPPED = frozenset("button select option svg math object canvas audio video map label datalist".split())
+DROPPED = frozenset("head nav footer aside menu dialog".split())
+BLOCKS = DROPPED | frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that no class name, role or size makes a part of the frame.
+CONTENT = frozenset("html body main article".split())
+#: Words of class and id names that mark what is not the main text, words that say nothing beside them, and roles.
+MARKS = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond replies pagination pager toolbar masthead".split())
+NEUTRAL = frozenset("site page main top bottom left right list box container wrapper wrap block section area global primary secondary inner outer bar links link item items buttons icons media widget header text policy form thread posts".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: The least share of the text left by the rules that articles must hold to be all that counts.
+ARTICLE_SHARE = 1 / 3
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/>]|\Z))""", re.I)
@@ -34,56 +42,85 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 @dataclass
 class _Element:
     name: str
-    dropped: bool
-    article: bool
     first: int
-    hashed: int = -1
-    marked: bool = field(default=False)
+    #: What a rule says: 2 drop, 1 drop unless it is what the page is about, 0 nothing.
+    rule: int = 0
+    skipped: bool = False
+    article: bool = False
+    parts: list[bytes] = field(default_factory=list)
+    last: int = -1
+    hashed: int = 0
+    closed: bool = True
 
 
-def _marked(attributes: str, in_article: bool) -> bool:
+def _marked(attributes: str, in_article: bool) -> int:
+    """The rule that attributes give: 2 for hidden elements and roles, 1 for class and id names that are marks as a whole."""
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 0
+    rule = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" and value in ("", "hidden") or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and any(w in MARKS or w == "header" and not in_article for w in re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+        if name == "hidden" and value in ("", "hidden") or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
+            return 2
+        if name in ("class", "id"):
+            for token in value.split():
+                words = set(re.split(r"[^a-z0-9]+", token)) - {""}
+                own = words & MARKS or (not in_article and "header" in words)
+                rule = 1 if own and words <= MARKS | NEUTRAL else rule
+    return rule
 
 
-def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """(blocks in page order with the subtrees that hold each, a hash of every subtree that may be a template).
+@dataclass
+class Page:
+    """Blocks of text in page order with whether each counts as main text, and the block elements."""
+
+    blocks: list[str]
+    kept: list[bool]
+    elements: list[_Element]
+
 
-    Where a page has article or main elements only they count. Every block element is a template candidate, inside
-    an article too; inline elements are parts of a sentence and none. What the semantic rules drop is not hashed.
+def parse(page: str) -> Page:
+    """The page's blocks and elements; the work is linear in its length, however deep elements are nested.
+
+    Where article or main elements hold a third of the text that rules leave, only they count. Inline elements are
+    parts of a sentence and have no subtree of their own; those that are skipped or marked say nothing. A form that
+    is never closed isn't dropped.
     """
-    blocks: list[tuple[str, list[int], bool]] = []
-    subtrees: list[int] = []
+    blocks: list[str] = []
+    inside: list[bool] = []
+    elements: list[_Element] = []
     stack: list[_Element] = []
     text: list[str] = []
-    dropped, articles, at = 0, 0, 0
+    open_: Counter[str] = Counter()
+    skipped, articles, at = 0, 0, 0
 
     def flush() -> None:
         said = " ".join("".join(text).split())
         text.clear()
         if said:
-            blocks.append((said, [e.hashed for e in stack if e.hashed >= 0], articles > 0))
+            blocks.append(said)
+            inside.append(articles > 0)
+            if stack:
+                stack[-1].parts.append(xxhash.xxh3_64_digest(said))
 
-    def close() -> None:
-        nonlocal dropped, articles
+    def close(closed: bool = True) -> None:
+        nonlocal skipped, articles
         e = stack.pop()
-        if e.hashed >= 0:
-            subtrees[e.hashed] = xxhash.xxh3_64_intdigest("\n".join([e.name, *(b[0] for b in blocks[e.first :])])) - (1 << 63) if len(blocks) > e.first else 0
-        dropped -= e.dropped
+        open_[e.name] -= 1
+        skipped -= e.skipped
         articles -= e.article
+        e.last, e.closed = len(blocks), closed
+        digest = b""
+        if e.name in BLOCKS and e.parts:
+            digest = xxhash.xxh3_64_digest(b"".join([e.name.encode(), *e.parts]))
+            e.hashed = int.from_bytes(digest, "little", signed=True)
+            elements.append(e)
+        if stack and e.parts:
+            stack[-1].parts.extend([digest] if digest else e.parts)
 
     while at < len(page):
         m = _TAG.search(page, at)
-        if not dropped:
+        if not skipped:
             text.append(html.unescape(page[at : m.start() if m else len(page)]))
         if m is None:
             break
@@ -94,45 +131,80 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
         if name == "br":
             text.append(" ")
             continue
-        if name in BLOCKS and not dropped:
+        if name in BLOCKS and not skipped:
             flush()
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None) if open_[name] else None
             if depth is not None and not (name == "p" and any(e.name in ("td", "article", "div") for e in stack[depth + 1 :])):
-                if not dropped:
-                    flush() if name in BLOCKS else None
                 while len(stack) > depth:
                     close()
             continue
         if name in VOID:
             continue
-        if name in BLOCKS and stack and stack[-1].name == "p" and not stack[-1].dropped or name in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1].name == name:
+        if name in BLOCKS and stack and stack[-1].name == "p" or name in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1].name == name:
             close()
-        elif name in BLOCKS:  # an open p with unclosed inline elements ends too
+        elif name in BLOCKS and open_["p"]:  # an open p with unclosed inline elements ends too
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name in BLOCKS), None)
-            if k is not None and stack[k].name == "p" and not any(e.dropped for e in stack[k:]):
+            if k is not None and stack[k].name == "p":
                 while len(stack) > k:
                     close()
-        e = _Element(name, name in DROPPED or (name == "header" and not articles) or _marked(m[3], articles > 0), name in ("article", "main"), len(blocks))
         if name in RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if m[3].endswith("/") and name not in BLOCKS and name not in DROPPED:
+        if m[3].endswith("/") and name not in BLOCKS and name not in SKIPPED:
             continue
-        if not dropped and not e.dropped and name in BLOCKS and name not in ("html", "body"):
-            e.hashed = len(subtrees)
-            subtrees.append(0)
-        dropped += e.dropped
+        e = _Element(name, len(blocks), article=name in ("article", "main"))
+        if name in DROPPED or name == "header" and not articles:
+            e.rule = 2
+        elif name not in CONTENT:
+            e.rule = max(int(name in ("form", "fieldset")), _marked(m[3], articles > 0))
+        e.skipped = name in SKIPPED or name not in BLOCKS and e.rule > 0
+        skipped += e.skipped
         articles += e.article
+        open_[name] += 1
         stack.append(e)
-    if not dropped:
+    if not skipped:
         flush()
     while stack:
-        close()
-    if any(inside for _, _, inside in blocks):
-        blocks = [b for b in blocks if b[2]]
-    return [(t, held) for t, held, _ in blocks], subtrees
+        close(closed=False)
+    return Page(blocks, _kept(blocks, inside, elements), elements)
+
+
+def _spread(n: int, spans: list[tuple[int, int]]) -> list[bool]:
+    """Which of n blocks lie in one of the spans."""
+    change = [0] * (n + 1)
+    for a, b in spans:
+        change[a] += 1
+        change[b] -= 1
+    depth, out = 0, []
+    for c in change[:n]:
+        depth += c
+        out.append(depth > 0)
+    return out
+
+
+def _kept(blocks: list[str], inside: list[bool], elements: list[_Element]) -> list[bool]:
+    sizes = list(map(len, blocks))
+    gone = _spread(len(blocks), [(e.first, e.last) for e in elements if e.rule == 2])
+    before = [0]
+    for n, g in zip(sizes, gone, strict=True):
+        before.append(before[-1] + n * (not g))
+    articles = [0]
+    for g, i in zip(gone, inside, strict=True):
+        articles.append(articles[-1] + (i and not g))
+
+    def framing(e: _Element) -> bool:
+        """Whether a marked element goes: always beside an article of its own, else unless it holds most of the text."""
+        beside = articles[-1] > 0 and articles[e.first] == articles[e.last]
+        return beside or 2 * (before[e.last] - before[e.first]) <= before[-1]
+
+    weak = [(e.first, e.last) for e in elements if e.rule == 1 and (e.closed or e.name != "form") and framing(e)]
+    kept = [not (g or w) for g, w in zip(gone, _spread(len(blocks), weak), strict=True)]
+    left = sum(n for n, k in zip(sizes, kept, strict=True) if k)
+    if 0 < left <= sum(n for n, k, i in zip(sizes, kept, inside, strict=True) if k and i) / ARTICLE_SHARE:
+        kept = [k and i for k, i in zip(kept, inside, strict=True)]
+    return kept
 
 
 def host(url: str | None) -> str:
@@ -141,40 +213,52 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_BLOCK = pa.struct([("text", pa.string()), ("held", pa.list_(pa.int64()))])
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("body", pa.int64()), ("blocks", pa.list_(_BLOCK)), ("subtrees", pa.list_(pa.int64()))])
+_SUBTREE = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("body", pa.int64()), ("blocks", pa.list_(pa.string())), ("subtrees", pa.list_(_SUBTREE))])
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, body, blocks, subtrees): body is a hash of all text, so that copies of a page count once."""
+    """(page_id, url, host, body, blocks, subtrees): the blocks that rules keep, and for each hash of a block element's
+    subtree the kept blocks it holds, none if the rules drop it. body is a hash of the kept text, so that copies of a
+    page count once."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-            blocks, subtrees = parse(page or "")
-            body = xxhash.xxh3_64_intdigest("\n".join(t for t, _ in blocks)) - (1 << 63)
-            held = [{"text": t, "held": [subtrees[i] for i in h if subtrees[i]]} for t, h in blocks]
-            rows.append((page_id, url, host(url), body, held, sorted({s for b in held for s in b["held"]})))
+            found = parse(page or "")
+            at = [0]
+            for k in found.kept:
+                at.append(at[-1] + k)
+            blocks = [b for b, k in zip(found.blocks, found.kept, strict=True) if k]
+            subtrees = [{"hash": e.hashed, "first": at[e.first], "last": at[e.last]} for e in found.elements]
+            rows.append((page_id, url, host(url), xxhash.xxh3_64_intdigest("\n".join(blocks)) - (1 << 63), blocks, subtrees))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PARSED, strict=True)], schema=_PARSED)
 
     return map_slices(pages.select(pages["page_id"].cast("long"), "url", "html"), run, _PARSED, text="html")
 
 
+def templates(found: DataFrame, least_pages: int = 10, least_share: float = 0.3) -> DataFrame:
+    """(host, gone): the hashes of each host's subtrees that `least_pages` pages of different text, and `least_share`
+    of the host's, hold. A host has at most 1 / least_share times the subtrees of a page."""
+    seen = found.select(F.xxhash64("host").alias("of"), "body", F.explode("subtrees.hash").alias("subtree")).distinct()
+    counts = seen.groupBy("of", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    # written, so that a host with very many counts can be split when they are joined
+    often = written(counts, "page-subtrees")
+    sizes = found.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("pages")).withColumn("of", F.xxhash64("host"))
+    many = often.join(written(sizes, "page-hosts"), "of").filter(F.col("n") >= least_share * F.col("pages"))
+    return written(many.groupBy("host").agg(F.collect_set("subtree").alias("gone")), "page-templates")
+
+
 def extract(pages: DataFrame, least_pages: int = 10, least_share: float = 0.3) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page, one line a block.
 
-    A subtree is a site template where at least `least_pages` pages of different text, and `least_share` of the
-    host's, hold it. Null and empty html give an empty text; a null url belongs to the host ''; copies of a page
-    are extracted each, but count once for templates. Counting adds up in each task before the shuffle.
+    Null and empty html give an empty text; a null url belongs to the host ''; copies of a page are extracted each,
+    but count once for templates; an empty table gives no rows. Other columns are not read.
     """
     found = written(parsed(pages), "parsed-pages")
-    seen = found.select("host", "body", F.explode("subtrees").alias("subtree")).distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    sizes = found.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    templates = counts.join(sizes, "host").filter(F.col("n") >= least_share * F.col("of"))
-    # a host has at most 1 / least_share times the subtrees of a page; as a table its size is known when the join is planned
-    gone = written(templates.groupBy("host").agg(F.collect_set("subtree").alias("gone")), "page-templates")
-    joined = found.join(gone, "host", "left")
-    kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["held"], F.col("gone"))))
-    text = F.concat_ws("\n", F.transform(kept, lambda b: b["text"]))
+    joined = found.join(templates(found, least_pages, least_share), "host", "left")
+    spans = F.filter("subtrees", lambda s: (s["first"] < s["last"]) & F.array_contains("gone", s["hash"]))
+    joined = joined.withColumn("spans", F.when(F.col("gone").isNotNull(), spans))
+    left = F.filter("blocks", lambda _, i: ~F.exists("spans", lambda s: (s["first"] <= i) & (i < s["last"])))
+    text = F.concat_ws("\n", F.when(F.size("spans") > 0, left).otherwise(F.col("blocks")))
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -416,6 +416,53 @@ def test_html_templates_in_articles(spark):
     assert got[99] == "Title 99\nStory number 99\nShare this story\nFact 99\nGet our mail"
 
 
+_TEXT = "<p>Some real text of the page that is long enough to count.</p><p>And more.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "more"),
+    [
+        ('<html><body class="has-sidebar">{}</body></html>', []),
+        ('<html class="no-footer"><body>{}</body></html>', []),
+        ('<body><div class="container header-fixed">{}</div></body>', []),
+        ('<body><article class="post share-enabled">{}</article></body>', []),
+        ('<body><article>{}<p class="related-work">Related work.</p><p id="legal">Legal part.</p></article></body>', ["Related work.", "Legal part."]),
+        ("<body><form><input name=q>{}<p>The rest.</p></body>", ["The rest."]),
+        ('<body>{}<div class="cookie-notice">We use</div><div class="comment-list"><p>Nice</p></div><nav>a</nav><form>Name</form></body>', []),
+        ('<body class="footer">{}<div class="ad">Buy <b>now</div></body>', []),
+    ],
+)
+def test_html_rules_leave_the_text(page, more):
+    found = html_extract.parse(page.format(_TEXT))
+    assert [b for b, k in zip(found.blocks, found.kept, strict=True) if k] == ["Some real text of the page that is long enough to count.", "And more.", *more]
+
+
+def test_html_teaser_and_depth():
+    found = html_extract.parse(f"<body><article><p>Read on</p></article><div>{_TEXT}</div></body>")
+    assert sum(found.kept) == 3
+    deep = html_extract.parse("<div>" * 20000 + "x" + "</div>" * 20000)
+    assert (deep.blocks, deep.kept, len(deep.elements)) == (["x"], [True], 20000)
+
+
+def test_html_recurrence_alone(spark):
+    """Blocks that no rule knows go where at least ten different pages, and three in ten, hold them; copies count once."""
+    page = "<body><section><p>{0} of {1}</p><p>Told by our staff</p></section><div><p>Rare line</p></div></body>"
+    rows = [(i, "http://a.example/x", page.format("Story", i)) for i in range(10)] + [(100 + i, "http://b.example/", page.format("Story", i)) for i in range(9)]
+    rows += [(200 + i, "http://b.example/", page.format("Story", 0)) for i in range(5)] + [(300 + i, "http://c.example/", page.format("Story", i)) for i in range(10)] + [(400 + i, "http://c.example/", f"<p>Other page {i}</p>") for i in range(24)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert len(got) == len(rows) and all(got[i] == f"Story of {i}" for i in range(10))
+    assert got[100] == got[200] == "Story of 0\nTold by our staff\nRare line" and got[300] == "Story of 0\nTold by our staff\nRare line"
+    assert html_extract.extract(pages.filter("false")).count() == 0
+
+
+def test_html_counts_before_rules(spark):
+    """Subtrees that rules would drop are hashed and counted too."""
+    page = '<body><nav><p>Home</p></nav><article><p>Story number {0} is told here.</p></article><footer>All about us</footer></body>'
+    found = html_extract.parsed(spark.createDataFrame([(i, "http://a.example/", page.format(i)) for i in range(12)], "page_id long, url string, html string")).cache()
+    assert len(html_extract.templates(found).first()["gone"]) == 3
+
+
 @pytest.mark.parametrize("said", ["jane@example{dot}com", "jane@example<dot>com", "jane@example[punkt]com", "jane@example(point)com", "jane@example [ . ] com", "jane{@}example.com", "jane{ at }example.com", "jane< at >example.com", "jane at example . com"])
 def test_pii_disguise_alone(said):
     """A disguise is found whatever else the text holds."""
