@@ -268,7 +268,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
 
     Null texts count as empty and hold the end id alone; copies are packed one by one; an empty table gives no rows.
     A piece of `capacity` ids is a sequence of its own, numbered below 0, and takes no part in the rest. The pieces of
-    a length are ranked in parts of about `part_rows`, or of a 64th of all pieces if that is less, so that a common
+    a length are ranked in parts of about `part_rows`, or of a 512th of all pieces if that is less, so that a common
     length is no single task. The driver holds the histogram, the counts of those parts and the plan, and no documents.
     """
     spark = docs.sparkSession
@@ -277,7 +277,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     total = {r["length"]: r["count"] for r in shorter.groupBy("length").count().collect()}
     lengths = np.array(sorted(total), dtype=np.int64)
     found = spark.sparkContext.broadcast(plan(lengths, np.array([total[x] for x in lengths.tolist()], dtype=np.int64), capacity))
-    part = max(1, min(part_rows, sum(total.values()) // 64))
+    part = max(1, min(part_rows, sum(total.values()) // 512))
     parts = spark.createDataFrame([(x, -(-n // part)) for x, n in total.items()], "length long, parts long")
     salted = shorter.join(F.broadcast(parts), "length").withColumn("salt", F.pmod("spread", F.col("parts")))
     before: list[tuple[int, int, int]] = []
