@@ -1,9 +1,10 @@
 """Quality rules in DataFrame operations: fixed limits, then robust multivariate outliers.
 
-For each language and source a minimum-covariance-determinant estimate of location and scatter is found by
-concentration steps: the documents nearest to the present estimate (a fixed share) give the next one, until its
-determinant stops falling. Documents far from the last estimate by Mahalanobis distance are rejected. Statistics enter as whole numbers on a fine grid, so
-that sums are exact and the result doesn't depend on how rows are dealt.
+For each language and source a minimum-covariance-determinant estimate of location and scatter is sought from several
+starts: the documents nearest to the present estimate (a fixed share) give the next one, until its determinant stops
+falling, and the start that ends with the least determinant is kept. Documents far from its estimate by Mahalanobis
+distance are rejected. Statistics enter as whole numbers on a fine grid, so that sums are exact and the result doesn't
+depend on how rows are dealt.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ TOLERANCE = 1e-3
 _MEDIAN = 3.3567
 #: The 0.999 quantile of that chi-square variable: the least squared distance of an outlier.
 CUTOFF = 18.4668
-#: The least spread of a statistic: the step that one occurrence makes in the shortest text of the fixed limits.
-RIDGE = math.log1p(10 / 50)
+#: The least spread of each statistic, as the shortest text of the fixed limits has it: of the mean length of 50 words
+#: about 0.3 characters in 5, of the others the difference that one occurrence makes.
+RIDGES = (0.05, math.log1p(10 / 50), math.log1p(10 / 50), math.log1p(10 / 50))
+#: Starts of the search beside the medians: the estimates of so many subsets, dealt by a hash of the statistics.
+SUBSETS = 3
 STATISTICS = ("z0", "z1", "z2", "z3")
 _P = len(STATISTICS)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
@@ -78,12 +82,12 @@ def transformed(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"z0": _grid(F.log1p(F.col("word_chars") / n)), "z1": share("n_symbols"), "z2": share("n_dup_lines"), "z3": share("n_repeat_words")})
 
 
-def _estimate(sums: DataFrame, by: list[str], ridge: float) -> DataFrame:
-    """Location m_i, inverse p_i_j of the scatter (plus ridge^2 on the diagonal) and log determinant, from sums."""
+def _estimate(sums: DataFrame, by: list[str], ridges: tuple[float, ...]) -> DataFrame:
+    """Location m_i, inverse p_i_j of the scatter (plus squared ridges on the diagonal) and log determinant, from sums."""
     cov = {(i, j): (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) / (GRID * GRID) for i, j in _PAIRS}
-    out = sums.select(*by, *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(_P)), *((v + (ridge * ridge if i == j else 0.0)).alias(f"c{i}{j}") for (i, j), v in cov.items()))
+    out = sums.select(*by, *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(_P)), *((v + (ridges[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for (i, j), v in cov.items()))
     for j in range(_P):
-        root = F.sqrt(F.greatest(F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0)), F.lit(ridge * ridge / 4)))
+        root = F.sqrt(F.greatest(F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0)), F.lit(ridges[j] ** 2 / 4)))
         out = out.withColumn(f"l{j}{j}", root)
         for i in range(j + 1, _P):
             out = out.withColumn(f"l{i}{j}", (F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}"))
@@ -102,11 +106,11 @@ def _same(by: list[str]) -> Column:
 
 
 def _distances(rows: DataFrame, estimate: DataFrame, by: list[str]) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance from the row's group estimate, and keeps the estimate's scale if it has one."""
+    """Adds d2, the squared Mahalanobis distance from the row's group estimate, and keeps the estimate's start and scale if it has them."""
     u = [(F.col(f"z{i}") - F.col(f"m{i}")) / GRID for i in range(_P)]
     d2 = sum(((1.0 if i == j else 2.0) * F.col(f"p{i}{j}") * u[i] * u[j] for i, j in _PAIRS), F.lit(0.0))
     joined = rows.join(F.broadcast(estimate), _same(by), "left")
-    return joined.withColumn("d2", F.when(F.col("m0").isNotNull(), F.greatest(d2, F.lit(0.0)))).drop(*(c for c in estimate.columns if c != "scale"))
+    return joined.withColumn("d2", F.when(F.col("m0").isNotNull(), F.greatest(d2, F.lit(0.0)))).drop(*(c for c in estimate.columns if c not in ("start", "scale")))
 
 
 def _sums() -> list[Column]:
@@ -137,25 +141,38 @@ def _bin() -> Column:
     return F.floor(F.log1p("d2") * BINS).cast("int")
 
 
-def concentrated(usable: DataFrame, by: list[str], share: float, ridge: float, least_rows: int) -> DataFrame:
-    """The estimate of each group of at least `least_rows` rows when its determinant has stopped falling.
+def _starts(usable: DataFrame, by: list[str], least_rows: int) -> DataFrame:
+    """Sums (by, start, n, s_i, q_i_j) that give the first estimates: start 0 from medians and spreads, the others from subsets."""
+    middle = usable.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile(f"z{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i in range(_P))).filter(F.col("n") >= least_rows)
+    square = lambda i, j: F.col(f"p{i}")[1] * F.col(f"p{j}")[1] + (F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) if i == j else 0.0)
+    medians = middle.select(*by, F.lit(0).alias("start"), F.lit(1).alias("n"), *(F.col(f"p{i}")[1].alias(f"s{i}") for i in range(_P)), *(square(i, j).alias(f"q{i}{j}") for i, j in _PAIRS))
+    subset = (F.pmod(F.xxhash64(*STATISTICS), F.lit(SUBSETS)) + 1).cast("int").alias("start")
+    sums = usable.groupBy(*by, subset).agg(*_sums()).filter(F.col("n") > _P)
+    large = middle.select(*(F.col(c).alias(f"_{c}") for c in by))
+    return medians.unionByName(sums.join(F.broadcast(large), _same(by), "left_semi"))
+
 
-    A step is kept where it lowers the log determinant by more than TOLERANCE, and the steps end when none does;
-    as the ridge bounds determinants from below, they do end. Each step reads and writes tables, so that plans don't
-    grow with the steps.
+def concentrated(usable: DataFrame, by: list[str], share: float, ridges: tuple[float, ...], least_rows: int) -> DataFrame:
+    """The estimate of each group of at least `least_rows` rows, of all starts the one that ends with the least determinant.
+
+    A turn is kept where it lowers the log determinant of a start by more than TOLERANCE, and turns end when none
+    does; as the ridges bound determinants from below, they do end. Each turn reads and writes tables, so that plans
+    don't grow with the turns.
     """
-    middle = usable.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile(f"z{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i in range(_P))).filter(F.col("n") >= least_rows)
-    # medians as sums, and spreads as variances, so that the first estimate is made like the others
-    start = middle.select(*by, F.lit(1).alias("n"), *(F.col(f"p{i}")[1].alias(f"s{i}") for i in range(_P)), *((F.col(f"p{i}")[1] * F.col(f"p{j}")[1] + (F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) if i == j else 0.0)).alias(f"q{i}{j}") for i, j in _PAIRS))
-    estimate = written(_estimate(start, by, ridge).withColumn("log_det", F.lit(float("inf"))).withColumn("fell", F.lit(True)), "mcd-estimate")
-    values = [c for c in estimate.columns if c not in {"fell", *(f"_{c}" for c in by)}]
+    keys = [*by, "start"]
+    first = _estimate(_starts(usable, by, least_rows), keys, ridges).withColumn("log_det", F.lit(float("inf"))).withColumn("fell", F.lit(True))
+    estimate = written(first, "mcd-estimate")
+    values = [c for c in estimate.columns if c not in {"fell", *(f"_{c}" for c in keys)}]
     while estimate.filter("fell").limit(1).count():
-        binned = _distances(usable, estimate, by).filter(F.col("d2").isNotNull()).groupBy(*by, _bin().alias("bin")).agg(*_sums())
-        after = _estimate(_nearest(binned, by, share), by, ridge).select(*(F.col(f"_{c}").alias(c) for c in by), F.struct(*values).alias("after"))
+        now = estimate.withColumnRenamed("_start", "start")
+        binned = _distances(usable, now, by).filter(F.col("d2").isNotNull()).groupBy(*keys, _bin().alias("bin")).agg(*_sums())
+        after = _estimate(_nearest(binned, keys, share), keys, ridges).select(*(F.col(f"_{c}").alias(c) for c in keys), F.struct(*values).alias("after"))
         fell = F.coalesce(F.col("after.log_det") < F.col("log_det") - TOLERANCE, F.lit(False))
-        both = after.join(estimate.drop("fell"), _same(by))
-        estimate = written(both.select(*(f"_{c}" for c in by), *(F.when(fell, F.col(f"after.{c}")).otherwise(F.col(c)).alias(c) for c in values), fell.alias("fell")), "mcd-estimate")
-    return estimate.drop("fell")
+        both = after.join(estimate.drop("fell"), _same(keys))
+        before, estimate = estimate, written(both.select(*(f"_{c}" for c in keys), *(F.when(fell, F.col(f"after.{c}")).otherwise(F.col(c)).alias(c) for c in values), fell.alias("fell")), "mcd-estimate")
+        discard(before)
+    least = F.row_number().over(Window.partitionBy(*(f"_{c}" for c in by)).orderBy(F.round("log_det", 9), "_start"))
+    return estimate.withColumn("least", least).filter(F.col("least") == 1).drop("least", "fell", "_start")
 
 
 def _pools(usable: DataFrame, by: list[str], least_rows: int) -> DataFrame:
@@ -174,11 +191,11 @@ def _pools(usable: DataFrame, by: list[str], least_rows: int) -> DataFrame:
     return counts.withColumn("level", level).filter(F.col("level").isNotNull()).select(*by, "level", *(F.when(i < len(by) - F.col("level"), F.col(c)).alias(f"pool{i}") for i, c in enumerate(by)))
 
 
-def judged(stats: DataFrame, by: tuple[str, str] = ("lang", "source"), share: float = 0.75, ridge: float = RIDGE, cutoff: float = CUTOFF, least_rows: int = 60) -> DataFrame:
+def judged(stats: DataFrame, by: tuple[str, str] = ("lang", "source"), share: float = 0.75, ridges: tuple[float, ...] = RIDGES, cutoff: float = CUTOFF, least_rows: int = 60) -> DataFrame:
     """Adds base_failed and kept to counted() rows, which must come from a written table.
 
-    The estimate of a group starts at its medians and spreads and takes concentration steps to the `share` of its
-    rows with the least distance until its determinant stops falling; rows that fail the fixed limits take no part.
+    The estimate of a group is that of the `share` of its rows that concentrated() ends with; rows that fail the fixed
+    limits take no part.
     Distances are scaled so that their median is that of a chi-square variable, unless that would narrow them. A
     group with fewer than `least_rows` usable rows is judged by the estimate of its language, or else of all rows;
     only a table with fewer rows in all gives no verdict. Nulls in lang or source are a group of their own.
@@ -192,7 +209,7 @@ def judged(stats: DataFrame, by: tuple[str, str] = ("lang", "source"), share: fl
     levels = narrow.withColumn("level", F.explode(F.array(*map(F.lit, range(len(by) + 1)))))
     dealt = levels.select("level", *(F.when(i < len(by) - F.col("level"), F.col(c)).alias(f"pool{i}") for i, c in enumerate(by)), *STATISTICS)
     usable = written(dealt.join(needed, _same(keys), "left_semi"), "quality-usable")
-    estimate = concentrated(usable, keys, share, ridge, least_rows)
+    estimate = written(concentrated(usable, keys, share, ridges, least_rows), "mcd-least")
     binned = _distances(usable, estimate, keys).filter(F.col("d2").isNotNull()).groupBy(*keys, _bin().alias("bin")).agg(F.count("*").alias("n"))
     scale = _below(binned, keys, 0.5).groupBy(*keys).agg(F.greatest(F.lit(1.0), F.expm1((F.max("bin") + 1) / BINS) / _MEDIAN).alias("scale"))
     scaled = scale.join(estimate, _same(keys)).drop(*keys)

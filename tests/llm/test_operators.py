@@ -318,14 +318,14 @@ def test_quality_repeated_short_lines(spark):
 
 
 def test_quality_determinant_stops_falling(spark):
-    """One more step from the estimate that is returned lowers no determinant."""
+    """One more turn from the estimate that is returned lowers no determinant, and no start ended lower by brute force."""
     rng = random.Random(12)
     points = [[int(rng.gauss(m, 300)) for m in (1700, 300, 0, 0)] for _ in range(300)] + [[int(rng.gauss(m, 60)) for m in (2600, 900, 0, 300)] for _ in range(120)]
     usable = spark.createDataFrame([("en", None, *z) for z in points], "lang string, source string, z0 long, z1 long, z2 long, z3 long").repartition(3)
-    by, ridge = ["lang", "source"], 0.05
-    last = quality.concentrated(usable, by, 0.75, ridge, 60)
+    by, ridges = ["lang", "source"], (0.05,) * 4
+    last = quality.concentrated(usable, by, 0.75, ridges, 60)
     binned = quality._distances(usable, last, by).groupBy(*by, quality._bin().alias("bin")).agg(*quality._sums())
-    after = quality._estimate(quality._nearest(binned, by, 0.75), by, ridge)
+    after = quality._estimate(quality._nearest(binned, by, 0.75), by, ridges)
     assert after.first()["log_det"] >= last.first()["log_det"] - quality.TOLERANCE
     # the determinant is that of the rows that were nearest, and the distances those of numpy
     r = last.first()
@@ -334,6 +334,17 @@ def test_quality_determinant_stops_falling(spark):
     u = (np.array(points) - [r[f"m{i}"] for i in range(4)]) / quality.GRID
     found = sorted(x["d2"] for x in quality._distances(usable, last, by).collect())
     assert np.allclose(found, sorted(np.einsum("ni,ij,nj->n", u, inverse, u)))
+    # numpy's own search from many random starts finds no determinant that is clearly less
+    z, ends = np.array(points) / quality.GRID, []
+    draw = np.random.default_rng(3)
+    for _ in range(200):
+        kept = draw.choice(len(z), 8, replace=False)
+        for _ in range(30):
+            mean, scatter = z[kept].mean(axis=0), np.cov(z[kept].T, bias=True) + np.diag(np.square(ridges))
+            d2 = np.einsum("ni,ij,nj->n", z - mean, np.linalg.inv(scatter), z - mean)
+            kept = np.argsort(d2, kind="stable")[: int(0.75 * len(z))]
+        ends.append(np.linalg.slogdet(np.cov(z[kept].T, bias=True) + np.diag(np.square(ridges)))[1])
+    assert r["log_det"] <= min(ends) + 0.02
 
 
 def test_quality_small_groups(spark):
