@@ -10,40 +10,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-_TOP = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+from .common import written
+
+_TOP = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("part", pa.int64())])
 _EXACT = 1 << 53
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
-def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, v array<bigint>): floor(scale * x) of each component.
+def usable(vectors: DataFrame, scale: int = 256) -> DataFrame:
+    """(vec_id, embedding) of the vectors that take part: not null, nor holding a null or a component that is not finite
+    when scaled. An empty vector stays."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double") * scale) < float("inf")))
+    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False))).select("vec_id", "embedding")
 
-    Null vectors and vectors that hold a null, NaN or infinite component are left out. An empty vector stays.
-    """
-    usable = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.filter(F.col("vec_id").isNotNull() & usable).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+
+def _tile(rows: pa.StructArray, dim: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and floor(scale * x) of the components, as float64, of packed rows (vec_id, embedding)."""
+    flat = rows.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return rows.field("vec_id").to_numpy(), np.floor(flat * scale).reshape(len(rows), dim)
 
 
-def _products(a: list, b: list) -> np.ndarray:
-    """Integer inner products of all pairs: in float64 while every partial sum is exact there, else as Python ints."""
-    most_a = max((abs(x) for v in a for x in (min(v, default=0), max(v, default=0))), default=0)
-    most_b = max((abs(x) for v in b for x in (min(v, default=0), max(v, default=0))), default=0)
-    exact = len(a[0]) * most_a * most_b < _EXACT
-    return np.array(a, dtype=np.float64 if exact else object) @ np.array(b, dtype=np.float64 if exact else object).T
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer inner products of all pairs: in float64 while every partial sum is exact there, else as Python's integers."""
+    most = [int(np.abs(x).max(initial=0.0)) for x in (a, b)]
+    if a.shape[1] * most[0] * most[1] < _EXACT:
+        return (a @ b.T).astype(np.int64)
+    whole = [np.array([[int(x) for x in row] for row in m.tolist()], dtype=object).reshape(m.shape) for m in (a, b)]
+    return np.clip(whole[0] @ whole[1].T, _LEAST, _MOST).astype(np.int64)
 
 
-def _best(queries: list, q_ids: np.ndarray, vectors: list, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    scores = _products(queries, vectors)
-    take = min(k + 1, len(v_ids))
+def _best(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out_q, out_v, out_s = [], [], []
-    for row, qid in zip(scores, q_ids, strict=True):
-        row = row.astype(object) if row.dtype == object else row.astype(np.int64)
-        if len(row) > 4 * take and row.dtype != object:
-            floor = np.partition(row, len(row) - take)[len(row) - take]
-            at = np.flatnonzero(row >= floor)
-        else:
-            at = np.arange(len(row))
-        at = at[v_ids[at] != qid]
-        at = at[np.lexsort((v_ids[at], -row[at].astype(np.float64) if row.dtype == object else -row[at]))][:k]
+    for row, qid in zip(_products(queries, vectors), q_ids, strict=True):
+        at = np.flatnonzero(v_ids != qid)
+        if len(at) > 4 * k:
+            own = row[at]
+            at = at[own >= np.partition(own, len(own) - k)[len(own) - k]]
+        at = at[np.lexsort((v_ids[at], -row[at].astype(object) if row.min() == _LEAST else -row[at]))][:k]
         out_q.append(np.full(len(at), qid)), out_v.append(v_ids[at]), out_s.append(row[at])
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
@@ -54,16 +57,16 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, til
     Queries and candidates are packed in tiles of about `tile` rows; each pair of tiles is one matrix product with
     a partial selection of k rows a query, and partial lists are merged `fan_in` tiles at a time before the last
     ranking. Vectors of another length than the query's are not its candidates. Ties go to the smaller vec_id; a
-    vec_id that occurs twice is two candidates of the same id. Null, NaN and infinite components drop the vector.
-    An empty table gives no rows.
+    vec_id that occurs twice is two candidates of the same id, and none of a query of that id, whose rows share one
+    list. Null, NaN and infinite components, also after scaling, drop the vector; scores beyond 64 bits count as the
+    nearest 64-bit number. An empty table gives no rows. Other columns are not read.
     """
-    spark = vectors.sparkSession
-    rows = quantised(vectors, scale).withColumn("dim", F.size("v"))
+    rows = written(usable(vectors, scale).withColumns({"dim": F.size("embedding"), "spread": F.xxhash64(F.monotonically_increasing_id())}), "topk-vectors")
     n = rows.count()
     shards, blocks = max(1, -(-n // tile)), max(1, -(-n // (every * tile)))
 
     def packed(df: DataFrame, count: int) -> DataFrame:
-        return df.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(count))).groupBy("part", "dim").agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
+        return df.withColumn("part", F.pmod("spread", F.lit(count))).groupBy("part", "dim").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("rows"))
 
     queries = packed(rows.filter(F.col("vec_id") % every == 0), blocks).select("dim", F.col("part").alias("block"), F.col("rows").alias("queries"))
     sent = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
@@ -71,12 +74,12 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, til
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                part, q, v = batch.column("part")[i].as_py(), batch.column("queries")[i].as_py(), batch.column("rows")[i].as_py()
-                found = _best([x["v"] for x in q], np.array([x["vec_id"] for x in q]), [x["v"] for x in v], np.array([x["vec_id"] for x in v]), k)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2].tolist(), pa.int64()), pa.array([part] * len(found[0]), pa.int64())], schema=_TOP.append(pa.field("part", pa.int64())))
+            for i, (part, dim) in enumerate(zip(batch.column("part").to_pylist(), batch.column("dim").to_pylist(), strict=True)):
+                (q_ids, q), (v_ids, v) = (_tile(batch.column(c)[i].values, dim, scale) for c in ("queries", "rows"))
+                found = _best(q, q_ids, v, v_ids, k)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found), pa.array(np.full(len(found[0]), part), pa.int64())], schema=_TOP)
 
-    top = pairs.select("part", "queries", "rows").mapInArrow(score, from_arrow_schema(_TOP.append(pa.field("part", pa.int64()))))
+    top = pairs.select("part", "dim", "queries", "rows").mapInArrow(score, from_arrow_schema(_TOP))
     by_score = [F.col("score").desc(), F.col("vec_id")]
     while shards > fan_in:
         shards = -(-shards // fan_in)

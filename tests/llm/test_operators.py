@@ -243,6 +243,19 @@ def test_top_k(spark):
     assert topk.top_k(rows.filter("false")).count() == 0
 
 
+def test_top_k_extremes(spark):
+    """Huge components, an id that many rows share, vectors of other lengths, and ties."""
+    many = [(50, [1.0, float(i)]) for i in range(40)]
+    rows = [(0, [1.0, 1.0]), (1, [1e30, 1.0]), (2, [1e307, 0.0]), (3, [-1e30, 0.0]), (4, [1.0]), (5, [2.0, 0.0]), (6, [0.0, 2.0]), (7, []), (100, [0.5]), *many]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rows", F.lit("x")).repartition(3)
+    got = {}
+    for r in topk.top_k(df, tile=8, fan_in=2).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    most = (1 << 63) - 1
+    assert sorted(got[0]) == [(1, 1, most), (2, 50, 256 * 256 * 40), (3, 50, 256 * 256 * 39), (4, 50, 256 * 256 * 38), (5, 50, 256 * 256 * 37)]
+    assert sorted(got[100]) == [(1, 4, 128 * 256)] and all(v != 50 for _, v, _ in got[50]) and len(got[50]) == 5
+
+
 def test_language(spark):
     texts = ["the cat and the dog are in the house with the man"] * 5 + ["le chat et le chien sont dans la maison avec les enfants"] * 5
     known = langid.profiles(spark.createDataFrame([(t, "en" if i < 5 else "fr") for i, t in enumerate(texts)], "text string, lang string"))
