@@ -2,10 +2,12 @@
 
 Every 200-byte string holds a sampled position, picked by its content alone (the least hash among its 73-byte grams),
 so equal strings are sampled alike. Spark sorts (rank, position) pairs: first by the 73 bytes at each sampled
-position, then by ever longer strings around it (169, 197, 200 bytes), each for a shorter run of window starts. A
-position whose rank is unique leaves; a run whose longest common string recurs is past the threshold as a whole;
-only runs at the rims of repeated passages are divided and ranked again. Ranking every byte, not only samples, would
-sort 58 times as many pairs.
+position, then by ever longer strings around it (169, 197, 200 bytes), each for a shorter run of window starts; the
+rank of a longer string is that of the pair of the shorter one's rank and of the bytes by which it grew. A position
+whose rank is unique leaves; a run whose longest common string recurs is past the threshold as a whole; only runs at
+the rims of repeated passages are divided and ranked again. Ranking every byte, not only samples, would sort 58 times
+as many pairs. All rounds are dealt by ranges of the sort order, so that a rank which very many positions share is
+split; where two parts meet, the positions are compared once more at the end.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -57,45 +59,55 @@ _hash = xxhash.xxh3_64_intdigest
 _SHIFT = 1 << 63
 
 
-def _keys(raw: bytes, base: int, n: int, row: int, at: int, first: int, size: int) -> tuple[int, int]:
-    """Hashes of the string that all windows of a run share, and of the string they cover together.
+def _whole(raw: bytes, base: int, n: int, row: int, at: int, first: int, size: int) -> int:
+    """A hash of the string that all windows of a run cover together.
 
-    raw starts at byte `base` of a text of n bytes. A run that reaches over an end of the text has a covered string
-    of its own, equal to no other's.
+    raw starts at byte `base` of a text of n bytes. A run that reaches over an end of the text has a string of its own,
+    equal to no other's.
     """
     low, high = at - first - size + 1, at - first + LENGTH
-    core = _hash(raw[at - first - base : low + LENGTH - base], first)
-    whole = _hash(raw[low - base : high - base], first + 1000) if low >= 0 and high <= n else _hash(b"%d:%d" % (row, at), first + 2000)
-    return core - _SHIFT, whole - _SHIFT
+    found = _hash(raw[low - base : high - base], first + 1000) if low >= 0 and high <= n else _hash(b"%d:%d" % (row, at), first + 2000)
+    return found - _SHIFT
 
 
-_RANKED = pa.schema([("core", pa.int64()), ("whole", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("first", pa.int16()), ("low", pa.int16()), ("high", pa.int16())])
+def _core(raw: bytes, base: int, at: int, first: int, size: int, rank: int, was: tuple[int, int]) -> int:
+    """The rank of the string that all windows of a run share: of the pair of the `rank` of the part of it that an
+    earlier run of (first, size) `was` shares, and of the bytes before and after that part."""
+    own, part = ((at - f - base, at - f - n + 1 + LENGTH - base) for f, n in ((first, size), was))
+    grown = b"%d:%d:%b" % (first, part[0] - own[0], raw[own[0] : part[0]] + raw[part[1] : own[1]])
+    return _hash(grown + rank.to_bytes(8, "little", signed=True)) - _SHIFT
+
+
+_PLACE = [("doc", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("first", pa.int16()), ("low", pa.int16()), ("high", pa.int16())]
+_RANKED = pa.schema([("core", pa.int64()), ("whole", pa.int64()), *_PLACE])
 
 
 def _samples(docs: DataFrame) -> DataFrame:
-    """The first round's pairs: every sampled position of every text (row, text)."""
+    """The first round's pairs: every sampled position of every text (doc, row, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[] for _ in _RANKED]
-        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "text")), strict=True):
             raw = (text or "").encode()
             at, low, high = (x.tolist() for x in sampled(raw))
-            keys = [_keys(raw, 0, len(raw), row, a, 0, RUNS[0]) for a in at]
-            for column, values in zip(out, ([k[0] for k in keys], [k[1] for k in keys], [row] * len(at), at, [0] * len(at), low, high), strict=True):
+            cores, wholes = [_hash(raw[a : a + _GRAM]) - _SHIFT for a in at], [_whole(raw, 0, len(raw), row, a, 0, RUNS[0]) for a in at]
+            for column, values in zip(out, (cores, wholes, [doc] * len(at), [row] * len(at), at, [0] * len(at), low, high), strict=True):
                 column.extend(values)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _RANKED, strict=True)], schema=_RANKED)
 
-    return map_slices(docs.select("row", "text"), run, _RANKED)
+    return map_slices(docs.select("doc", "row", "text"), run, _RANKED)
 
 
 def _judged(sorted_pairs: DataFrame, size: int) -> DataFrame:
-    """(row, at, first, low, high, start, end, again) of pairs sorted by (core, whole) inside partitions.
+    """(core, doc, row, at, first, low, high, start, end, again) of pairs sorted by (core, whole) inside partitions.
 
     start and end bound the bytes of a run whose covered string recurs (else null); `again` marks runs to divide:
     those whose core recurs though their whole doesn't, and one of each recurring whole among them, which they may
     have to be compared to. What lies beyond a partition's ends is taken to have the same core.
     """
 
+    names = ["core", *(c for c, _ in _PLACE)]
+
     def judge(t: dict[str, np.ndarray], head: bool, tail: bool) -> pa.RecordBatch:
         core, whole = t["core"], t["whole"]
         same = core[1:] == core[:-1]
@@ -106,8 +118,8 @@ def _judged(sorted_pairs: DataFrame, size: int) -> DataFrame:
         keep[0] &= head
         keep[-1] &= tail
         start = t["at"].astype(np.int32) - t["first"] - (size - 1)
-        columns = [pa.array(t[c][keep]) for c in ("row", "at", "first", "low", "high")]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(start[keep], mask=~mark[keep]), pa.array((start + LENGTH + size - 1)[keep].astype(np.int32), mask=~mark[keep]), pa.array(again[keep])], names=["row", "at", "first", "low", "high", "start", "end", "again"])
+        columns = [pa.array(t[c][keep]) for c in names]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(start[keep], mask=~mark[keep]), pa.array((start + LENGTH + size - 1)[keep].astype(np.int32), mask=~mark[keep]), pa.array(again[keep])], names=[*names, "start", "end", "again"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, head = None, True  # the last two rows seen; the last is still to be judged
@@ -124,16 +136,16 @@ def _judged(sorted_pairs: DataFrame, size: int) -> DataFrame:
         if held is not None:
             yield judge(held, head, True)
 
-    return sorted_pairs.mapInArrow(run, "row long, at int, first short, low short, high short, start int, end int, again boolean")
+    return sorted_pairs.mapInArrow(run, "core long, doc long, row long, at int, first short, low short, high short, start int, end int, again boolean")
 
 
 def _segments(docs: DataFrame, todo: DataFrame) -> DataFrame:
-    """(row, n, starts, parts): the bytes of each text that the runs still to be divided can reach."""
-    schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("starts", pa.list_(pa.int32())), ("parts", pa.list_(pa.binary()))])
+    """(doc, row, n, starts, parts): the bytes of each text that the runs still to be divided can reach."""
+    schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("starts", pa.list_(pa.int32())), ("parts", pa.list_(pa.binary()))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        for row, text, ats in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "ats")), strict=True):
+        for doc, row, text, ats in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "text", "ats")), strict=True):
             raw, starts, ends = (text or "").encode(), [], []
             for at in sorted(set(ats)):
                 low, high = max(0, at - RUNS[0] + 1), min(len(raw), at + LENGTH)
@@ -141,11 +153,12 @@ def _segments(docs: DataFrame, todo: DataFrame) -> DataFrame:
                     ends[-1] = high
                 else:
                     starts.append(low), ends.append(high)
-            out.append((row, len(raw), starts, [raw[a:b] for a, b in zip(starts, ends, strict=True)]))
+            out.append((doc, row, len(raw), starts, [raw[a:b] for a, b in zip(starts, ends, strict=True)]))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    wanted = todo.groupBy("row").agg(F.collect_list("at").alias("ats"))
-    return map_slices(docs.join(wanted, "row").select("row", "text", "ats"), run, schema)
+    # repeated rows are one text here
+    wanted = todo.groupBy("doc", "row").agg(F.collect_set("at").alias("ats"))
+    return map_slices(docs.join(wanted, ["doc", "row"]).select("doc", "row", "text", "ats"), run, schema)
 
 
 def _divided(todo: DataFrame, segments: DataFrame, before: int, size: int) -> DataFrame:
@@ -154,36 +167,43 @@ def _divided(todo: DataFrame, segments: DataFrame, before: int, size: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for row, n, starts, parts, runs in zip(*(batch.column(c).to_pylist() for c in ("row", "n", "starts", "parts", "runs")), strict=True):
+            for doc, row, n, starts, parts, runs in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "n", "starts", "parts", "runs")), strict=True):
                 bases = np.array(starts)
                 for r in runs:
                     k = int(np.searchsorted(bases, max(0, r["at"] - RUNS[0] + 1), side="right")) - 1
+                    raw, base = parts[k], starts[k]
                     for first in range(r["first"], r["first"] + before, size):
                         if first <= r["high"] and first + size > r["low"]:
-                            out.append((*_keys(parts[k], starts[k], n, row, r["at"], first, size), row, r["at"], first, r["low"], r["high"]))
+                            core = _core(raw, base, r["at"], first, size, r["core"], (r["first"], before))
+                            out.append((core, _whole(raw, base, n, row, r["at"], first, size), doc, row, r["at"], first, r["low"], r["high"]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_RANKED), _RANKED, strict=True)], schema=_RANKED)
 
-    runs = todo.groupBy("row").agg(F.collect_list(F.struct("at", "first", "low", "high")).alias("runs"))
-    return segments.join(runs, "row").mapInArrow(run, from_arrow_schema(_RANKED))
+    runs = todo.groupBy("doc", "row").agg(F.collect_list(F.struct("core", "at", "first", "low", "high")).alias("runs"))
+    return segments.join(runs, ["doc", "row"]).mapInArrow(run, from_arrow_schema(_RANKED))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(row, spans): the bytes of each text (row, text) that a recurring string of LENGTH bytes covers.
+    """(doc, row, spans): the bytes of each text (doc, row, text) that a recurring string of LENGTH bytes covers.
 
     spans are pairs of byte offsets, in no order and overlapping; rows without any are left out. Strings are compared
     by two 64-bit hashes together.
     """
-    order = ["core", "whole", "row", "at"]
-    pairs = written(_samples(docs), "suffix-samples")
-    judged = written(_judged(pairs.repartitionByRange(*order).sortWithinPartitions(*order), RUNS[0]), "suffix-judged")
-    discard(pairs)
-    found = [judged]
-    segments = written(_segments(docs, judged.filter("again")), "suffix-segments")
-    for before, size in zip(RUNS, RUNS[1:], strict=False):
-        pairs = _divided(found[-1].filter("again"), segments, before, size)
-        found.append(written(_judged(pairs.repartition("core").sortWithinPartitions(*order), size), "suffix-judged"))
-    marks = functools.reduce(DataFrame.union, (f.filter(F.col("start").isNotNull()).select("row", "start", "end") for f in found))
-    return marks.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    order = ["core", "whole", "doc", "row", "at"]
+    found: list[DataFrame] = []
+    for before, size in zip((0, *RUNS), RUNS, strict=False):
+        pairs = written(_divided(found[-1].filter("again"), segments, before, size) if found else _samples(docs), "suffix-pairs")
+        found.append(written(_judged(pairs.repartitionByRange(*order).sortWithinPartitions(*order), size), "suffix-judged"))
+        discard(pairs)
+        if before == 0:
+            segments = written(_segments(docs, found[0].filter("again")), "suffix-segments")
+    discard(segments)
+    marks = functools.reduce(DataFrame.union, (f.filter(F.col("start").isNotNull()).select("doc", "row", "start", "end") for f in found))
+    # single windows have one rank; what is undecided among them stands at the ends of partitions, two rows of each
+    edges = found[-1].filter("again")
+    twice = edges.groupBy("core").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("core")
+    start = F.col("at") - F.col("first")
+    met = edges.join(twice, "core", "left_semi").select("doc", "row", start.alias("start"), (start + LENGTH).alias("end"))
+    return marks.union(met).groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
@@ -197,9 +217,10 @@ def merged(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(docs: DataFrame, *columns: str) -> DataFrame:
-    keyed = docs.select(*columns, F.xxhash64("doc_id", "text").alias("row"))
-    return keyed.join(repeated(keyed.select("row", "text")), "row", "left").drop("row")
+def _with_spans(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The given columns of each row with text and spans; rows are told apart by two 64-bit hashes of doc_id and text."""
+    keyed = docs.select(*columns, docs["text"].alias("text"), F.xxhash64(docs["doc_id"]).alias("doc"), F.xxhash64(docs["text"], docs["doc_id"]).alias("row"))
+    return keyed.join(repeated(keyed.select("doc", "row", "text")), ["doc", "row"], "left").drop("doc", "row")
 
 
 _REPORT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -209,8 +230,8 @@ def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every text as UTF-8 bytes.
 
     A byte is removed if a 200-byte string that starts anywhere else too covers it. Null texts are empty; matches
-    never cross documents; repeated rows are copies of one another. Rows are told apart by a 64-bit hash of doc_id
-    and text. An empty table gives no rows.
+    never cross documents; repeated rows are copies of one another. Other columns are not read. An empty table gives
+    no rows.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -221,7 +242,7 @@ def report(docs: DataFrame) -> DataFrame:
             out.append((doc_id, len(raw), sum(b - a for a, b in gone), len(gone), hashlib.sha256(b"".join([raw[a:b] for a, b in _gaps(gone, len(raw))])).hexdigest()))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _REPORT, strict=True)], schema=_REPORT)
 
-    return map_slices(_with_spans(docs, docs["doc_id"].cast("long").alias("doc_id"), "text"), run, _REPORT)
+    return map_slices(_with_spans(docs, docs["doc_id"].cast("long").alias("doc_id")), run, _REPORT)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -237,7 +258,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    return _with_spans(docs, *docs.columns).withColumn("text", cut("text", "spans")).select(*docs.columns)
+    found = _with_spans(docs, F.struct(*(docs[c] for c in docs.columns)).alias("document"))
+    return found.select(F.col("document").withField("text", cut("text", "spans")).alias("document")).select("document.*")
 
 
 def _gaps(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:

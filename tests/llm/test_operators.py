@@ -127,6 +127,9 @@ def test_suffix_dedup(spark):
         kept = bytes(b for b, h in zip(raw, hit, strict=False) if not h)
         left[i] = None if texts[i] is None else kept.decode("utf-8", "ignore")
         want[i] = (len(raw), int(hit.sum()), int((hit[1:] > hit[:-1]).sum() + (hit[0] if len(raw) else 0)), hashlib.sha256(kept).hexdigest())
+    clashing = _docs(spark, texts).withColumns({c: F.lit(c) for c in ("row", "doc", "spans", "document", "start", "core")})
+    assert suffix_dedup.deduplicated(clashing).columns == clashing.columns
+    assert {r["doc_id"]: r["text"] for r in suffix_dedup.deduplicated(clashing).select("doc_id", "text").collect()}.keys() == set(range(len(texts)))
     rows = suffix_dedup.report(_docs(spark, texts)).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows} == want
     cut = {r["doc_id"]: r["text"] for r in suffix_dedup.deduplicated(_docs(spark, texts)).collect()}
