@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -13,24 +13,33 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"] or 0)
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m): the least neighbour of each a. A table of its own, so that a join with it can split an a of very many edges."""
+    return written(edges.groupBy("a").agg(F.min("b").alias("m")), "component-least")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the smallest node that can be reached from it.
 
     Each round joins nodes with their least neighbour and is written to the shared folder; the driver sees a count
-    and a checksum. Loops and repeated edges have no effect; an edge with a null end is left out.
+    and a checksum. Loops and repeated edges have no effect; an edge with a null end is left out. An empty table gives
+    no rows.
     """
     kept = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     now = written(kept.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges")
     state = _state(now)
     while state[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = _least(both)
+        star = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = written(star.distinct(), "component-edges")
+        low = _least(large)
         small = large.join(low, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "component-edges")
-        before, state = state, _state(now)
-        if state == before:
+        before, now = now, written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "component-edges")
+        for t in (before, least, large, low):
+            discard(t)
+        last, state = state, _state(now)
+        if state == last:
             break
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("label", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots)

@@ -1,12 +1,12 @@
 """Near-duplicates by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
-Documents of equal shingle sets are one class, and only its first document goes on. The signature is read in several
-orders (trees). A region is a set of documents that agree in the first columns of an order. Documents are sorted in
-each order, and each takes as a candidate the sorted neighbour with the longest common prefix, however deep the
-region must be read for that, and the document that most of its regions begin with. Pairs of one region that agree
-in enough columns but aren't joined by candidates yet are joined too, so that each cluster of candidates holds all
-pairs worth a test. Links are then confirmed on full sets: to the candidates first, and last all pairs across the
-components that a cluster still holds.
+Documents of equal shingle sets are one class, and only one document of it goes on. The signature is read in several
+orders (trees). A region is a set of documents that agree in the first columns of an order; one that is too large is
+read deeper, each part as deep as it takes. Documents are sorted in each order, and each takes as a candidate the
+sorted neighbour with the longest common prefix, and the document that most of its regions begin with. Then all pairs
+inside regions are compared whose documents are not joined yet: first in the regions as deep as they were read, and
+last in the shallow ones that were too large, so that reading deeper loses none. Links are confirmed on full sets: to
+the candidates first, and then all pairs across the components that a cluster still holds.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from .components import components
 
 COLUMNS, TREES = 128, 32
 WIDTH = COLUMNS // TREES
-#: Columns of an order that sorting looks at.
+#: Columns of an order that sorting looks at, and that regions are read to where more than LARGE documents share fewer.
 DEEPEST = 16
+DEPTHS = (WIDTH, 6, 8, 12, DEEPEST)
+LARGE = 512
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _seeds = np.random.default_rng(20240607)
 _FACTOR = (_seeds.integers(1, 1 << 31, COLUMNS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -83,29 +85,34 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary())])
 
 
 def signed(docs: DataFrame, size: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature) of every text; the signature's columns are big-endian."""
+    """(doc_id, text_key, n_shingles, set_key, signature) of every text; the signature's columns are big-endian."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([signature(s).astype(">u4").tobytes() if len(s) else None for s in sets], pa.binary())], schema=_SIGNED)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([signature(s).astype(">u4").tobytes() if len(s) else None for s in sets], pa.binary())], schema=_SIGNED)
 
-    return map_slices(docs.select(docs["doc_id"].cast("long"), "text"), run, _SIGNED)
+    return map_slices(docs.select(docs["doc_id"].cast("long"), docs["text"], F.xxhash64(docs["text"]).alias("text_key")), run, _SIGNED)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(node, hashes) of the documents whose id is in ids (node)."""
+def _sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(node, hashes) of classes (node, first, set_key): first is the doc_id of a document of the class."""
     schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(t, size).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], schema=schema)
+        nodes, out = [], []
+        for node, key, text in zip(*(batch.column(c).to_pylist() for c in ("node", "set_key", "text")), strict=True):
+            hashes = shingles(text, size).tobytes()
+            if xxhash.xxh3_128_digest(hashes) == key:  # another document may have the same doc_id
+                nodes.append(node), out.append(hashes)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], schema=schema)
 
-    some = docs.select(docs["doc_id"].cast("long").alias("node"), "text").join(ids, "node", "left_semi")
-    return map_slices(some, run, schema)
+    some = docs.select(docs["doc_id"].cast("long").alias("own"), docs["text"].alias("text")).join(classes, F.col("own").eqNullSafe(F.col("first")))
+    return map_slices(some.select("node", "set_key", "text"), run, schema).dropDuplicates(["node"])
 
 
 def _agree(pairs: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
@@ -137,7 +144,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
             last_tree, last_doc, last_order = tree[-1:], doc[-1:], order[-1:]
             yield pa.RecordBatch.from_arrays([pa.array(doc[at + 1]), pa.array(doc[at]), pa.array(depth[at].astype(np.int32))], names=["a", "b", "depth"])
 
-    near = rows.repartitionByRange("tree", "order").sortWithinPartitions("tree", "order", "node").mapInArrow(run, "a long, b long, depth int")
+    near = rows.repartitionByRange("tree", "order", "node").sortWithinPartitions("tree", "order", "node").mapInArrow(run, "a long, b long, depth int")
     return near.groupBy("a").agg(F.max(F.struct("depth", "b"))["b"].alias("b"))
 
 
@@ -191,27 +198,33 @@ class _Forest:
 
 def _tiles(rows: DataFrame, key: str, block: int) -> DataFrame:
     """Deals each group's rows (key, node, label, ...) out as tiles: blocks of all but its largest label (side 0)
-    against blocks of all its rows (side 1). Groups of one label have none."""
+    against blocks of all its rows (side 1). Groups of one label have none. The groups' sizes are a table of their own,
+    so that the joins can split a group of very many rows."""
     sizes = rows.groupBy(key, "label").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("m"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main"))
-    mixed = rows.join(sizes.filter(F.col("labels") > 1), key).withColumn("of", F.ceil(F.col("m") / block).cast("int"))
+    mixed = rows.join(written(sizes.filter(F.col("labels") > 1), "neardup-sizes"), key).withColumn("of", F.ceil(F.col("m") / block).cast("int"))
     own = mixed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     minor = own.filter(F.col("label") != F.col("main"))
-    held = minor.select(key, F.col("part").alias("i")).distinct()
+    held = written(minor.select(key, F.col("part").alias("i")).distinct(), "neardup-held")
     left = minor.withColumn("i", F.col("part")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumn("side", F.lit(0))
     right = own.withColumn("j", F.col("part")).join(held, key).withColumn("side", F.lit(1))
     columns = [key, "i", "j", "side", *(c for c in rows.columns if c != key)]
-    return left.select(*columns).union(right.select(*columns)).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "side")
+    return left.select(*columns).union(right.select(*columns))
 
 
-def _joined_labels(regions: DataFrame, labels: DataFrame, signatures: DataFrame, agree: int, block: int = 512) -> DataFrame:
-    """(a, b): labels that pairs of one region connect, whose signatures agree in enough columns.
+def _labelled(groups: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """(key, node, label) of the groups (key, node) that hold more than one label; a node without one is its own."""
+    rows = groups.select(key, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = rows.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") < F.col("high")).select(key)
+    return written(rows.join(written(mixed, "neardup-mixed"), key, "left_semi").select(key, "node", "label"), "neardup-labelled")
+
+
+def _joined_labels(regions: DataFrame, labels: DataFrame, signatures: DataFrame, agree: int, block: int = LARGE) -> DataFrame:
+    """(a, b): labels that pairs of one region (key, node) connect, whose signatures agree in enough columns.
 
     Every pair across labels is compared, in tiles; a tile reports no connection twice, so that what it reports is
     no more than its labels.
     """
-    rows = regions.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") < F.col("high")).select("key")
-    rows = rows.join(mixed, "key", "left_semi").join(signatures, "node").select("key", "node", "label", "signature")
+    tiles = _tiles(_labelled(regions, "key", labels), "key", block).join(signatures, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
@@ -231,7 +244,7 @@ def _joined_labels(regions: DataFrame, labels: DataFrame, signatures: DataFrame,
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _tiles(rows, "key", block).mapInArrow(run, "a long, b long")
+    return tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, "a long, b long")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -270,9 +283,7 @@ def _remaining(clusters: DataFrame, labels: DataFrame, sets: DataFrame, signatur
     All pairs across labels whose signatures agree in enough columns are confirmed, but for those whose labels an
     earlier link of the tile already joins.
     """
-    rows = clusters.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = rows.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") < F.col("high")).select("cluster")
-    rows = rows.join(mixed, "cluster", "left_semi").join(signatures, "node").join(sets, "node").select("cluster", "node", "label", "signature", "hashes")
+    tiles = _tiles(_labelled(clusters, "cluster", labels), "cluster", block).join(signatures, "node").join(sets, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _groups(batches, ["cluster", "i", "j"]):
@@ -291,54 +302,85 @@ def _remaining(clusters: DataFrame, labels: DataFrame, sets: DataFrame, signatur
                     a.append(node[p]), b.append(node[q])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _tiles(rows, "cluster", block).mapInArrow(run, "a long, b long")
-
+    return tiles.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side").mapInArrow(run, "a long, b long")
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, agree: int = 79) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): components of documents linked at `percent` similarity of their sets of `size`-word shingles.
 
-    Only pairs whose signatures agree in `agree` of 128 columns are confirmed; a pair at 80 % fails that, or shares
-    no region, about once in a million. Null texts and texts without words have no shingles and link with nothing,
-    not even with one another. Repeated rows each give a row; other columns are not read. An empty table gives no rows.
-    """
-    marks = written(signed(docs, size), "neardup-signatures")
-    classes = marks.filter(F.col("n_shingles") > 0).groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    firsts = classes.select("node").join(marks.select(F.col("doc_id").alias("node"), "signature"), "node").dropDuplicates(["node"])
-    signatures = written(firsts, "neardup-first")
-    order = lambda t: F.substring(F.concat("signature", "signature"), 4 * WIDTH * t + 1, 4 * DEEPEST)
-    trees = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("signature", 4 * WIDTH * t + 1, 4 * WIDTH)).alias("key")) for t in range(TREES))))
+def _regions(signatures: DataFrame, depth: int, within: DataFrame | None = None) -> DataFrame:
+    """(node, tree, key, n, centre): the regions of two documents or more at a depth, of all (node, tree) or of those in
+    `within`; n is a region's size and centre its least node."""
+    prefix = lambda t: F.substring(F.concat("signature", "signature"), 4 * WIDTH * t + 1, 4 * depth)
+    trees = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.lit(depth), prefix(t)).alias("key")) for t in range(TREES))))
     rows = signatures.select("node", trees.alias("r")).select("node", "r.tree", "r.key")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter(F.col("n") >= 2).select("key", "centre")
-    regions = written(rows.join(shared, "key"), "neardup-regions")
+    if within is not None:
+        rows = rows.join(within.select("node", "tree"), ["node", "tree"], "left_semi")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter(F.col("n") >= 2)
+    return written(rows.join(written(shared, "neardup-shared"), "key").select("node", "tree", "key", "n", "centre"), "neardup-regions")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, agree: int, large: int) -> DataFrame:
+    """near_duplicates() with text_key, a hash of the row's text."""
+    marks = written(signed(docs, size).withColumn("mark", F.monotonically_increasing_id()), "neardup-signatures")
+    classes = written(marks.filter(F.col("n_shingles") > 0).groupBy("set_key").agg(F.min("mark").alias("node"), F.min("doc_id").alias("first")), "neardup-classes")
+    signatures = written(classes.select("node").join(marks.select(F.col("mark").alias("node"), "signature"), "node"), "neardup-first")
+
+    shallow = _regions(signatures, WIDTH)
+    regions, wide = shallow.filter(F.col("n") <= large), shallow.filter(F.col("n") > large)
+    split = bool(wide.take(1))
+    deeper = wide
+    for depth in DEPTHS[1:]:
+        if not deeper.take(1):
+            break
+        found = _regions(signatures, depth, deeper)
+        regions = regions.union(found if depth == DEEPEST else found.filter(F.col("n") <= large))
+        deeper = found.filter(F.col("n") > large)
 
     # candidates: sorted neighbours, and the document that most often is the first of a document's regions
-    at = F.element_at(F.array(*(order(t) for t in range(TREES))), F.col("tree") + 1)
-    sorted_rows = written(regions.select("node", "tree").join(signatures, "node").select("node", "tree", at.alias("order")), "neardup-orders")
+    order = F.element_at(F.array(*(F.substring(F.concat("signature", "signature"), 4 * WIDTH * t + 1, 4 * DEEPEST) for t in range(TREES))), F.col("tree") + 1)
+    sorted_rows = written(shallow.select("node", "tree").join(signatures, "node").select("node", "tree", order.alias("order")), "neardup-orders")
     near = _neighbours(sorted_rows)
     often = regions.filter(F.col("node") != F.col("centre")).groupBy("node", "centre").agg(F.count("*").alias("n"))
     star = often.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("m")).select("a", (-F.col("m.c")).alias("b"))
     candidates = written(_agree(near.select("a", "b").union(star).distinct(), signatures, agree), "neardup-candidates")
     discard(sorted_rows)
-    loose = written(components(candidates), "neardup-loose")
-    more = written(_joined_labels(regions.select("key", "node"), loose, signatures, agree), "neardup-joined")
-    members = written(components(candidates.union(more)), "neardup-clusters").select("node", F.col("label").alias("cluster"))
-    discard(regions)
+    clusters = written(components(candidates), "neardup-clusters")
+    for part in (regions, wide) if split else (regions,):
+        more = _joined_labels(part, clusters, signatures, agree)
+        clusters = written(components(clusters.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "neardup-clusters")
+    members = clusters.select("node", F.col("label").alias("cluster"))
 
-    sets = written(_sets(docs, members.select("node"), size).dropDuplicates(["node"]), "neardup-sets")
+    sets = written(_sets(docs, classes.join(members.select("node"), "node", "left_semi"), size), "neardup-sets")
     links = written(_stars(candidates, sets, percent), "neardup-links")
     labels = written(components(links), "neardup-labels")
-    rest = written(_remaining(members, labels, sets, signatures, agree, percent), "neardup-links")
-    labels = components(links.union(rest))
+    rest = _remaining(members, labels, sets, signatures, agree, percent)
+    labels = written(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest)), "neardup-labels")
 
-    member = marks.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").join(labels, "node", "left")
-    component = F.coalesce("label", "node", "doc_id")
-    return member.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    least = classes.join(labels, "node").groupBy("label").agg(F.min("first").alias("component"))
+    of = written(classes.join(labels.join(least, "label"), "node", "left").select("set_key", F.coalesce("component", "first").alias("component")), "neardup-components")
+    for t in (shallow, sets, signatures):
+        discard(t)
+    member = marks.select("doc_id", "text_key", "n_shingles", "set_key").join(of, "set_key", "left")
+    component = F.coalesce("component", "doc_id")
+    return member.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, agree: int = 79, large: int = LARGE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): components of documents linked at `percent` similarity of their sets of `size`-word shingles.
+
+    Only pairs whose signatures agree in `agree` of 128 columns are confirmed; a pair at 80 % fails that, or shares
+    no region, about once in a million. Regions of more than `large` documents are read deeper first. Null texts and
+    texts without words have no shingles and link with nothing, not even with one another. Each row is a document, also
+    where several have one doc_id; component_id is the least doc_id that its row reaches, null where none has one.
+    Other columns are not read. An empty table gives no rows.
+    """
+    return _grouped(docs, size, percent, agree, large).drop("text_key")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows without those documents that near_duplicates() doesn't keep; rows without a doc_id stay."""
-    gone = near_duplicates(docs, size, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(written(gone, "neardup-gone"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows without those that near_duplicates() doesn't keep; rows without a doc_id stay, as do all rows that
+    repeat a kept one with its doc_id."""
+    rows = _grouped(docs, size, percent, 79, LARGE).filter(~F.col("kept"))
+    gone = written(rows.select("doc_id", "text_key").distinct(), "neardup-gone")
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_key"]), "left_anti")
 
 
 SQL = """

@@ -106,10 +106,24 @@ def test_near_duplicates(spark):
                 up[b] = a
         rows = neardup.near_duplicates(_docs(spark, texts), size=size).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows} == {i: (len(sets[i]), root(i), root(i) == i) for i in range(len(texts))}
+        deep = neardup.near_duplicates(_docs(spark, texts), size=size, large=6).collect() if size == 2 else rows
+        assert sorted(deep) == sorted(rows)
     left = neardup.one_of_each(_docs(spark, texts))
     assert left.columns == _docs(spark, []).columns and {r["doc_id"] for r in left.collect()} == {i for i in range(len(texts)) if root(i) == i}
 
 
+def test_near_duplicates_of_one_id(spark):
+    """Rows of one doc_id are documents of their own, and columns may have the operator's names."""
+    rng = random.Random(17)
+    a, b, c = (_words(rng, 80, 5000) for _ in range(3))
+    rows = [(7, a), (7, b), (3, a), (9, b), (5, c), (5, c), (None, c), (None, "alone by itself"), (8, None)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, set_key int").repartition(3)
+    got = sorted((r["doc_id"] or -1, r["n_shingles"] > 0, -1 if r["component_id"] is None else r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect())
+    assert got == sorted([(7, True, 3, False), (7, True, 7, True), (3, True, 3, True), (9, True, 7, False), (5, True, 5, True), (5, True, 5, True), (-1, True, 5, False), (-1, True, -1, False), (8, False, 8, True)])
+    left = neardup.one_of_each(docs)
+    assert left.columns == docs.columns and sorted((r["doc_id"] or -1, r["text"] or "") for r in left.collect()) == sorted([(7, b), (3, a), (5, c), (5, c), (-1, c), (-1, "alone by itself"), (8, "")])
+
+
 def test_suffix_dedup(spark):
     rng = random.Random(3)
     make = lambda n: "".join(rng.choice("abcé \n") for _ in range(n))
