@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import top_per_group
+from ..sources.shared import discard, written
 
 #: Nodes times levels that may be sent to the tasks.
-MOST_CELLS = 20_000_000
+MOST_CELLS = 4_000_000
 #: Units of a term.
 UNIT = 10**9
 
@@ -42,16 +43,20 @@ class Tree:
         return out
 
     def gains(self, covered: np.ndarray) -> np.ndarray:
-        return (self.term * ~covered[self.comm]).sum(axis=1)
+        """For each row of `covered` and each node the terms of its communities that aren't covered."""
+        return sum(self.term[:, c] * ~covered[:, self.comm[:, c]] for c in range(self.comm.shape[1])) + np.zeros((len(covered), len(self.ids)), dtype=np.int64)
 
 
 def arrays(tree: DataFrame, paths: DataFrame, nodes: DataFrame) -> Tree:
     """The tree of all nodes (node_id); nodes without a path have no community."""
-    rows = paths.join(tree.select("level", "comm", "se_term"), ["level", "comm"])
-    if (cells := rows.count() + nodes.count()) > MOST_CELLS:
-        raise ValueError(f"{cells} path entries are more than MOST_CELLS; search the tree in parts")
-    found = rows.select("node_id", "level", "comm", "se_term").toPandas()
-    ids = np.sort(nodes.select("node_id").toPandas()["node_id"].to_numpy())
+    joined = nodes.select("node_id").join(paths, "node_id", "left").join(tree.select("level", "comm", "se_term"), ["level", "comm"], "left")
+    rows = written(joined.select("node_id", "level", "comm", "se_term"), "tree-paths")
+    if (cells := rows.count()) > MOST_CELLS:
+        raise ValueError(f"{cells} path entries are more than MOST_CELLS; search communities of the first level one by one")
+    found = rows.toPandas()
+    discard(rows)
+    ids = np.unique(found["node_id"].to_numpy())
+    found = found[found["se_term"].notna()].astype({"level": int, "comm": int})
     levels = sorted(found["level"].unique().tolist())
     found["se_term"] = np.rint(found["se_term"] * UNIT).astype(np.int64)
     keys = found[["level", "comm", "se_term"]].drop_duplicates(["level", "comm"]).reset_index(drop=True)
@@ -66,14 +71,13 @@ def arrays(tree: DataFrame, paths: DataFrame, nodes: DataFrame) -> Tree:
 def _beam(t: Tree, given: list[int], size: int, width: int, dedupe: bool, allowed: list[np.ndarray] | None) -> list[tuple[list[int], int]]:
     """Sequences of rows with their entropy, in units, given the rows `given`, best first."""
     states: list[tuple[list[int], int, np.ndarray]] = [([], 0, t.covered(given))]
-    for step in range(size):
-        gain, parent, node = [], [], []
-        for i, (taken, value, covered) in enumerate(states):
-            free = np.ones(len(t.ids), dtype=bool) if allowed is None else allowed[min(step, len(allowed) - 1)].copy()
-            free[[*given, *taken]] = False
-            rows = np.flatnonzero(free)
-            gain.append(value + t.gains(covered)[rows]), parent.append(np.full(len(rows), i)), node.append(rows)
-        gain, parent, node = np.concatenate(gain), np.concatenate(parent), np.concatenate(node)
+    for turn in range(size):
+        free = np.tile(np.ones(len(t.ids), dtype=bool) if allowed is None else allowed[min(turn, len(allowed) - 1)], (len(states), 1))
+        for i, (taken, _, _) in enumerate(states):
+            free[i, [*given, *taken]] = False
+        parent, node = np.nonzero(free)
+        total = np.array([v for _, v, _ in states])[:, None] + t.gains(np.stack([c for *_, c in states]))
+        gain = total[parent, node]
         if not len(gain):
             break
         kept, seen = [], set()
@@ -122,7 +126,7 @@ def greedy_set(starts: DataFrame, tree: Tree, size: int) -> DataFrame:
 
 
 def beam_sets_local(starts: DataFrame, tree: Tree, size: int, width: int, expand: str = "code") -> DataFrame:
-    """As beam_sets(), but step t draws from the t-th community that holds the whole start: from the root down
+    """As beam_sets(), but turn t draws from the t-th community that holds the whole start: from the root down
     (expand='code') or from the deepest up to the root (expand='bottom_up'); beyond the last, from that again."""
 
     def search(t: Tree, given: list[int]) -> list[tuple[list[int], int]]:

@@ -76,8 +76,8 @@ def node_entropy(tree: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def set_entropy(tree: DataFrame, paths: DataFrame, sets: DataFrame) -> DataFrame:
-    """(id, entropy) of sets (id, node_ids): the sum over distinct members; ids that are no node count nothing."""
-    each = sets.select("id", F.explode(F.array_distinct("node_ids")).alias("node_id"))
+    """(id, entropy) of sets (id, node_ids): the sum over members, a repeated one each time; ids that are no node count nothing."""
+    each = sets.select("id", F.explode("node_ids").alias("node_id"))
     return each.join(node_entropy(tree, paths), "node_id").groupBy("id").agg(F.sum("entropy").alias("entropy"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import ranked_index
@@ -21,6 +21,13 @@ def cooccurrence(records: DataFrame) -> DataFrame:
     return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("co"))
 
 
+def long_records(records: DataFrame, most: int = 200) -> DataFrame:
+    """(id, tags, pairs) of the records with more than `most` tags, whose pairs grow with the square of their tags. They are
+    counted like all others; this only tells where the work lies."""
+    n = F.size("tags").cast("long")
+    return records.filter(n > most).select("id", n.alias("tags"), (n * (n - 1) / 2).cast("long").alias("pairs"))
+
+
 def edge_weights(co: DataFrame, counts: DataFrame) -> DataFrame:
     """(a, b, co, weight) of pairs of different tags: (co + 2) / (n_a + 1) / (n_b + 1)."""
     left, right = counts.select(F.col("tag").alias("a"), F.col("n").alias("n_a")), counts.select(F.col("tag").alias("b"), F.col("n").alias("n_b"))
@@ -38,11 +45,9 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("tag")).distinct()
 
 
-def node_ids(nodes: DataFrame, large: bool = False) -> DataFrame:
-    """(tag, node_id) with ids from 0 in the order of tags; large: without a single sorted task."""
-    if large:
-        return ranked_index(nodes, ["tag"], "node_id").select("tag", F.col("node_id").cast("int").alias("node_id"))
-    return nodes.withColumn("node_id", F.row_number().over(Window.orderBy("tag")) - 1)
+def node_ids(nodes: DataFrame) -> DataFrame:
+    """(tag, node_id) with ids from 0 in the order of tags, without a single sorted task."""
+    return ranked_index(nodes, ["tag"], "node_id").select("tag", F.col("node_id").cast("int").alias("node_id"))
 
 
 def indexed_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.messages import filter_language, normalize_roles, normalize_tags
-from ..functions.ordering import pick_index, seeded_key
-from ..sources.shared import written
+from ..functions.ordering import pick_index, ranked_index, seeded_key
+from ..sources.shared import exists, written
 
 
 def assign_single_tag(samples: DataFrame, seed: int = 2024, rounds: int = 1, slack: tuple[int, int] = (15, 25)) -> DataFrame:
@@ -62,19 +62,21 @@ def combo_tags(combos: DataFrame) -> DataFrame:
     return combos.select("combo_id", F.posexplode("tags").alias("pos", "tag"))
 
 
-def match_sources(combos: DataFrame, index: DataFrame, seed: int = 2024, on_missing: str = "drop") -> DataFrame:
+def match_sources(combos: DataFrame, index: DataFrame, seed: int = 2024, on_missing: str = "drop", most: int | None = None) -> DataFrame:
     """(combo_id, pos, tag, id): a sample for each tag of each combo (combo_id, tags).
 
     A repeated tag takes the samples after the first drawn, all of its pool before one again. A combo with a tag
     that has no sample is dropped, or, with on_missing='substitute', that tag is replaced by one drawn from those
-    that have some. Only ids are moved here.
+    that have some. most: so many combos, the first by combo_id, are enough. Only ids are moved here.
     """
+    if most is not None:
+        combos = combos.orderBy("combo_id").limit(most)
     pools = index.select("tag", "pool").distinct()
     wanted = combo_tags(combos)
     if on_missing == "substitute":
-        names = pools.withColumn("at", F.row_number().over(Window.orderBy("tag")) - 1).select(F.col("tag").alias("other"), "at")
+        names = ranked_index(pools.select("tag"), ["tag"], "at").select(F.col("tag").alias("other"), "at")
         many = pools.agg(F.count("*").alias("many"))
-        wanted = wanted.withColumn("tag", F.trim("tag")).join(pools, "tag", "left").join(F.broadcast(many))
+        wanted = wanted.withColumn("tag", F.trim("tag")).join(pools, "tag", "left").join(F.broadcast(many))  # one row
         drawn = pick_index(F.col("many"), seed, F.lit("other"), F.col("combo_id").cast("string"), F.col("pos").cast("string"))
         wanted = wanted.withColumn("at", F.when(F.col("pool").isNull(), drawn)).join(names, "at", "left")
         wanted = wanted.select("combo_id", "pos", F.when(F.col("pool").isNull(), F.col("other")).otherwise(F.col("tag")).alias("tag"))
@@ -162,18 +164,31 @@ def gate_combos(combos: DataFrame, judge: Callable[[list[str]], str] | Column, k
 
 
 def build_samples(replies: DataFrame, order: list[str] | None = None, with_combination: bool = True) -> DataFrame:
-    """(id, label, content, source_info) of rows (combo_id, tags, content, source_sample_ids, max_conditional_se)."""
-    number = F.row_number().over(Window.orderBy(*(order or ["combo_id"])))
+    """(id, label, content, source_info) of rows (combo_id, tags, content, source_sample_ids, max_conditional_se), one for
+    each combo_id, numbered from 1 in the given order."""
+    order = order or ["combo_id"]
+    # only the keys are ranked; the dialogues are joined afterwards
+    numbers = ranked_index(replies.select("combo_id", *(c for c in order if c != "combo_id")), order, "_number").select("combo_id", "_number")
     source = [F.col("tags").alias("optimal_combination")] if with_combination else []
-    return replies.select(
-        F.concat(F.lit("generated_"), number).alias("id"),
+    return replies.join(numbers, "combo_id").select(
+        F.concat(F.lit("generated_"), (F.col("_number") + 1).cast("string")).alias("id"),
         F.struct(F.col("tags").alias("ability")).alias("label"),
         "content",
         F.struct(*source, F.col("source_sample_ids").alias("source_ids"), "max_conditional_se").alias("source_info"),
     )
 
 
-def atomic_samples(seed_records: DataFrame, language: str = "en", seed: int = 2024, rounds: int = 1) -> DataFrame:
-    """(id, content, tags, single_ability_tag): seed records of a language with roles, tags and one tag each."""
+def atomic_samples(seed_records: DataFrame, language: str = "en", seed: int = 2024, rounds: int = 1, store: str | None = None) -> DataFrame:
+    """(id, content, tags, single_ability_tag): seed records of a language with roles, tags and one tag each.
+
+    store: a path where they are written, and read from where they already stand.
+    """
+    spark = seed_records.sparkSession
+    if store and exists(spark, store):
+        return spark.read.parquet(store)
     rows = normalize_tags(filter_language(seed_records, language), "tags")
-    return assign_single_tag(rows.select("id", normalize_roles(F.col("conversations")).alias("content"), "tags"), seed, rounds)
+    found = assign_single_tag(rows.select("id", normalize_roles(F.col("conversations")).alias("content"), "tags"), seed, rounds)
+    if not store:
+        return found
+    found.write.mode("overwrite").parquet(store)
+    return spark.read.parquet(store)

@@ -73,9 +73,10 @@ def render_instruct(messages: Column, chat: bool, eos: str = "", header: tuple[s
     return F.concat(F.flatten(F.transform(messages, turn)), F.array(_segment(F.lit(eos), 1)))
 
 
-def word_ids(text: Column, vocabulary: int = 50_000) -> Column:
-    """Numbers of the words between single spaces: the first eight hex digits of md5, modulo the vocabulary."""
-    return F.transform(F.split(text, " ", -1), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(vocabulary)).cast("int"))
+def word_ids(text: Column, vocabulary: int = 50_000, last: int | None = None) -> Column:
+    """Numbers of the words between single spaces, or of the `last` of them: the first eight hex digits of md5, modulo the vocabulary."""
+    words = F.split(text, " ", -1)
+    return F.transform(truncate_left(words, last) if last else words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(vocabulary)).cast("int"))
 
 
 def tokenize_segments(df: DataFrame, encode: Callable[[list[str]], list[list[int]]] | None = None, column: str = "segments", drop_first: bool = False) -> DataFrame:

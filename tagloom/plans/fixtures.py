@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import entropy, graph
+from ..sources.shared import written
 
 WITH_TAGS = """tagged AS (
   SELECT l_orderkey AS id, list(p_name ORDER BY l_linenumber, l_partkey) AS tags FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1
@@ -65,10 +66,10 @@ def tagged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(edges with ids, nodes with ids) of the skill graph."""
-    named = graph.skill_graph(tagged_records(spark, sf_dir))
-    ids = graph.node_ids(graph.graph_nodes(named))
-    return graph.indexed_edges(named, ids), ids
+    """(edges with ids, nodes with ids) of the skill graph, written once."""
+    named = written(graph.skill_graph(tagged_records(spark, sf_dir)), "skill-graph")
+    ids = written(graph.node_ids(graph.graph_nodes(named)), "skill-nodes")
+    return written(graph.indexed_edges(named, ids), "skill-edges"), ids
 
 
 def fixed_paths(ids: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def fixed_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     """(tree, paths, edges, ids)."""
     edges, ids = indexed(spark, sf_dir)
     paths = fixed_paths(ids)
-    return entropy.tree_table(edges, paths), paths, edges, ids
+    return written(entropy.tree_table(edges, paths), "fixed-tree"), paths, edges, ids
 
 
 def record_sets(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
@@ -177,11 +178,11 @@ def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(after, "id", "left")
 
 
-def token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, position, token_ids): the words of each document as numbers."""
+def token_lists(spark: SparkSession, sf_dir: str, last: int | None = None) -> DataFrame:
+    """(id, position, token_ids): the words of each document, or the last of them, as numbers."""
     from ..operators.training import word_ids
 
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("position"), word_ids(F.col("text")).alias("token_ids"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("position"), word_ids(F.col("text"), last=last).alias("token_ids"))
 
 
 WITH_TOKENS = """tok AS (

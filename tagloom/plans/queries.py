@@ -77,7 +77,7 @@ def node_ids(spark, sf):
 
 @query(f"WITH {fx.WITH_GRAPH} SELECT tag, node_id FROM nodes")
 def node_ids_ranked(spark, sf):
-    return graph.node_ids(graph.graph_nodes(graph.skill_graph(fx.tagged_records(spark, sf))), large=True)
+    return graph.node_ids(graph.graph_nodes(graph.skill_graph(fx.tagged_records(spark, sf))))
 
 
 @query(f"WITH {fx.WITH_GRAPH} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges")
@@ -133,12 +133,12 @@ def top_tags(spark, sf):
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Records to tag combinations: graph, tree of four levels, best set of four tags for each start."""
+    """Records to tag combinations: graph, tree of four levels, best set of seven tags for each start."""
     edges, ids = fx.indexed(spark, sf)
     paths = taxonomy.entropy_tree(edges, ids, 4)
     full = entropy.mapped_paths(paths, extend_to_leaves=True)
     tree = combos.arrays(entropy.tree_table(edges, full, include_root_terms=True), full, ids)
-    best = combos.labelled_combos(combos.combos_for_all_starts(ids, tree, k=4, width=100), ids)
+    best = combos.labelled_combos(combos.combos_for_all_starts(ids, tree, k=7, width=100), ids)
     return best.select("start_id", "start_ability", F.array_join("optimal_combination", ",").alias("optimal_combination"), _r("max_conditional_se"))
 
 
@@ -197,10 +197,10 @@ def node_entropy_fixed(spark, sf):
     return entropy.node_entropy(tree, paths).select("node_id", _r("entropy"))
 
 
-@query(f"WITH {fx.WITH_TREE} SELECT id, round(sum(full_term), 6) AS entropy FROM (SELECT id, unnest(node_ids) AS node_id FROM sets) JOIN wide USING (node_id) GROUP BY 1")
+@query(f"WITH {fx.WITH_TREE} SELECT id, round(sum(full_term), 6) AS entropy FROM occ JOIN nodes USING (tag) JOIN wide USING (node_id) GROUP BY 1")
 def set_entropy_fixed(spark, sf):
     tree, paths, _, ids = fx.fixed_tree(spark, sf)
-    return entropy.set_entropy(tree, paths, fx.record_sets(spark, sf, ids)).select("id", _r("entropy"))
+    return entropy.set_entropy(tree, paths, graph.ids_of(fx.tagged_records(spark, sf), ids)).select("id", _r("entropy"))
 
 
 @query(f"WITH {fx.WITH_TREE} SELECT node_id, node_id AS comm, true AS is_mapped FROM nodes")
@@ -418,13 +418,14 @@ def clean_pool(spark, sf):
     return curriculum.clean_pool(fx.dirty_samples(spark, sf).drop("content"))[1]
 
 
-@query()
+@query(f"""WITH {fx.WITH_DIALOGUES} SELECT id, id % 4 <> 3 AS parsed, md5(CASE WHEN id % 4 = 3 THEN to_json(content[1].content)::VARCHAR
+  ELSE '[' || array_to_string(list_transform(content, lambda m: '{{"role": "' || m.role || '", "content": [' || to_json(m.content)::VARCHAR || ']}}'), ', ') || ']' END) AS content FROM said""")
 def parse_reply(spark, sf):
     """Dialogues as Python literals, some inside code fences, some as prose."""
     said = F.concat(F.lit("["), F.array_join(F.transform("content", lambda m: F.concat(F.lit("{'role': '"), m["role"], F.lit("', 'content': "), F.to_json(F.array(m["content"])), F.lit("}"))), ", "), F.lit("]"))
     digit = F.col("id") % 4
     reply = F.when(digit == 0, said).when(digit == 1, F.concat(F.lit("```python\n"), said, F.lit("\n```"))).when(digit == 2, F.concat(F.lit("```\n"), said, F.lit("\n```"))).otherwise(F.col("content")[0]["content"])
-    return msg.parse_reply(fx.dialogues(spark, sf).select("id", reply.alias("reply"))).select("id", "parsed", F.length("content").alias("length"))
+    return msg.parse_reply(fx.dialogues(spark, sf).select("id", reply.alias("reply"))).select("id", "parsed", F.md5("content").alias("content"))
 
 
 @query("""SELECT conv_id, turn, role, text FROM conversations""")
@@ -440,6 +441,21 @@ def head_lines(spark, sf):
     return files.head_lines(rows, 100, ["conv_id", "turn"]).select("conv_id", "turn", "line")
 
 
+@query(f"WITH {fx.WITH_SEED} SELECT id, content[1].content || content[2].content AS said, array_to_string(tags, ',') AS tags, langdetect FROM seed")
+def read_seed(spark, sf):
+    """Seed records written as parquet with one more column and read back."""
+    path = _path(spark, "seed")
+    rows = fx.seed_records(spark, sf).withColumn("label", F.struct(F.col("tags").alias("ability_zh")))
+    rows.select("id", "conversations", "label", "langdetect", F.lit(1).alias("more")).write.parquet(path)
+    said = F.array_join(F.transform("conversations", lambda m: m["value"]), "")
+    return files.read_seed(spark, path).select("id", said.alias("said"), F.array_join("label.ability_zh", ",").alias("tags"), "langdetect")
+
+
+@query(f"WITH {fx.WITH_TAGS} SELECT id, len(tags) AS tags, (len(tags) * (len(tags) - 1)) // 2 AS pairs FROM tagged WHERE len(tags) > 5")
+def long_records(spark, sf):
+    return graph.long_records(fx.tagged_records(spark, sf), 5)
+
+
 # synthesis
 
 
@@ -455,14 +471,27 @@ def single_tag_assign_rounds(spark, sf):
 
 @query(f"WITH {fx.WITH_SEED} SELECT tag, idx, id, pool FROM pool")
 def tag_index(spark, sf):
-    return synthesis.tag_index(synthesis.atomic_samples(fx.seed_records(spark, sf)))
+    return synthesis.tag_index(_atomic(spark, sf))
+
+
+def _atomic(spark: SparkSession, sf: str) -> DataFrame:
+    """The atomic samples, stored once for the query."""
+    return synthesis.atomic_samples(fx.seed_records(spark, sf), store=_path(spark, "atomic"))
 
 
 def _matched(spark: SparkSession, sf: str, **options) -> tuple[DataFrame, DataFrame]:
-    atomic = synthesis.atomic_samples(fx.seed_records(spark, sf))
+    atomic = _atomic(spark, sf)
     return synthesis.match_sources(fx.record_combos(spark, sf), synthesis.tag_index(atomic), **options), atomic
 
 
+@query(f"WITH {fx.WITH_SEED} SELECT id, single_ability_tag FROM atomic")
+def atomic_samples_reused(spark, sf):
+    """Stored samples are read again: the second call gets no records at all."""
+    path, records = _path(spark, "atomic"), fx.seed_records(spark, sf)
+    synthesis.atomic_samples(records, store=path)
+    return synthesis.atomic_samples(records.filter("false"), store=path).select("id", "single_ability_tag")
+
+
 @query(f"WITH {fx.WITH_SEED} SELECT combo_id, pos::INTEGER AS pos, tag, id FROM matched")
 def match_sources(spark, sf):
     return _matched(spark, sf)[0]
@@ -555,7 +584,7 @@ def first_n(spark, sf):
 
 # curriculum
 
-_QUOTAS = "(VALUES " + ", ".join(f"({e}, {k}, {q})" for e, row in ((1, (36, 12, 6, 3, 2, 1)), (2, (21, 15, 9, 6, 5, 4)), (3, (12, 12, 12, 9, 8, 7))) for k, q in zip(range(2, 8), row, strict=True)) + ") q(epoch, k, quota)"
+_QUOTAS = "(VALUES " + ", ".join(f"({e}, {k}, {q})" for e, row in ((1, (3600, 1200, 600, 300, 180, 120)), (2, (2100, 1500, 900, 600, 480, 420)), (3, (1200, 1200, 1200, 900, 780, 720))) for k, q in zip(range(2, 8), row, strict=True)) + ") q(epoch, k, quota)"
 _SLOTS = f"""{fx.WITH_DIALOGUES}, sizes AS (SELECT k, count(*) AS pool FROM pools GROUP BY 1
 ), quotas AS (SELECT epoch, k, quota, coalesce(pool, 0) AS pool FROM {_QUOTAS} LEFT JOIN sizes USING (k)
 ), begun AS (SELECT *, coalesce(sum(CASE WHEN quota <= pool THEN quota ELSE 0 END) OVER (PARTITION BY k ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM quotas
@@ -569,12 +598,12 @@ _SLOTS = f"""{fx.WITH_DIALOGUES}, sizes AS (SELECT k, count(*) AS pool FROM pool
 
 @query(f"WITH {_SLOTS} SELECT epoch, k, quota::BIGINT AS quota, pool FROM quotas")
 def epoch_quotas(spark, sf):
-    return curriculum.epoch_quotas(fx.k_pools(spark, sf), target=60)
+    return curriculum.epoch_quotas(fx.k_pools(spark, sf))
 
 
 @query(f"WITH {_SLOTS} SELECT epoch, k, quota::BIGINT AS quota FROM quotas WHERE pool = 0 AND quota > 0")
 def epoch_shortfall(spark, sf):
-    return curriculum.shortfall(curriculum.epoch_quotas(fx.k_pools(spark, sf), target=60))
+    return curriculum.shortfall(curriculum.epoch_quotas(fx.k_pools(spark, sf)))
 
 
 @query(f"WITH {fx.WITH_DIALOGUES} SELECT k, count(*) AS n FROM pools GROUP BY ROLLUP (k)")
@@ -598,19 +627,41 @@ def k_pool_files(spark, sf):
     return files.with_k(lines.withColumnRenamed("own", "k"), of_file).select("id", "k")
 
 
+@query(f"WITH {fx.WITH_DIALOGUES} SELECT id, CASE WHEN id % 2 = 0 THEN 9 ELSE k END AS k, len(content) AS n FROM pools")
+def read_k_pools(spark, sf):
+    """One file of lines for each k, read together; rows of even ids hold a k of their own, which wins."""
+    path, paths = _path(spark, "pools"), {}
+    rows = fx.k_pools(spark, sf).withColumn("own", F.when(F.col("id") % 2 == 0, 9)).select("id", "content", "k", "own")
+    for k in range(2, 8):
+        paths[k] = f"{path}/{k}"
+        files.write_jsonl(rows.filter(F.col("k") == k).select("id", "content", F.col("own").alias("k")), paths[k])
+    found = files.read_k_pools(spark, paths, f"id long, content {msg.DIALOGUE}, k int")
+    return found.select("id", "k", F.size("content").cast("long").alias("n"))
+
+
 @query(f"WITH {_SLOTS} SELECT epoch, k, slot, id FROM sampled")
 def sample_epochs(spark, sf):
     pools = fx.k_pools(spark, sf).select("k", "id")
-    return curriculum.sample_epochs(pools, curriculum.epoch_quotas(pools, target=60)).select("epoch", "k", "slot", "id")
+    return curriculum.sample_epochs(pools, curriculum.epoch_quotas(pools)).select("epoch", "k", "slot", "id")
 
 
 @query(f"""WITH {_SLOTS} SELECT epoch, k, slot, id, row_number() OVER (PARTITION BY epoch ORDER BY md5('2024|' || epoch || '|' || k || '|' || slot || '|' || id), k, slot) - 1 AS position FROM sampled""")
 def order_epochs(spark, sf):
     pools = fx.k_pools(spark, sf).select("k", "id")
-    sampled = curriculum.sample_epochs(pools, curriculum.epoch_quotas(pools, target=60))
+    sampled = curriculum.sample_epochs(pools, curriculum.epoch_quotas(pools))
     return curriculum.order_epochs(sampled).select("epoch", "k", "slot", "id", "position")
 
 
+@query(f"""WITH {_SLOTS}, placed_ AS (SELECT epoch, id, row_number() OVER (PARTITION BY epoch ORDER BY md5('2024|' || epoch || '|' || k || '|' || slot || '|' || id), k, slot) - 1 AS position FROM sampled)
+SELECT epoch, id, position FROM placed_""")
+def write_epochs(spark, sf):
+    """Epochs written one folder each and read back."""
+    pools, path = fx.k_pools(spark, sf).select("k", "id"), _path(spark, "epochs")
+    sampled = curriculum.sample_epochs(pools, curriculum.epoch_quotas(pools))
+    curriculum.write_epochs(curriculum.order_epochs(sampled), path)
+    return spark.read.schema("id long, position long, epoch int").json(path).select("epoch", "id", "position")
+
+
 # training
 
 
@@ -667,15 +718,21 @@ def tokenize_split(spark, sf):
 
 @query(f"WITH {fx.WITH_TOKENS} SELECT id, md5(array_to_string(ids[greatest(len(ids) - 511, 1):], ',')) AS token_ids FROM tok")
 def truncate_left(spark, sf):
-    return fx.token_lists(spark, sf).select("id", F.md5(_joined(training.truncate_left(F.col("token_ids"), 512))).alias("token_ids"))
+    return fx.token_lists(spark, sf, 512).select("id", F.md5(_joined(F.col("token_ids"))).alias("token_ids"))
 
 
-_PLACED = f"""{fx.WITH_TOKENS}, cut AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS position, ids[greatest(len(ids) - 63, 1):] AS ids FROM tok)"""
+#: Tokens of a training sequence, and of a prompt.
+_LENGTH, _PROMPT = 1024, 512
+_PLACED = f"""{fx.WITH_TOKENS}, cut AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS position, ids[greatest(len(ids) - {_LENGTH - 1}, 1):] AS ids FROM tok)"""
 
 
-def _placed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.token_lists(spark, sf).select("id", training.truncate_left(F.col("token_ids"), 64).alias("token_ids"))
-    return ranked_index(rows, ["id"], "position").withColumn("loss_mask", F.transform("token_ids", lambda x: F.lit(1)))
+def _placed(spark: SparkSession, sf: str, tokens: bool = True) -> DataFrame:
+    """Documents in order, with their last tokens up to the training length. Only ids are ranked."""
+    at = ranked_index(fx.read(spark, sf, "documents").select(F.col("doc_id").alias("id")), ["id"], "position")
+    if not tokens:
+        return at
+    rows = fx.token_lists(spark, sf, _LENGTH).drop("position").join(at, "id")
+    return rows.withColumn("loss_mask", F.array_repeat(F.lit(1), F.size("token_ids")))
 
 
 @query(f"""WITH {_PLACED}, w AS (SELECT *, max(len(ids)) OVER (PARTITION BY position // 8) AS width FROM cut)
@@ -688,14 +745,14 @@ def pad_batch(spark, sf):
 
 @query(f"WITH {_PLACED} SELECT id, position % 4 AS shard, position // 4 AS place FROM cut")
 def shard_ordered(spark, sf):
-    return training.shard_ordered(_placed(spark, sf), 4).select("id", "shard", "place")
+    return training.shard_ordered(_placed(spark, sf, tokens=False), 4).select("id", "shard", "place")
 
 
-@query(f"""WITH {_PLACED}, r AS (SELECT *, list_reverse(CASE WHEN len(ids) > 32 THEN ids[len(ids) - 30:] ELSE ids END) AS rev FROM cut
+@query(f"""WITH {_PLACED}, r AS (SELECT *, list_reverse(CASE WHEN len(ids) > {_PROMPT} THEN ids[len(ids) - {_PROMPT - 2}:] ELSE ids END) AS rev FROM cut
 ), w AS (SELECT *, max(len(rev)) OVER (PARTITION BY position // 8) AS width FROM r)
 SELECT id, md5(array_to_string(list_concat(list_transform(range(width - len(rev)), lambda x: 2), list_reverse(rev)), ',')) AS padded, md5(array_to_string(rev, ',')) AS reversed FROM w""")
 def prompt_tokens(spark, sf):
-    rows = _placed(spark, sf).withColumn("reversed", training.prompt_tokens(F.col("token_ids"), 32))
+    rows = _placed(spark, sf).withColumn("reversed", training.prompt_tokens(F.col("token_ids"), _PROMPT))
     return training.left_padded(rows, 8, 2).select("id", F.md5(_joined(F.col("padded"))).alias("padded"), F.md5(_joined(F.col("reversed"))).alias("reversed"))
 
 
@@ -762,6 +819,16 @@ def eval_round_trip(spark, sf):
     return files.read_jsonl(spark, path, "instruction string, dataset string, output string, generator string")
 
 
+@query("SELECT text AS instruction, (item_id % 4)::VARCHAR AS dataset, 'stub' AS generator FROM benchmark")
+def read_eval_set(spark, sf):
+    """Items as one JSON array in a file."""
+    path = _path(spark, "eval-set")
+    items = fx.eval_items(spark, sf).select("instruction", "dataset", "generator", F.lit(1).alias("more"))
+    one = items.agg(F.to_json(F.collect_list(F.struct(*items.columns))).alias("value"))  # the benchmark's items are a bounded set
+    one.coalesce(1).write.text(path)
+    return files.read_eval_set(spark, path)
+
+
 @query("""WITH p AS (
   SELECT a.doc_id AS id, list_transform(string_split(a.text, ' '), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 50000) AS x, list_transform(string_split(b.text, ' '), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 50000) AS y
   FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1

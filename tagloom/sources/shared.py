@@ -22,6 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a written() table that nothing reads any more."""
+    spark = df.sparkSession
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a finished table stands at the path."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written and read again: later plans start from files that outlive executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
