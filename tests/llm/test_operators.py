@@ -43,6 +43,8 @@ def odd(spark):
     [
         lambda d: langid.predict(d, langid.profiles(d)),
         pii.find,
+        pii.redacted,
+        suffix_dedup.deduplicated,
         lambda d: piece_codec.encode_digest(d, PIECE),
         quality.judge,
         lambda d: packing.pack(d, WORD),
@@ -280,6 +282,36 @@ def test_language(spark):
     assert [r["lang_pred"] for r in rows] == ["en", "fr", "und", "und"] and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_is_brute_force(spark):
+    """Profiles, distances, ties and scores equal a plain count over tuples of characters."""
+    rng = random.Random(18)
+    size, alphabets = 30, {"aa": "abcdé", "bb": "cdefß", "cc": "xyzñ a"}
+    make = lambda lang: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(1, 7))) for _ in range(12)) + rng.choice(["", " 12, X!", "\n-- Ä"])
+    rows = [(make(lang), lang) for lang in alphabets for _ in range(8)] + [(None, "aa"), ("abc", None), ("7", "bb")]
+
+    def counts(text):
+        marked = re.sub("[0]+", "0", "0" + "".join(c if c.isalpha() else "0" for c in text.lower()) + "0")
+        codes = [0 if c == "0" else ord(c) for c in marked]
+        found = Counter((1, c) for c in codes if c)
+        if found:
+            found.update((2, a, b) for a, b in itertools.pairwise(codes))
+            found.update((3, *t) for t in zip(codes, codes[1:], codes[2:], strict=False) if t[1])
+        return found
+
+    ranked = lambda found: [g for g, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))][:size]
+    known = {lang: ranked(sum((counts(t) for t, x in rows if x == lang and t), Counter())) for lang in alphabets}
+    texts = [make(lang) for lang in alphabets for _ in range(6)] + ["a", "q", "", None, "123", "y x y"]
+    want = {}
+    for i, t in enumerate(texts):
+        own = ranked(counts(t or ""))
+        far = {lang: sum(abs(p.index(g) - k) if g in p else size for k, g in enumerate(own)) for lang, p in known.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        want[i] = (best, pytest.approx(1 - far[best] / (size * len(own)))) if own else ("und", 0.0)
+    found = langid.profiles(spark.createDataFrame(rows, "text string, lang string").repartition(3), size)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(_docs(spark, texts), found, size).collect()}
+    assert got == want
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.predict(docs, langid.profiles(docs.filter(~langid.held_out()))).join(docs.filter(langid.held_out()).select("doc_id", "lang"), "doc_id")
