@@ -95,3 +95,31 @@ def test_sequences_and_paths(spark, golden):
     assert 1 <= len(down["y_ids"]) <= 3 and up == []
     found = combos.top_paths(edges, entropy.node_entropy(entropy.tree_table(edges, paths), paths), 2, 2).filter("start = 0").orderBy("rank").collect()
     assert [r["path"] for r in found][0][::2] in (["0", "1", "2"], ["0", "2", "3"])
+
+
+def test_wide_search_is_exhaustive(spark, golden):
+    """Sets of seven at width 100 for all starts, as in production, reach the best of all sets of a small graph."""
+    edges, nodes, paths = golden
+    table = entropy.tree_table(edges, paths, True)
+    tree = combos.arrays(table, paths, nodes)
+    terms = {(r["level"], r["comm"]): round(r["se_term"] * 1e9) for r in table.collect()}
+    own = {}
+    for r in paths.collect():
+        own.setdefault(r["node_id"], set()).add((r["level"], r["comm"]))
+    found = {r["start_id"]: (r["y_ids"], r["max_conditional_se"]) for r in combos.combos_for_all_starts(nodes, tree, 7, 100).collect()}
+    assert set(found) == set(range(10))
+    for start, (ys, value) in found.items():
+        score = lambda ids: sum(terms[c] for c in set().union(*(own[i] for i in ids)) - own[start])  # noqa: B023, E731
+        best = max(score(ids) for ids in itertools.combinations([i for i in range(10) if i != start], 6))
+        assert len(set(ys)) == 6 and start not in ys and score(ys) == best and value == pytest.approx(best / 1e9, abs=1e-12)
+
+
+@pytest.mark.parametrize("cap", [1, 2000])
+def test_no_merge_is_left(spark, cap):
+    """Neither way of merging leaves a pair of communities whose merge would lower the entropy."""
+    rng = random.Random(6)
+    edges = spark.createDataFrame([(a, b, rng.random()) for a, b in itertools.combinations(range(14), 2) if rng.random() < 0.4], "src int, dst int, weight double")
+    members = spark.createDataFrame([(i, 0) for i in range(14)], "node_id int, parent int")
+    found = taxonomy.min_entropy_partition(edges, members, exact_cap=cap).select("node_id", "comm").cache()
+    assert found.groupBy("comm").agg({"node_id": "min"}).filter("comm <> `min(node_id)`").count() == 0
+    assert entropy.merge_gain(edges, found).filter("delta < -1e-9").count() == 0

@@ -130,3 +130,17 @@ def test_tokenizer_hook(spark):
     df = spark.createDataFrame([([("a b", 0), ("c", 1)],)], "segments array<struct<text:string,mask:int>>")
     row = training.tokenize_segments(df, lambda texts: [[len(w) for w in t.split()] for t in texts]).first()
     assert row["token_ids"] == [1, 1, 1] and row["loss_mask"] == [0, 0, 1]
+
+
+def test_sources_stop_at_enough_combos(spark):
+    atomic = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(6)], "id long, single_ability_tag string")
+    combos = spark.createDataFrame([(i, ["a", "b", "missing"]) for i in range(4)], "combo_id long, tags array<string>")
+    got = synthesis.match_sources(combos, synthesis.tag_index(atomic), on_missing="substitute", most=2).collect()
+    assert sorted((r["combo_id"], r["pos"]) for r in got) == [(c, p) for c in (0, 1) for p in range(3)] and all(r["tag"] in "ab" for r in got)
+
+
+def test_shared_folder(spark):
+    from tagloom.sources import shared
+
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert shared.shared_dir(spark) == named.rstrip("/")
