@@ -13,11 +13,6 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"] or 0)
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(a, m): the least neighbour of each a. A table of its own, so that a join with it can split an a of very many edges."""
-    return written(edges.groupBy("a").agg(F.min("b").alias("m")), "component-least")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the smallest node that can be reached from it.
 
@@ -30,14 +25,14 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = _least(both)
-        star = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        large = written(star.distinct(), "component-edges")
-        low = _least(large)
+        # a table of its own, so that the join can split a node of very many edges
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")), "component-least")
+        large = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         before, now = now, written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "component-edges")
-        for t in (before, least, large, low):
-            discard(t)
+        discard(before)
+        discard(least)
         last, state = state, _state(now)
         if state == last:
             break

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, map_slices, written
@@ -305,38 +305,49 @@ def _remaining(clusters: DataFrame, labels: DataFrame, sets: DataFrame, signatur
     return tiles.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side").mapInArrow(run, "a long, b long")
 
 
-def _regions(signatures: DataFrame, depth: int, within: DataFrame | None = None) -> DataFrame:
-    """(node, tree, key, n, centre): the regions of two documents or more at a depth, of all (node, tree) or of those in
-    `within`; n is a region's size and centre its least node."""
-    prefix = lambda t: F.substring(F.concat("signature", "signature"), 4 * WIDTH * t + 1, 4 * depth)
-    trees = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.lit(depth), prefix(t)).alias("key")) for t in range(TREES))))
-    rows = signatures.select("node", trees.alias("r")).select("node", "r.tree", "r.key")
-    if within is not None:
-        rows = rows.join(within.select("node", "tree"), ["node", "tree"], "left_semi")
+def _prefix(tree: int | Column, depth: int) -> Column:
+    """The first `depth` columns of the signature in a tree's order."""
+    start = 4 * WIDTH * tree + 1 if isinstance(tree, int) else tree * (4 * WIDTH) + 1
+    return F.substring(F.concat("signature", "signature"), start, F.lit(4 * depth) if isinstance(tree, Column) else 4 * depth)
+
+
+def _regions(rows: DataFrame) -> DataFrame:
+    """(node, tree, key, n, centre) of rows (node, tree, key) in regions of two documents or more; n is a region's size and
+    centre its least node."""
     shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter(F.col("n") >= 2)
     return written(rows.join(written(shared, "neardup-shared"), "key").select("node", "tree", "key", "n", "centre"), "neardup-regions")
 
 
+def _shallow(signatures: DataFrame) -> DataFrame:
+    trees = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), _prefix(t, WIDTH)).alias("key")) for t in range(TREES))))
+    return _regions(signatures.select("node", trees.alias("r")).select("node", "r.tree", "r.key"))
+
+
+def _deeper(signatures: DataFrame, regions: DataFrame, depth: int) -> DataFrame:
+    """The regions (node, tree, ...) read to a greater depth."""
+    rows = regions.select("node", "tree").join(signatures, "node")
+    return _regions(rows.select("node", "tree", F.xxhash64("tree", F.lit(depth), _prefix(F.col("tree"), depth)).alias("key")))
+
+
 def _grouped(docs: DataFrame, size: int, percent: int, agree: int, large: int) -> DataFrame:
     """near_duplicates() with text_key, a hash of the row's text."""
     marks = written(signed(docs, size).withColumn("mark", F.monotonically_increasing_id()), "neardup-signatures")
     classes = written(marks.filter(F.col("n_shingles") > 0).groupBy("set_key").agg(F.min("mark").alias("node"), F.min("doc_id").alias("first")), "neardup-classes")
     signatures = written(classes.select("node").join(marks.select(F.col("mark").alias("node"), "signature"), "node"), "neardup-first")
 
-    shallow = _regions(signatures, WIDTH)
+    shallow = _shallow(signatures)
     regions, wide = shallow.filter(F.col("n") <= large), shallow.filter(F.col("n") > large)
     split = bool(wide.take(1))
     deeper = wide
     for depth in DEPTHS[1:]:
         if not deeper.take(1):
             break
-        found = _regions(signatures, depth, deeper)
+        found = _deeper(signatures, deeper, depth)
         regions = regions.union(found if depth == DEEPEST else found.filter(F.col("n") <= large))
         deeper = found.filter(F.col("n") > large)
 
     # candidates: sorted neighbours, and the document that most often is the first of a document's regions
-    order = F.element_at(F.array(*(F.substring(F.concat("signature", "signature"), 4 * WIDTH * t + 1, 4 * DEEPEST) for t in range(TREES))), F.col("tree") + 1)
-    sorted_rows = written(shallow.select("node", "tree").join(signatures, "node").select("node", "tree", order.alias("order")), "neardup-orders")
+    sorted_rows = written(shallow.select("node", "tree").join(signatures, "node").select("node", "tree", _prefix(F.col("tree"), DEEPEST).alias("order")), "neardup-orders")
     near = _neighbours(sorted_rows)
     often = regions.filter(F.col("node") != F.col("centre")).groupBy("node", "centre").agg(F.count("*").alias("n"))
     star = often.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("m")).select("a", (-F.col("m.c")).alias("b"))
@@ -344,15 +355,17 @@ def _grouped(docs: DataFrame, size: int, percent: int, agree: int, large: int) -
     discard(sorted_rows)
     clusters = written(components(candidates), "neardup-clusters")
     for part in (regions, wide) if split else (regions,):
-        more = _joined_labels(part, clusters, signatures, agree)
-        clusters = written(components(clusters.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "neardup-clusters")
+        more = written(_joined_labels(part, clusters, signatures, agree), "neardup-joined")
+        if more.take(1):
+            clusters = written(components(clusters.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "neardup-clusters")
     members = clusters.select("node", F.col("label").alias("cluster"))
 
     sets = written(_sets(docs, classes.join(members.select("node"), "node", "left_semi"), size), "neardup-sets")
     links = written(_stars(candidates, sets, percent), "neardup-links")
     labels = written(components(links), "neardup-labels")
-    rest = _remaining(members, labels, sets, signatures, agree, percent)
-    labels = written(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest)), "neardup-labels")
+    rest = written(_remaining(members, labels, sets, signatures, agree, percent), "neardup-links")
+    if rest.take(1):
+        labels = written(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest)), "neardup-labels")
 
     least = classes.join(labels, "node").groupBy("label").agg(F.min("first").alias("component"))
     of = written(classes.join(labels.join(least, "label"), "node", "left").select("set_key", F.coalesce("component", "first").alias("component")), "neardup-components")
