@@ -35,4 +35,4 @@ def test_same_rows(spark, tables, name):
 
 def test_flagship(spark):
     rows = registered.flagship(spark, SF).collect()
-    assert rows and all(len(r["optimal_combination"].split(",")) == 3 and r["start_ability"] not in r["optimal_combination"].split(",") for r in rows)
+    assert rows and all(len(r["optimal_combination"].split(",")) == 6 and r["start_ability"] not in r["optimal_combination"].split(",") for r in rows)
