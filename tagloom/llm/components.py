@@ -25,14 +25,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # a table of its own, so that the join can split a node of very many edges
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")), "component-least")
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         before, now = now, written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "component-edges")
         discard(before)
-        discard(least)
         last, state = state, _state(now)
         if state == last:
             break

@@ -3,10 +3,10 @@
 Documents of equal shingle sets are one class, and only one document of it goes on. The signature is read in several
 orders (trees). A region is a set of documents that agree in the first columns of an order; one that is too large is
 read deeper, each part as deep as it takes. Documents are sorted in each order, and each takes as a candidate the
-sorted neighbour with the longest common prefix, and the document that most of its regions begin with. Then all pairs
-inside regions are compared whose documents are not joined yet: first in the regions as deep as they were read, and
-last in the shallow ones that were too large, so that reading deeper loses none. Links are confirmed on full sets: to
-the candidates first, and then all pairs across the components that a cluster still holds.
+sorted neighbour with the longest common prefix, and the document that most of its regions, as deep as they were read,
+begin with. Then all pairs of the shallow regions are compared whose documents are not joined yet, so that reading
+deeper loses none. Links are confirmed on full sets: to the candidates first, and then all pairs across the components
+that a cluster still holds.
 """
 
 from __future__ import annotations
@@ -323,10 +323,28 @@ def _shallow(signatures: DataFrame) -> DataFrame:
     return _regions(signatures.select("node", trees.alias("r")).select("node", "r.tree", "r.key"))
 
 
-def _deeper(signatures: DataFrame, regions: DataFrame, depth: int) -> DataFrame:
-    """The regions (node, tree, ...) read to a greater depth."""
-    rows = regions.select("node", "tree").join(signatures, "node")
-    return _regions(rows.select("node", "tree", F.xxhash64("tree", F.lit(depth), _prefix(F.col("tree"), depth)).alias("key")))
+def _deeper(signatures: DataFrame, wide: DataFrame, large: int) -> DataFrame:
+    """The regions (node, tree, ...) of more than `large` documents read at the greater DEPTHS: the parts that are small
+    enough, and at the last depth all."""
+    rows = wide.select("node", "tree").join(signatures, "node")
+    keys = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.xxhash64("tree", F.lit(d), _prefix(F.col("tree"), d)).alias("key")) for d in DEPTHS[1:])))
+    deep = rows.select("node", "tree", keys.alias("r")).select("node", "tree", "r.depth", "r.key")
+    shared = deep.groupBy("key", "depth").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter((F.col("n") >= 2) & ((F.col("n") <= large) | (F.col("depth") == DEEPEST)))
+    return deep.select("node", "tree", "key").join(written(shared.drop("depth"), "neardup-shared"), "key").select("node", "tree", "key", "n", "centre")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after further links (a, b) between nodes, or labels of nodes."""
+    if not links.take(1):
+        return labels
+    at = [links.select("a", "b")]
+    for end in "ab":  # as links between labels; a node without one is its own
+        own = labels.select(F.col("node").alias(end), F.col("label").alias("to"))
+        at.append(at[-1].join(own, end, "left").withColumn(end, F.coalesce("to", end)).select("a", "b"))
+    joined = written(components(at[-1]).withColumnRenamed("label", "to"), "neardup-merged")
+    known = labels.join(joined.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    new = joined.join(labels.select("node"), "node", "left_anti").select("node", F.col("to").alias("label"))
+    return written(known.union(new), "neardup-labels")
 
 
 def _grouped(docs: DataFrame, size: int, percent: int, agree: int, large: int) -> DataFrame:
@@ -337,14 +355,8 @@ def _grouped(docs: DataFrame, size: int, percent: int, agree: int, large: int) -
 
     shallow = _shallow(signatures)
     regions, wide = shallow.filter(F.col("n") <= large), shallow.filter(F.col("n") > large)
-    split = bool(wide.take(1))
-    deeper = wide
-    for depth in DEPTHS[1:]:
-        if not deeper.take(1):
-            break
-        found = _deeper(signatures, deeper, depth)
-        regions = regions.union(found if depth == DEEPEST else found.filter(F.col("n") <= large))
-        deeper = found.filter(F.col("n") > large)
+    if wide.take(1):
+        regions = regions.union(_deeper(signatures, wide, large))
 
     # candidates: sorted neighbours, and the document that most often is the first of a document's regions
     sorted_rows = written(shallow.select("node", "tree").join(signatures, "node").select("node", "tree", _prefix(F.col("tree"), DEEPEST).alias("order")), "neardup-orders")
@@ -354,18 +366,14 @@ def _grouped(docs: DataFrame, size: int, percent: int, agree: int, large: int) -
     candidates = written(_agree(near.select("a", "b").union(star).distinct(), signatures, agree), "neardup-candidates")
     discard(sorted_rows)
     clusters = written(components(candidates), "neardup-clusters")
-    for part in (regions, wide) if split else (regions,):
-        more = written(_joined_labels(part, clusters, signatures, agree), "neardup-joined")
-        if more.take(1):
-            clusters = written(components(clusters.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "neardup-clusters")
+    more = written(_joined_labels(shallow, clusters, signatures, agree), "neardup-joined")
+    clusters = _merged(clusters, more)
     members = clusters.select("node", F.col("label").alias("cluster"))
 
     sets = written(_sets(docs, classes.join(members.select("node"), "node", "left_semi"), size), "neardup-sets")
     links = written(_stars(candidates, sets, percent), "neardup-links")
     labels = written(components(links), "neardup-labels")
-    rest = written(_remaining(members, labels, sets, signatures, agree, percent), "neardup-links")
-    if rest.take(1):
-        labels = written(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest)), "neardup-labels")
+    labels = _merged(labels, written(_remaining(members, labels, sets, signatures, agree, percent), "neardup-links"))
 
     least = classes.join(labels, "node").groupBy("label").agg(F.min("first").alias("component"))
     of = written(classes.join(labels.join(least, "label"), "node", "left").select("set_key", F.coalesce("component", "first").alias("component")), "neardup-components")
