@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, langid, license_scan, neardup, packing, pii, piece_codec, quality, suffix_dedup, topk
+from . import decontaminate, html_extract, langid, license_scan, neardup, packing, pii, piece_codec, quality, suffix_dedup, token_align, topk, vector_codes
 from .common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +58,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.aligned(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL, public_tokenizers.PATTERN)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_html_extraction, op2_language_id, op3_pii, op4_piece_codec, op5_quality_rules, op6_exact_topk, op7_best_fit_packing, op8_minhash_neardup, op9_license_scan, op10_suffix_dedup)
+    named = (op1_html_extraction, op2_language_id, op3_pii, op4_piece_codec, op5_quality_rules, op6_exact_topk, op7_best_fit_packing, op8_minhash_neardup, op9_license_scan, op10_suffix_dedup, op11_vector_codes, op12_token_alignment, op13_decontamination)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": topk.SQL, "op8_minhash_neardup": neardup.SQL, "op9_license_scan": license_scan.sql(), "op10_suffix_dedup": suffix_dedup.SQL}
+    return {"op6_exact_topk": topk.SQL, "op8_minhash_neardup": neardup.SQL, "op9_license_scan": license_scan.sql(), "op10_suffix_dedup": suffix_dedup.SQL, "op11_vector_codes": vector_codes.sql(), "op13_decontamination": decontaminate.SQL}
