@@ -200,7 +200,7 @@ n AS (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(1, greatest(len(w)
 win AS MATERIALIZED (SELECT DISTINCT item_id, m, array_to_string(w[i : i + m - 1], ' ') AS s FROM n),
 p AS (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m),
 hit AS MATERIALIZED (SELECT r, i, p.m, item_id FROM p JOIN win ON p.m = win.m AND array_to_string(w[i : i + p.m - 1], ' ') = s),
-k AS (SELECT r, count(DISTINCT at)::BIGINT AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS at FROM hit) GROUP BY r),
+k AS (SELECT r, count(DISTINCT word)::BIGINT AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS word FROM hit) GROUP BY r),
 t AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN k USING (r) LEFT JOIN t USING (r)
