@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import community_stats, degrees, graph_volume
@@ -96,10 +96,36 @@ def mapped_paths(paths: DataFrame, extend_to_leaves: bool = False) -> DataFrame:
     return paths.join(leaf_paths(paths).filter("is_mapped").select("node_id"), "node_id", "left_semi")
 
 
+def ordered_paths(paths: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """(node_id, keys, terms): each node's communities from the top as one array, whose order is that of a walk through
+    the tree, so that a community's nodes are neighbours; and their terms, 0 without one.
+
+    Communities must be nested. Two nodes share the communities at the beginning of both arrays.
+    """
+    key = (F.col("level").cast("long") * (1 << 32) + F.col("comm")).alias("key")
+    term = F.lit(0.0) if tree is None else F.coalesce("se_term", F.lit(0.0))
+    rows = paths if tree is None else paths.join(tree.select("level", "comm", "se_term"), ["level", "comm"], "left")
+    path = F.sort_array(F.collect_list(F.struct(key, term.alias("term"))))
+    return rows.groupBy("node_id").agg(path.alias("path")).select("node_id", F.col("path.key").alias("keys"), F.col("path.term").alias("terms"))
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """How many communities, from the top, two nodes share; 0 with none."""
+    return F.when(b.isNotNull(), F.size(F.array_intersect(a, b))).otherwise(0)
+
+
+def _below(depth: Column) -> Column:
+    """The terms of a node's communities beyond a depth."""
+    return F.aggregate(F.slice("terms", depth + 1, F.greatest(F.size("terms"), F.lit(1))), F.lit(0.0), lambda s, t: s + t)
+
+
 def common_ancestors(paths: DataFrame, sets: DataFrame) -> DataFrame:
-    """(id, level, comm) of the communities that hold all members of each set (id, node_ids)."""
+    """(id, level, comm) of the communities that hold all members of each set (id, node_ids): those that its first and
+    its last member in the order of the tree share. A set with a member that has no path has none."""
     each = sets.select("id", F.explode(F.array_distinct("node_ids")).alias("node_id"), F.size(F.array_distinct("node_ids")).alias("size"))
-    return each.join(paths, "node_id").groupBy("id", "size", "level", "comm").agg(F.count("*").alias("n")).filter(F.col("n") == F.col("size")).select("id", "level", "comm")
+    ends = each.join(ordered_paths(paths).select("node_id", "keys"), "node_id").groupBy("id").agg(F.min("keys").alias("first"), F.max("keys").alias("last"), F.count("*").alias("n"), F.first("size").alias("size"))
+    keys = ends.filter(F.col("n") == F.col("size")).select("id", F.explode(F.array_intersect("first", "last")).alias("key"))
+    return keys.select("id", F.shiftright("key", 32).cast("int").alias("level"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("comm"))
 
 
 def list_tree(paths: DataFrame) -> DataFrame:
@@ -108,14 +134,26 @@ def list_tree(paths: DataFrame) -> DataFrame:
 
 
 def conditional_entropy(tree: DataFrame, paths: DataFrame, given: DataFrame, asked: DataFrame) -> DataFrame:
-    """(id, entropy): terms of the communities above `asked` nodes (id, node_id) that hold no `given` node of the id."""
-    known = given.join(paths, "node_id").select("id", "level", "comm")
-    new = asked.join(paths, "node_id").select("id", "level", "comm").distinct().join(known, ["id", "level", "comm"], "left_anti")
-    sums = new.join(tree, ["level", "comm"]).groupBy("id").agg(F.sum("se_term").alias("entropy"))
-    return asked.select("id").distinct().join(sums, "id", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
+    """(id, entropy): terms of the communities above `asked` nodes (id, node_id) that hold no `given` node of the id.
+
+    In the order of the tree, what an asked node adds lies below what it shares with the asked node before it and with
+    the given ones before and after it. One window an id, nothing gathered.
+    """
+    known = ordered_paths(paths, tree)
+    both = given.select("id", "node_id", F.lit(False).alias("asked")).unionByName(asked.select("id", "node_id", F.lit(True).alias("asked")))
+    rows = both.join(known, "node_id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<bigint>")))
+    w = Window.partitionBy("id").orderBy("keys", "asked")
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    of_given, of_asked = F.when(~F.col("asked"), F.col("keys")), F.when(F.col("asked"), F.col("keys"))
+    depth = F.greatest(*(_shared(F.col("keys"), F.col(c)) for c in ("g0", "g1", "a0")))
+    rows = rows.select("id", "asked", "keys", "terms", F.last(of_given, True).over(before).alias("g0"), F.first(of_given, True).over(after).alias("g1"), F.last(of_asked, True).over(before).alias("a0"))
+    return rows.filter("asked").groupBy("id").agg(F.sum(F.coalesce(_below(depth), F.lit(0.0))).alias("entropy"))
 
 
 def chain_entropy(tree: DataFrame, paths: DataFrame, sets: DataFrame) -> DataFrame:
-    """(id, entropy): H(x1) + H(x2 | x1) + ..., the terms of all communities above any member, whatever the order."""
-    each = sets.select("id", F.explode("node_ids").alias("node_id")).join(paths, "node_id").select("id", "level", "comm").distinct()
-    return each.join(tree, ["level", "comm"]).groupBy("id").agg(F.sum("se_term").alias("entropy"))
+    """(id, entropy): H(x1) + H(x2 | x1) + ..., the terms of all communities above any member, whatever the order: what each
+    adds below the member before it in the order of the tree."""
+    each = sets.select("id", F.explode("node_ids").alias("node_id")).join(ordered_paths(paths, tree), "node_id")
+    before = F.lag("keys").over(Window.partitionBy("id").orderBy("keys"))
+    rows = each.select("id", "terms", "keys", before.alias("before"))
+    return rows.groupBy("id").agg(F.sum(_below(_shared(F.col("keys"), F.col("before")))).alias("entropy"))

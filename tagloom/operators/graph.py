@@ -13,12 +13,46 @@ def tag_counts(records: DataFrame) -> DataFrame:
     return records.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-def cooccurrence(records: DataFrame) -> DataFrame:
-    """(a, b, co), a <= b: one for each pair of places in a record. Pairs are made inside the row and added up
-    before the one shuffle."""
+def _short_pairs(records: DataFrame) -> DataFrame:
+    """(a, b, n): the pairs of each record's places, made inside the row."""
     later = F.transform("tags", lambda x, i: F.transform(F.slice("tags", i + 2, F.size("tags")), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))))
-    pairs = records.filter(F.size("tags") > 1).select(F.explode(F.flatten(later)).alias("p"))
-    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("co"))
+    return records.filter(F.size("tags") > 1).select(F.explode(F.flatten(later)).alias("p")).select("p.a", "p.b", F.lit(1).cast("long").alias("n"))
+
+
+def tag_blocks(records: DataFrame, block: int) -> DataFrame:
+    """(i, x, j, y): pairs i <= j of blocks of each record's distinct tags, a block being a list of at most `block` (tag, n),
+    dealt over all tasks. A record makes them in two steps, so that no row holds more than its tags and one block's pairs."""
+    ordered = records.select(F.array_sort("tags").alias("tags")).select("tags", F.array_distinct("tags").alias("each"))
+    first = ordered.select("each", F.size("tags").alias("size"), F.transform("each", lambda t: F.array_position("tags", t)).alias("first"))
+    counted = first.select(F.transform("each", lambda t, k: F.struct(t.alias("tag"), (F.coalesce(F.get("first", k + 1), F.col("size") + 1) - F.get("first", k)).cast("long").alias("n"))).alias("all"))
+    last = F.floor((F.size("all") - 1) / block).cast("int")
+    one = counted.select("all", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    others = F.transform(F.sequence("i", "last"), lambda j: F.slice("all", j * block + 1, F.lit(block)))
+    two = one.select("i", F.slice("all", F.col("i") * block + 1, F.lit(block)).alias("x"), F.posexplode(others).alias("step", "y"))
+    dealt = two.select("i", "x", (F.col("i") + F.col("step")).alias("j"), "y")
+    return dealt.repartition(F.xxhash64(F.col("x")[0]["tag"], F.col("y")[0]["tag"]), "i", "j")
+
+
+def _long_pairs(records: DataFrame, block: int) -> DataFrame:
+    """(a, b, n) of records of many tags: repeats are multiplied, and each row makes at most block * block pairs."""
+    def pair(x, y, n):
+        return F.struct(F.least(x["tag"], y["tag"]).alias("a"), F.greatest(x["tag"], y["tag"]).alias("b"), n.alias("n"))
+
+    across = F.flatten(F.transform("x", lambda x: F.transform("y", lambda y: pair(x, y, x["n"] * y["n"]))))
+    own = F.flatten(F.transform("x", lambda x, k: F.concat(F.array(pair(x, x, F.floor(x["n"] * (x["n"] - 1) / 2))), F.transform(F.slice("x", k + 2, F.size("x")), lambda y: pair(x, y, x["n"] * y["n"])))))
+    made = tag_blocks(records, block).select(F.explode(F.when(F.col("i") == F.col("j"), own).otherwise(across)).alias("p"))
+    return made.select("p.*").filter(F.col("n") > 0)
+
+
+def cooccurrence(records: DataFrame, block: int = 256) -> DataFrame:
+    """(a, b, co), a <= b: one for each pair of places in a record.
+
+    Pairs of a record of up to `block` tags are made inside its row. A longer one is cut into blocks of distinct tags with
+    their counts; pairs of blocks are rows, dealt over all tasks. Null tags are in no pair.
+    """
+    held = records.select(F.array_compact("tags").alias("tags"))
+    pairs = _short_pairs(held.filter(F.size("tags") <= block)).unionByName(_long_pairs(held.filter(F.size("tags") > block), block))
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("co"))
 
 
 def long_records(records: DataFrame, most: int = 200) -> DataFrame:

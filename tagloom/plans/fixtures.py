@@ -72,6 +72,11 @@ def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return written(graph.indexed_edges(named, ids), "skill-edges"), ids
 
 
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes with ids of the skill graph, where its edges aren't needed."""
+    return written(graph.node_ids(graph.graph_nodes(graph.skill_graph(tagged_records(spark, sf_dir)))), "skill-nodes")
+
+
 def fixed_paths(ids: DataFrame) -> DataFrame:
     """A nested tree by remainders of the node id: 3, 6 and 12 communities, then single nodes."""
     comm = F.col("node_id")

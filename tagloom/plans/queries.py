@@ -11,6 +11,7 @@ from ..functions import messages as msg
 from ..functions.ordering import pick_index, ranked_index, seeded_key, top_per_group
 from ..operators import combos, curriculum, entropy, graph, synthesis, taxonomy, training
 from ..sources import files
+from ..sources.shared import written
 from ..sources.shared import shared_dir
 from . import fixtures as fx
 
@@ -137,7 +138,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     edges, ids = fx.indexed(spark, sf)
     paths = taxonomy.entropy_tree(edges, ids, 4)
     full = entropy.mapped_paths(paths, extend_to_leaves=True)
-    tree = combos.arrays(entropy.tree_table(edges, full, include_root_terms=True), full, ids)
+    tree = combos.node_paths(entropy.tree_table(edges, full, include_root_terms=True), full, ids)
     best = combos.labelled_combos(combos.combos_for_all_starts(ids, tree, k=7, width=100), ids)
     return best.select("start_id", "start_ability", F.array_join("optimal_combination", ",").alias("optimal_combination"), _r("max_conditional_se"))
 
@@ -205,19 +206,19 @@ def set_entropy_fixed(spark, sf):
 
 @query(f"WITH {fx.WITH_TREE} SELECT node_id, node_id AS comm, true AS is_mapped FROM nodes")
 def leaf_paths_fixed(spark, sf):
-    return entropy.leaf_paths(fx.fixed_tree(spark, sf)[1])
+    return entropy.leaf_paths(fx.fixed_paths(fx.nodes(spark, sf)))
 
 
 @query(f"""WITH {fx.WITH_TREE} SELECT id, level, comm FROM (SELECT id, unnest(node_ids) AS node_id, len(node_ids) AS size FROM sets) JOIN paths USING (node_id)
 GROUP BY id, size, level, comm HAVING count(*) = size""")
 def common_ancestors_fixed(spark, sf):
-    _, paths, _, ids = fx.fixed_tree(spark, sf)
-    return entropy.common_ancestors(paths, fx.record_sets(spark, sf, ids))
+    ids = fx.nodes(spark, sf)
+    return entropy.common_ancestors(fx.fixed_paths(ids), fx.record_sets(spark, sf, ids))
 
 
 @query(f"WITH {fx.WITH_TREE} SELECT level, comm, string_agg(node_id::VARCHAR, ',' ORDER BY node_id) AS members FROM paths GROUP BY 1, 2")
 def list_tree_fixed(spark, sf):
-    return entropy.list_tree(fx.fixed_tree(spark, sf)[1]).select("level", "comm", _joined(F.col("members")).alias("members"))
+    return entropy.list_tree(fx.fixed_paths(fx.nodes(spark, sf))).select("level", "comm", _joined(F.col("members")).alias("members"))
 
 
 @query(f"""WITH {fx.WITH_TREE}, first AS (SELECT id, arg_min(node_id, pos) AS x FROM occ JOIN nodes USING (tag) GROUP BY 1
@@ -227,7 +228,7 @@ SELECT id, round(coalesce(sum(se_term) FILTER (WHERE (id, level, comm) NOT IN (S
 def conditional_entropy_fixed(spark, sf):
     """A record's other tags given its first."""
     tree, paths, _, ids = fx.fixed_tree(spark, sf)
-    sets = fx.record_sets(spark, sf, ids)
+    sets = written(fx.record_sets(spark, sf, ids), "record-sets")
     given = sets.select("id", F.col("node_ids")[0].alias("node_id"))
     asked = sets.select("id", F.explode(F.slice("node_ids", F.lit(2), F.size("node_ids"))).alias("node_id"))
     return entropy.conditional_entropy(tree, paths, given, asked).select("id", _r("entropy"))
@@ -251,10 +252,10 @@ _SECOND = f"""two AS (
 )"""
 
 
-def _fixed_search(spark: SparkSession, sf: str) -> tuple[DataFrame, combos.Tree]:
+def _fixed_search(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     tree, paths, _, ids = fx.fixed_tree(spark, sf)
     starts = ids.select(F.col("node_id").alias("id"), F.array("node_id").alias("node_ids"))
-    return starts, combos.arrays(tree, paths, ids)
+    return starts, combos.node_paths(tree, paths, ids)
 
 
 def _found(df: DataFrame) -> DataFrame:
@@ -334,9 +335,19 @@ def entropy_partition(spark, sf):
 
 @query()
 def entropy_partition_rounds(spark, sf):
-    """The same by distributed rounds down to 48 communities, exact from there."""
+    """The same in rounds of at most 1,000 edges, as for graphs that no task holds."""
     edges, ids = fx.indexed(spark, sf)
-    return taxonomy.min_entropy_partition(edges, ids.select("node_id", F.lit(0).alias("parent")), exact_cap=48).select("node_id", "comm")
+    return taxonomy.min_entropy_partition(edges, ids.select("node_id", F.lit(0).alias("parent")), most_rows=1000).select("node_id", "comm")
+
+
+@query(f"WITH {fx.WITH_GRAPH} SELECT count(*) AS nodes, 0 AS improving, 0 AS misnamed FROM nodes")
+def entropy_partition_checked(spark, sf):
+    """Of the partition: its nodes, adjacent pairs whose merge would still lower the entropy, communities not named by their least node."""
+    edges, ids = fx.indexed(spark, sf)
+    found = written(taxonomy.min_entropy_partition(edges, ids.select("node_id", F.lit(0).alias("parent"))).select("node_id", "comm"), "checked-partition")
+    improving = entropy.merge_gain(edges, found).filter("delta < -1e-9").agg(F.count("*").alias("improving"))
+    misnamed = found.groupBy("comm").agg(F.min("node_id").alias("least")).filter("comm <> least").agg(F.count("*").alias("misnamed"))
+    return found.agg(F.count("*").alias("nodes")).join(improving).join(misnamed)
 
 
 @query()
@@ -344,6 +355,16 @@ def entropy_tree(spark, sf):
     return taxonomy.entropy_tree(*fx.indexed(spark, sf), 4)
 
 
+@query(f"WITH {fx.WITH_GRAPH} SELECT unnest(range(1, 5))::INTEGER AS level, (SELECT count(*) FROM nodes) AS nodes, 0 AS crossing")
+def entropy_tree_checked(spark, sf):
+    """Of each level of the tree: its nodes, and communities that lie in more than one of the level above."""
+    paths = written(taxonomy.entropy_tree(*fx.indexed(spark, sf), 4), "checked-tree")
+    above = paths.select("node_id", (F.col("level") + 1).alias("level"), F.col("comm").alias("parent"))
+    crossing = paths.join(above, ["node_id", "level"]).groupBy("level", "comm").agg(F.countDistinct("parent").alias("n")).filter("n > 1").groupBy("level").agg(F.count("*").alias("crossing"))
+    counts = paths.groupBy("level").agg(F.countDistinct("node_id").alias("nodes"))
+    return counts.join(crossing, "level", "left").select("level", "nodes", F.coalesce("crossing", F.lit(0)).alias("crossing"))
+
+
 # records and dialogues
 
 

@@ -33,7 +33,7 @@ def test_tree(golden):
 
 
 def test_rounds_give_the_same_tree(golden):
-    assert _levels(taxonomy.entropy_tree(golden[0], golden[1], 3, exact_cap=1)) == _levels(golden[2])
+    assert _levels(taxonomy.entropy_tree(golden[0], golden[1], 3, most_rows=4)) == _levels(golden[2])
 
 
 @pytest.mark.parametrize(("root", "h_tree", "ratio", "best"), [(False, 1.383103, 0.561745, 0.396444), (True, 1.505155, 0.523071, 0.462840)])
@@ -43,7 +43,7 @@ def test_entropies(spark, golden, root, h_tree, ratio, best):
     row = entropy.sweet_spot(edges, tree).first()
     assert row["h1"] == pytest.approx(3.155928, abs=1e-5) and row["h_tree"] == pytest.approx(h_tree, abs=1e-5) and row["ratio"] == pytest.approx(ratio, abs=1e-5)
     starts = spark.createDataFrame([(1, [0, 2])], "id int, node_ids array<int>")
-    found = combos.beam_sets(starts, combos.arrays(tree, paths, nodes), 2, 100).orderBy("rank").collect()
+    found = combos.beam_sets(starts, combos.node_paths(tree, paths, nodes), 2, 100).orderBy("rank").collect()
     assert sorted(found[0]["y_ids"]) == [1, 3] and found[0]["entropy"] == pytest.approx(best, abs=1e-5)
     if not root:
         want = {0: 0.225888, 1: 0.210733, 2: 0.201911, 3: 0.185711, 4: 0.167122, 5: 0.159576, 6: 0.182249, 7: 0.126334, 8: 0.096498, 9: 0.123442}
@@ -84,7 +84,7 @@ def test_merge_gain_is_the_difference(spark):
 
 def test_sequences_and_paths(spark, golden):
     edges, nodes, paths = golden
-    tree = combos.arrays(entropy.tree_table(edges, paths), paths, nodes)
+    tree = combos.node_paths(entropy.tree_table(edges, paths), paths, nodes)
     starts = spark.createDataFrame([(0, [0])], "id int, node_ids array<int>")
     every = combos.all_sequences(starts, tree, 2).collect()
     assert len(every) == 72
@@ -101,7 +101,7 @@ def test_wide_search_is_exhaustive(spark, golden):
     """Sets of seven at width 100 for all starts, as in production, reach the best of all sets of a small graph."""
     edges, nodes, paths = golden
     table = entropy.tree_table(edges, paths, True)
-    tree = combos.arrays(table, paths, nodes)
+    tree = combos.node_paths(table, paths, nodes)
     terms = {(r["level"], r["comm"]): round(r["se_term"] * 1e9) for r in table.collect()}
     own = {}
     for r in paths.collect():
@@ -114,12 +114,50 @@ def test_wide_search_is_exhaustive(spark, golden):
         assert len(set(ys)) == 6 and start not in ys and score(ys) == best and value == pytest.approx(best / 1e9, abs=1e-12)
 
 
-@pytest.mark.parametrize("cap", [1, 2000])
+@pytest.mark.parametrize("cap", [1, 12, 100_000])
 def test_no_merge_is_left(spark, cap):
     """Neither way of merging leaves a pair of communities whose merge would lower the entropy."""
     rng = random.Random(6)
     edges = spark.createDataFrame([(a, b, rng.random()) for a, b in itertools.combinations(range(14), 2) if rng.random() < 0.4], "src int, dst int, weight double")
     members = spark.createDataFrame([(i, 0) for i in range(14)], "node_id int, parent int")
-    found = taxonomy.min_entropy_partition(edges, members, exact_cap=cap).select("node_id", "comm").cache()
+    found = taxonomy.min_entropy_partition(edges, members, most_rows=cap, most_pairs=20).select("node_id", "comm").cache()
     assert found.groupBy("comm").agg({"node_id": "min"}).filter("comm <> `min(node_id)`").count() == 0
     assert entropy.merge_gain(edges, found).filter("delta < -1e-9").count() == 0
+    want = taxonomy.min_entropy_partition(edges, members).select("node_id", "comm")
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.collect()}
+
+
+def _merged(edges, n):
+    """The partition by merging the best of all pairs, everything computed anew each time."""
+    part = {i: i for i in range(n)}
+    total = 2 * sum(w for *_, w in edges)
+    while True:
+        volume, cut, between = dict.fromkeys(part.values(), 0.0), dict.fromkeys(part.values(), 0.0), {}
+        for a, b, w in edges:
+            x, y = part[a], part[b]
+            volume[x] += w
+            volume[y] += w
+            if x != y:
+                cut[x] += w
+                cut[y] += w
+                between[min(x, y), max(x, y)] = between.get((min(x, y), max(x, y)), 0.0) + w
+        change = {}
+        for (x, y), w in between.items():
+            both = volume[x] + volume[y]
+            change[x, y] = round((sum((volume[c] - cut[c]) * math.log2(both / volume[c]) for c in (x, y)) + 2 * w * math.log2(both / total)) / total, 12)
+        if not change or min(change.values()) >= -1e-12:
+            return part
+        x, y = min(change, key=lambda p: (change[p], p))
+        part = {i: x if c == y else c for i, c in part.items()}
+
+
+@pytest.mark.parametrize(("seed", "n", "share", "rows"), [(1, 30, 0.1, 40), (2, 30, 0.1, 100_000), (3, 24, 0.9, 200)])
+def test_rounds_are_greedy(spark, seed, n, share, rows):
+    """Rounds of any size give the partition of merging the best pair each time, on sparse and dense graphs, in each parent."""
+    rng = random.Random(seed)
+    edges = [(a, b, rng.random()) for a, b in itertools.combinations(range(n), 2) if rng.random() < share]
+    more = [(a + n, b + n, w * 3) for a, b, w in edges if a < 10 and b < 10] + [(0, n, 5.0)]
+    members = spark.createDataFrame([(i, 0) for i in range(n)] + [(i, n) for i in range(n, 2 * n)], "node_id int, parent int")
+    found = taxonomy.min_entropy_partition(spark.createDataFrame(edges + more, "src int, dst int, weight double"), members, most_rows=rows, most_pairs=10)
+    second = {i + n: c + n for i, c in _merged([(a - n, b - n, w) for a, b, w in more[:-1]], n).items()}
+    assert {r["node_id"]: r["comm"] for r in found.collect()} == _merged(edges, n) | second
