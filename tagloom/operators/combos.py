@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import ranked_index, top_per_group
+from ..sources.files import write_in_batches
 from ..sources.shared import discard, written
 
 #: Units of a term; the step between the numbers of two levels' communities; the root's number; parts that a community's nodes are ranked in first.
@@ -150,16 +151,18 @@ def _turn(states: DataFrame, index: DataFrame, turn: int, width: int, dedupe: bo
     return states.groupBy("row").cogroup(lists.groupBy("of")).applyInArrow(run, schema)
 
 
-def _beam(starts: DataFrame, tree: DataFrame, size: int, width: int, dedupe: bool = True, local: str | None = None) -> DataFrame:
+def _beam(starts: DataFrame, tree: DataFrame, size: int, width: int, dedupe: bool = True, local: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """(id, rank, y_ids, entropy): for each start the sequences that are left after `size` turns, best first."""
     states = written(_begun(starts, tree, local, size), "search-states")
     if size > 0:
-        most = (states.agg(F.max(F.size("given"))).first()[0] or 0) + size
-        index = search_index(tree, width, most)
+        made = index is None
+        if made:
+            index = search_index(tree, width, (states.agg(F.max(F.size("given"))).first()[0] or 0) + size)
         for turn in range(size):
             states, before = written(_turn(states, index, turn, width, dedupe), "search-states"), states
             discard(before)
-        discard(index)
+        if made:
+            discard(index)
     each = states.select("id", F.posexplode("states").alias("pos", "s")).filter(F.size("s.taken") > 0)
     return each.select("id", (F.col("pos") + 1).alias("rank"), F.col("s.taken").alias("y_ids"), (F.col("s.value") / F.lit(float(UNIT))).alias("entropy"))
 
@@ -219,12 +222,25 @@ def all_sequences(starts: DataFrame, tree: DataFrame, size: int) -> DataFrame:
     return ranked.select("id", (F.col("place") + 1).cast("int").alias("rank"), "y_ids", (-F.col("less") / F.lit(float(UNIT))).alias("entropy"))
 
 
-def combos_for_all_starts(ids: DataFrame, tree: DataFrame, k: int = 7, width: int = 100) -> DataFrame:
+def combos_for_all_starts(ids: DataFrame, tree: DataFrame, k: int = 7, width: int = 100, index: DataFrame | None = None) -> DataFrame:
     """(start_id, y_ids, max_conditional_se): for each node alone the best set of k - 1 others."""
-    best = beam_sets(ids.select(F.col("node_id").alias("id"), F.array("node_id").alias("node_ids")), tree, k - 1, width).filter(F.col("rank") == 1)
+    best = _beam(ids.select(F.col("node_id").alias("id"), F.array("node_id").alias("node_ids")), tree, k - 1, width, index=index).filter(F.col("rank") == 1)
     return best.select(F.col("id").alias("start_id"), "y_ids", F.col("entropy").alias("max_conditional_se"))
 
 
+def combos_in_batches(ids: DataFrame, tree: DataFrame, path: str, k: int = 7, width: int = 100, size: int = 100, at_once: int = 10) -> int:
+    """combos_for_all_starts(), written in batches of `size` starts, `at_once` of them in a job; stopped work goes on with what isn't
+    finished. Gives the number of jobs. The index is made once."""
+    index = search_index(tree, width, k)
+
+    def make(starts: DataFrame) -> DataFrame:
+        return combos_for_all_starts(starts.select(F.col("start_id").alias("node_id")), tree, k, width, index)
+
+    jobs = write_in_batches(ids.select(F.col("node_id").alias("start_id")), make, path, k, size, at_once)
+    discard(index)
+    return jobs
+
+
 def labelled_combos(combos: DataFrame, ids: DataFrame) -> DataFrame:
     """(start_id, start_ability, optimal_combination, max_conditional_se): ids as tags, in order."""
     at = combos.select("start_id", F.posexplode("y_ids").alias("pos", "node_id")).join(ids, "node_id")

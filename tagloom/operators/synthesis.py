@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.messages import filter_language, normalize_roles, normalize_tags
 from ..functions.ordering import pick_index, ranked_index, seeded_key
-from ..sources.shared import exists, written
+from ..sources.shared import discard, exists, holds_files, written
 
 
 def assign_single_tag(samples: DataFrame, seed: int = 2024, rounds: int = 1, slack: tuple[int, int] = (15, 25)) -> DataFrame:
@@ -23,7 +24,8 @@ def assign_single_tag(samples: DataFrame, seed: int = 2024, rounds: int = 1, sla
     among the tags by how often they occur at all, the rarest, ties by md5.
     """
     rows = samples.withColumn("_round", pick_index(F.lit(rounds), seed, F.lit("round"), F.col("id").cast("string")))
-    each = written(rows.select("id", "_round", F.explode(F.array_distinct("tags")).alias("tag")), "single-tags")
+    # with several rounds, a folder each, so that a round reads its own samples alone
+    each = written(rows.select("id", "_round", F.explode(F.array_distinct("tags")).alias("tag")), "single-tags", by="_round" if rounds > 1 else None)
     draw = seeded_key(seed, F.col("id").cast("string"), "tag")
     if rounds == 1:
         counts = each.groupBy("tag").agg(F.count("*").alias("n"))
@@ -113,53 +115,86 @@ def render_prompt(blocks: Column, upper_roles: bool = True) -> Column:
     return F.array_join(F.transform(blocks, line), "")
 
 
-def generate(df: DataFrame, call: Callable[[str], str | None], column: str = "prompt", tries: int = 3, wait: float = 1.0, tasks: int | None = None) -> DataFrame:
-    """Adds reply, from `call` for each row; a failed call is tried again after a doubling wait, then its row is dropped.
+def _replies(call: Callable[[str], str | None], column: str, tries: int, wait: float, gap: float = 0.0):
+    """The function for mapInPandas that adds reply, and leaves out rows whose calls all failed."""
 
-    tasks: how many calls run at once. Write the result once: a later stage that is repeated would call again.
-    """
+    def reply(prompt: str) -> str | None:
+        for attempt in range(tries):
+            try:
+                return call(prompt)
+            except Exception:  # noqa: BLE001 - any failure of the caller's function counts as a failed try
+                if attempt + 1 < tries:
+                    time.sleep(wait * 2**attempt)
+        return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def reply(prompt: str) -> str | None:
-            for attempt in range(tries):
-                try:
-                    return call(prompt)
-                except Exception:  # noqa: BLE001 - any failure of the caller's function counts as a failed try
-                    if attempt + 1 < tries:
-                        time.sleep(wait * 2**attempt)
-            return None
-
+        free = time.monotonic()
         for batch in batches:
-            batch["reply"] = [reply(p) for p in batch[column]]
+            out = []
+            for prompt in batch[column]:
+                time.sleep(max(0.0, free - time.monotonic()))
+                free = max(free, time.monotonic()) + gap
+                out.append(reply(prompt))
+            batch["reply"] = out
             yield batch[batch["reply"].notna()]
 
+    return run
+
+
+def stored_replies(df: DataFrame, call: Callable[[str], str | None], store: str, column: str = "prompt", tries: int = 3, wait: float = 1.0, tasks: int = 8, per_second: float | None = None, batch: int = 1000) -> DataFrame:
+    """(key, reply) for the texts of a column, key being their sha256: each distinct text is called once, now or earlier.
+
+    store: a folder of earlier replies. What it lacks is called in jobs of about `batch` texts, each added to it as a whole
+    when it is done, so that a run that dies loses the calls of one job. tasks: calls at once; per_second: calls a second
+    of all tasks together. Texts whose calls all failed have no row and are called again by the next run.
+    """
+    spark = df.sparkSession
+    schema = "key string, reply string"
+    known = spark.read.schema(schema).parquet(store) if holds_files(spark, store) else spark.createDataFrame([], schema)
+    texts = df.select(F.sha2(column, 256).alias("key"), F.col(column).alias("text")).filter("key is not null").dropDuplicates(["key"])
+    todo = written(texts.join(known.select("key"), "key", "left_anti"), "calls")
+    jobs = -(-todo.count() // batch)
+    run = _replies(call, "text", tries, wait, tasks / per_second if per_second else 0.0)
+    for job in range(jobs):
+        own = todo.filter(F.pmod(F.xxhash64("key"), F.lit(jobs)) == job)
+        made = own.repartition(tasks, "key").mapInPandas(run, "key string, text string, reply string")
+        made.select("key", "reply").write.mode("append").parquet(store)
+    discard(todo)
+    return spark.read.schema(schema).parquet(store) if holds_files(spark, store) else known
+
+
+def generate(df: DataFrame, call: Callable[[str], str | None], column: str = "prompt", tries: int = 3, wait: float = 1.0, tasks: int | None = None, store: str | None = None, **limits) -> DataFrame:
+    """Adds reply, from `call` for each row; a failed call is tried again after a doubling wait, then its row is dropped.
+
+    tasks: how many calls run at once. store: a folder of replies, see stored_replies(), so that a text is called once;
+    without it a task that is repeated calls again.
+    """
+    if store:
+        replies = stored_replies(df, call, store, column, tries, wait, tasks or 8, **limits)
+        return df.withColumn("key", F.sha2(column, 256)).join(replies, "key").drop("key")
     schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType())])
-    return (df.repartition(tasks) if tasks else df).mapInPandas(run, schema)
+    return (df.repartition(tasks) if tasks else df).mapInPandas(_replies(call, column, tries, wait), schema)
 
 
-def gate_combos(combos: DataFrame, judge: Callable[[list[str]], str] | Column, keep_errors: bool = True) -> DataFrame:
+def gate_combos(combos: DataFrame, judge: Callable[[list[str]], str] | Column, keep_errors: bool = True, store: str | None = None, **limits) -> DataFrame:
     """The combos (combo_id, tags) whose tags, sorted, are judged YES; each distinct set is judged once.
 
-    judge: a function of the sorted tags, or a string column over `key`. A failed call keeps the combo.
+    judge: a function of the sorted tags, or a string column over `key`. A failed call keeps the combo, or drops it without
+    keep_errors. store: a folder of verdicts, see stored_replies(), that later jobs use again; failed calls aren't in it.
     """
     keyed = combos.withColumn("key", F.array_sort("tags"))
-    asked = keyed.select("key").distinct()
     if isinstance(judge, Column):
-        answer = judge
+        verdicts = keyed.select("key").distinct().withColumn("reply", judge)
     else:
-
-        @F.pandas_udf(T.StringType())
-        def ask(keys: pd.Series) -> pd.Series:
-            def one(key: list[str]) -> str:
-                try:
-                    return judge(list(key))
-                except Exception:  # noqa: BLE001 - a gate that fails keeps what it can't judge
-                    return "YES" if keep_errors else "NO"
-
-            return keys.map(one)
-
-        answer = ask("key")
-    passed = asked.filter(F.upper(answer).contains("YES"))
+        asked = keyed.select("key").distinct().withColumn("prompt", F.to_json("key"))
+        call = lambda text: judge(json.loads(text))
+        if store:
+            found = stored_replies(asked, call, store, **({"tries": 1} | limits))
+            verdicts = asked.withColumn("at", F.sha2("prompt", 256)).join(found.withColumnRenamed("key", "at"), "at", "left")
+        else:
+            texts = asked.select("prompt")
+            verdicts = asked.join(texts.mapInPandas(_replies(call, "prompt", 1, 0.0), "prompt string, reply string"), "prompt", "left")
+    passed = verdicts.filter(F.coalesce(F.upper("reply").contains("YES"), F.lit(keep_errors))).select("key")
     return keyed.join(passed, "key", "left_semi").drop("key")
 
 

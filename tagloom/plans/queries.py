@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -462,6 +463,25 @@ def head_lines(spark, sf):
     return files.head_lines(rows, 100, ["conv_id", "turn"]).select("conv_id", "turn", "line")
 
 
+@query("""SELECT line, text AS value FROM (SELECT text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS line FROM conversations WHERE NOT contains(text, chr(10)) AND NOT contains(text, chr(13))) WHERE line < 500 AND trim(text) <> ''""")
+def head_lines_of_file(spark, sf):
+    """The first 500 lines of a text file."""
+    path = _path(spark, "lines")
+    rows = fx.read(spark, sf, "conversations").filter(~F.col("text").contains("\n") & ~F.col("text").contains("\r"))
+    rows.orderBy("conv_id", "turn").select("text").coalesce(1).write.text(path)
+    return files.head_lines(files.file_lines(spark, path), 500).select("line", "value")
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS line, 1 AS skipped FROM lineitem")
+def read_reported(spark, sf):
+    """Lines of orders in several files, with one file beside them that is no parquet."""
+    path = _path(spark, "reported")
+    fx.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line")).repartition(4).write.parquet(path)
+    spark.range(1).select(F.lit("broken").alias("value")).coalesce(1).write.mode("append").format("text").save(path)
+    rows, skipped = files.read_reported(spark, path, ("id", "line"))
+    return rows.join(F.broadcast(skipped.agg(F.count("*").alias("skipped"))))  # one row
+
+
 @query(f"WITH {fx.WITH_SEED} SELECT id, content[1].content || content[2].content AS said, array_to_string(tags, ',') AS tags, langdetect FROM seed")
 def read_seed(spark, sf):
     """Seed records written as parquet with one more column and read back."""
@@ -485,7 +505,22 @@ def single_tag_assign_r1(spark, sf):
     return synthesis.atomic_samples(fx.seed_records(spark, sf)).select("id", "single_ability_tag")
 
 
-@query()
+def _tag_rounds(rounds: int) -> str:
+    """Single tags in rounds: in each, of the tags whose count is at most the least plus the sample's slack, the first by md5."""
+    draw = "('0x' || substr(md5('2024|{}' || id), 1, 8))::BIGINT"
+    steps = [f"""each AS MATERIALIZED (
+  SELECT DISTINCT id, {draw.format('round|')} % {rounds} AS r, 15 + {draw.format('slack|')} % 11 AS slack, unnest(tags) AS tag FROM seed WHERE langdetect = 'en')"""]
+    for r in range(rounds):
+        used = "SELECT NULL AS tag, 0 AS n WHERE false" if not r else " UNION ALL ".join(f"SELECT single_ability_tag, count(*) FROM p{i} GROUP BY 1" for i in range(r))
+        steps += [
+            f"u{r}(tag, n) AS (SELECT tag, sum(n) FROM ({used}) x(tag, n) GROUP BY 1)",
+            f"n{r} AS (SELECT id, each.tag, slack, coalesce(n, 0) AS n, min(coalesce(n, 0)) OVER (PARTITION BY id) AS least FROM each LEFT JOIN u{r} ON each.tag = u{r}.tag WHERE r = {r})",
+            f"p{r} AS MATERIALIZED (SELECT id, arg_min(tag, md5('2024|' || id || '|' || tag)) AS single_ability_tag FROM n{r} WHERE n <= least + slack GROUP BY 1)",
+        ]
+    return f"WITH {fx.WITH_SEED}, {', '.join(steps)} " + " UNION ALL ".join(f"SELECT id, single_ability_tag FROM p{r}" for r in range(rounds))
+
+
+@query(_tag_rounds(4))
 def single_tag_assign_rounds(spark, sf):
     return synthesis.atomic_samples(fx.seed_records(spark, sf), rounds=4).select("id", "single_ability_tag")
 
@@ -552,6 +587,15 @@ def gate_combos(spark, sf):
     return synthesis.gate_combos(fx.record_combos(spark, sf), rule).select("combo_id")
 
 
+@query(f"WITH {fx.WITH_SEED} SELECT combo_id FROM combos WHERE len(tags) >= 3")
+def gate_combos_stored(spark, sf):
+    """Verdicts of a function, kept: the second gate calls nothing."""
+    path = _path(spark, "verdicts")
+    rows = fx.record_combos(spark, sf)
+    synthesis.gate_combos(rows, lambda key: "YES" if len(key) >= 3 else "NO", store=path, batch=100_000)
+    return synthesis.gate_combos(rows, lambda key: 1 / 0, keep_errors=False, store=path, wait=0.0).select("combo_id")
+
+
 @query()
 def gate_combos_callable(spark, sf):
     return synthesis.gate_combos(fx.record_combos(spark, sf), lambda key: "YES" if len(key) >= 3 else "NO").select("combo_id")
@@ -561,6 +605,20 @@ def _echo(prompt: str) -> str:
     return "[{'role': 'user', 'content': %r}]" % prompt[-40:]
 
 
+def _md5(prompt: str) -> str:
+    return hashlib.md5(prompt.encode()).hexdigest()
+
+
+@query(f"""WITH {fx.WITH_SEED}
+SELECT combo_id, md5(string_agg(chr(10) || '--- ' || m.tag || ' ---' || chr(10) || 'user: ' || content[1].content || chr(10) || 'assistant: ' || content[2].content || chr(10), '' ORDER BY pos)) AS reply
+FROM matched m JOIN atomic a ON m.id = a.id GROUP BY 1""")
+def generate_stored(spark, sf):
+    """A generator that answers with the prompt's md5, its replies kept and read again."""
+    matched, atomic = _matched(spark, sf)
+    prompts = synthesis.assemble_content(matched, atomic).select("combo_id", synthesis.render_prompt(F.col("combined_content_for_llm")).alias("prompt"))
+    return synthesis.generate(prompts, _md5, store=_path(spark, "replies"), batch=100_000).select("combo_id", "reply")
+
+
 @query()
 def generate_stub(spark, sf):
     """A generator that echoes the end of the prompt."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.ordering import ranked_index
+from .shared import holds_files, written
 
 #: Columns of seed records.
 SEED = ("id", "conversations", "label", "langdetect")
@@ -17,14 +20,52 @@ def _empty(spark: SparkSession, columns) -> DataFrame:
     return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
 
+def _readable(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of all parquet files of a folder that can be read; None if there is no such file.
+
+    One file's columns stand for all; where that one can't be read, those of all are read.
+    """
+    for every in (False, True):
+        try:
+            return spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", every).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    return None
+
+
 def read_tagged(spark: SparkSession, path: str, columns: tuple[str, ...] = ("id", "label")) -> DataFrame:
     """The given columns of all parquet files of a folder; files that can't be read are skipped, no file gives no rows."""
+    rows = _readable(spark, path)
+    return _empty(spark, columns) if rows is None else rows.select(*columns)
+
+
+def skipped_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, reason) of the files of a folder that read_tagged() skips because they can't be read at all.
+
+    Files that gave no row are tried one by one, so that empty ones aren't taken for broken ones.
+    """
     try:
-        return spark.read.option("ignoreCorruptFiles", True).parquet(path).select(*columns)
+        listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
     except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return _empty(spark, columns)
-        raise
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "file string, reason string")
+    rows = _readable(spark, path)
+    if rows is not None:
+        listed = listed.join(rows.select(F.col("_metadata.file_path").alias("file")).distinct(), "file", "left_anti")
+    broken = []
+    for row in listed.toLocalIterator():
+        try:
+            spark.read.parquet(row["file"]).count()
+        except Exception as e:  # noqa: BLE001 - whatever makes a file unreadable is its reason
+            broken.append((row["file"], str(e).split("\n")[0]))
+    return spark.createDataFrame(broken, "file string, reason string")
+
+
+def read_reported(spark: SparkSession, path: str, columns: tuple[str, ...] = ("id", "label")) -> tuple[DataFrame, DataFrame]:
+    """read_tagged() and skipped_files() of a folder."""
+    return read_tagged(spark, path, columns), skipped_files(spark, path)
 
 
 def read_seed(spark: SparkSession, path: str) -> DataFrame:
@@ -77,6 +118,28 @@ def write_combos(combos: DataFrame, path: str, k: int, size: int = 100) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("k", "batch").parquet(path)
 
 
+def finished_batches(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """(batch) of the ledger beside the combinations of k."""
+    ledger = f"{path}/_ledger/k={k}"
+    return spark.read.schema("batch int").parquet(ledger) if holds_files(spark, ledger) else spark.createDataFrame([], "batch int")
+
+
+def write_in_batches(starts: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, k: int, size: int = 100, at_once: int = 10) -> int:
+    """Writes make(starts) as write_combos() does, `at_once` batches of `size` starts (start_id) in a job; gives the number of jobs.
+
+    A finished batch is noted in a ledger, and a later call leaves it out: work that was stopped goes on with the first
+    batch that isn't finished. A batch that was being written is written again.
+    """
+    spark = starts.sparkSession
+    todo = batched(starts, size).join(finished_batches(spark, path, k), "batch", "left_anti")
+    batches = sorted(r["batch"] for r in todo.select("batch").distinct().toLocalIterator())
+    for a in range(0, len(batches), at_once):
+        now = batches[a : a + at_once]
+        write_combos(make(todo.filter(F.col("batch").isin(now)).drop("batch")), path, k, size)
+        spark.createDataFrame([(b,) for b in now], "batch int").coalesce(1).write.mode("append").parquet(f"{path}/_ledger/k={k}")
+    return -(-len(batches) // at_once)
+
+
 def read_combos(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
     """All batches in numeric order of batch and start."""
     rows = spark.read.parquet(path)
@@ -108,10 +171,39 @@ def numbered_lines(lines: DataFrame, order: list[str]) -> DataFrame:
     return ranked_index(lines, order, "line")
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, at) of all lines of a file or folder, blank ones too: the file, where the read piece of it starts, and
+    a number that ascends inside the piece. A missing file gives no rows."""
+    try:
+        rows = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "value string, file string, block long, at long")
+    return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
+def in_file_order(lines: DataFrame, n: int | None = None) -> DataFrame:
+    """(line, value) of file_lines(), or of the first n: numbered from 0 over the files in the order of their names.
+
+    Pieces are counted first; of the rows only those of pieces that are wanted are numbered, each piece by itself.
+    """
+    counts = written(lines.groupBy("file", "block").agg(F.count("*").alias("n")), "line-counts")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = counts.select("file", "block", before.alias("before"))  # one row a piece
+    if n is not None:
+        pieces = pieces.filter(F.col("before") < n)
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    rows = lines.join(pieces, ["file", "block"]).withColumn("line", F.col("before") + inside).select("line", "value")
+    return rows if n is None else rows.filter(F.col("line") < n)
+
+
 def head_lines(lines: DataFrame, n: int, order: list[str] | None = None) -> DataFrame:
-    """The first n lines, and of those the ones that aren't blank; all lines if n is not above 0."""
-    kept = numbered_lines(lines, order).filter(F.col("line") < n) if n > 0 else lines
-    return kept.filter(F.trim("value") != "")
+    """The first n lines, in the given order or, of file_lines(), in that of the files; of those the ones that aren't blank.
+    All lines if n is not above 0."""
+    if n > 0:
+        lines = in_file_order(lines, n) if order is None else numbered_lines(lines, order).filter(F.col("line") < n)
+    return lines.filter(F.trim("value") != "")
 
 
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tagloom-"))
@@ -37,8 +38,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written and read again: later plans start from files that outlive executors."""
+def holds_files(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The rows of df, written and read again: later plans start from files that outlive executors. by: a column with a folder for each value."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
