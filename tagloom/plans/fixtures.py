@@ -65,16 +65,17 @@ def tagged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.select("id", F.col("p.p_name").alias("tags"))
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(edges with ids, nodes with ids) of the skill graph, written once."""
-    named = written(graph.skill_graph(tagged_records(spark, sf_dir)), "skill-graph")
+def indexed(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges with ids, nodes with ids) of the skill graph, written once. records: tagged_records(), where they are at hand."""
+    named = written(graph.skill_graph(records or tagged_records(spark, sf_dir)), "skill-graph")
     ids = written(graph.node_ids(graph.graph_nodes(named)), "skill-nodes")
     return written(graph.indexed_edges(named, ids), "skill-edges"), ids
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nodes with ids of the skill graph, where its edges aren't needed."""
-    return written(graph.node_ids(graph.graph_nodes(graph.skill_graph(tagged_records(spark, sf_dir)))), "skill-nodes")
+def nodes(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> DataFrame:
+    """The nodes with ids of the skill graph, where its edges aren't needed: tags of a pair of two tags need no weight."""
+    pairs = graph.cooccurrence(records or tagged_records(spark, sf_dir)).filter(F.col("a") != F.col("b"))
+    return written(graph.node_ids(graph.graph_nodes(pairs)), "skill-nodes")
 
 
 def fixed_paths(ids: DataFrame) -> DataFrame:
@@ -84,16 +85,16 @@ def fixed_paths(ids: DataFrame) -> DataFrame:
     return ids.select("node_id", F.explode(levels).alias("p")).select("node_id", "p.level", "p.comm")
 
 
-def fixed_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def fixed_tree(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(tree, paths, edges, ids)."""
-    edges, ids = indexed(spark, sf_dir)
+    edges, ids = indexed(spark, sf_dir, records)
     paths = fixed_paths(ids)
     return written(entropy.tree_table(edges, paths), "fixed-tree"), paths, edges, ids
 
 
-def record_sets(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
-    """(id, node_ids): the distinct nodes of each record."""
-    return graph.ids_of(tagged_records(spark, sf_dir), ids).select("id", F.array_distinct("node_ids").alias("node_ids"))
+def record_sets(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, node_ids): the distinct nodes of each of the tagged records."""
+    return graph.ids_of(records, ids).select("id", F.array_distinct("node_ids").alias("node_ids"))
 
 
 WITH_SEED = (

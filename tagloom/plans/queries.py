@@ -213,8 +213,9 @@ def leaf_paths_fixed(spark, sf):
 @query(f"""WITH {fx.WITH_TREE} SELECT id, level, comm FROM (SELECT id, unnest(node_ids) AS node_id, len(node_ids) AS size FROM sets) JOIN paths USING (node_id)
 GROUP BY id, size, level, comm HAVING count(*) = size""")
 def common_ancestors_fixed(spark, sf):
-    ids = fx.nodes(spark, sf)
-    return entropy.common_ancestors(fx.fixed_paths(ids), fx.record_sets(spark, sf, ids))
+    records = written(fx.tagged_records(spark, sf), "tagged-records")
+    ids = fx.nodes(spark, sf, records)
+    return entropy.common_ancestors(fx.fixed_paths(ids), fx.record_sets(records, ids))
 
 
 @query(f"WITH {fx.WITH_TREE} SELECT level, comm, string_agg(node_id::VARCHAR, ',' ORDER BY node_id) AS members FROM paths GROUP BY 1, 2")
@@ -228,8 +229,9 @@ def list_tree_fixed(spark, sf):
 SELECT id, round(coalesce(sum(se_term) FILTER (WHERE (id, level, comm) NOT IN (SELECT id, level, comm FROM known)), 0), 6) AS entropy FROM asked GROUP BY 1""")
 def conditional_entropy_fixed(spark, sf):
     """A record's other tags given its first."""
-    tree, paths, _, ids = fx.fixed_tree(spark, sf)
-    sets = written(fx.record_sets(spark, sf, ids), "record-sets")
+    records = written(fx.tagged_records(spark, sf), "tagged-records")
+    tree, paths, _, ids = fx.fixed_tree(spark, sf, records)
+    sets = written(fx.record_sets(records, ids), "record-sets")
     given = sets.select("id", F.col("node_ids")[0].alias("node_id"))
     asked = sets.select("id", F.explode(F.slice("node_ids", F.lit(2), F.size("node_ids"))).alias("node_id"))
     return entropy.conditional_entropy(tree, paths, given, asked).select("id", _r("entropy"))
@@ -237,8 +239,9 @@ def conditional_entropy_fixed(spark, sf):
 
 @query(f"WITH {fx.WITH_TREE} SELECT id, round(sum(se_term), 6) AS entropy FROM (SELECT DISTINCT id, level, comm, se_term FROM (SELECT id, unnest(node_ids) AS node_id FROM sets) JOIN terms USING (node_id)) GROUP BY 1")
 def chain_entropy_fixed(spark, sf):
-    tree, paths, _, ids = fx.fixed_tree(spark, sf)
-    return entropy.chain_entropy(tree, paths, fx.record_sets(spark, sf, ids)).select("id", _r("entropy"))
+    records = written(fx.tagged_records(spark, sf), "tagged-records")
+    tree, paths, _, ids = fx.fixed_tree(spark, sf, records)
+    return entropy.chain_entropy(tree, paths, fx.record_sets(records, ids)).select("id", _r("entropy"))
 
 
 # search
@@ -916,7 +919,7 @@ def read_eval_set(spark, sf):
 SELECT id, (coalesce(differ, n - 1))::INTEGER AS divergence, (CASE WHEN differ IS NULL THEN n ELSE greatest(len(x), len(y)) END)::INTEGER AS "end" FROM d""")
 def pair_divergence(spark, sf):
     """Each document against the next, both padded with -1 to one more than the longer."""
-    rows = fx.token_lists(spark, sf).select("id", "token_ids")
+    rows = written(fx.token_lists(spark, sf).select("id", "token_ids"), "token-lists")
     pairs = rows.withColumnRenamed("token_ids", "x").join(rows.select((F.col("id") - 1).alias("id"), F.col("token_ids").alias("y")), "id")
     width = F.greatest(F.size("x"), F.size("y")) + 1
     pad = lambda c: F.concat(c, F.array_repeat(F.lit(-1), width - F.size(c)))
