@@ -84,6 +84,10 @@ _BRACKET_AT = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?", re.I)
 _BRACKET_DOT = re.compile(r"\s?[\[({<]\s?(?:dot|punkt|point|\.)\s?[\])}>]\s?", re.I)
 _WORD_AT_DOT = re.compile(r"(?<=[A-Za-z0-9._%+-])( at | @ )[A-Za-z0-9-]+(?:(?: dot | \. |\.)[A-Za-z0-9-]+)+", re.I)
 _WORD_SEP = re.compile(r" at | @ | dot | \. ", re.I)
+_WORD_DOTS = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: dot [0-9]{1,3}){3}(?![0-9.]| dot )", re.I)
+#: What is said before an address, and words that stand before "at" without being one's local part.
+_CUE = re.compile(r"\b(?:e-?mails?|mail|write|contact|reach|address)\b[^.!?\n]{0,24}$", re.I)
+_PRONOUNS = frozenset(("me", "us", "him", "her", "them", "it", "you"))
 
 
 class Traced:
@@ -122,20 +126,40 @@ def _spelled(m: re.Match) -> str:
     return _SPELLED_PART.sub(one, m[0])
 
 
+def _at_dot(m: re.Match) -> str:
+    """An address whose "at" is a word, or stands between spaces, rewritten; prose that only looks like one as it is.
+
+    Its last label has two letters or more and nothing else. A spelled dot or an "@" is enough beside that; else the
+    word before must have a digit, a sign or an inner capital beside a letter, or follow a word such as "mail" or "write".
+    """
+    said, text = m[0], m.string
+    start = m.start()
+    while start and text[start - 1] in _LOCAL:
+        start -= 1
+    local = text[start : m.start()]
+    if not re.search(r"[ .][A-Za-z]{2,}$", said):
+        return said
+    sure = "@" in said or re.search(r" dot ", said, re.I)
+    marked = re.search(r"[A-Za-z]", local) and re.search(r"[0-9._%+-]|[a-z][A-Z]", local) and not local.endswith(".")
+    cued = local.lower() not in _PRONOUNS and _CUE.search(text, max(0, start - 40), start)
+    return _WORD_SEP.sub(lambda s: "@" if s[0].strip().lower() in ("at", "@") else ".", said) if sure or marked or cued else said
+
+
 def deobfuscated(text: str) -> Traced:
     """All transducers in turn."""
     t = Traced(text)
     t = t.rewrite(_GLYPH, lambda m: _glyphs[m[0]])
     t = t.rewrite(_SPELLED, _spelled)
     t = t.rewrite(_BRACKET_AT, lambda m: "@").rewrite(_BRACKET_DOT, lambda m: ".")
-    return t.rewrite(_WORD_AT_DOT, lambda m: _WORD_SEP.sub(lambda s: "@" if s[0].strip().lower() in ("at", "@") else ".", m[0]) if re.search(r" at | @ ", m[0], re.I) and re.search(r"dot| \. |\.", m[0], re.I) else m[0])
+    t = t.rewrite(_WORD_DOTS, lambda m: re.sub(" dot ", ".", m[0], flags=re.I))
+    return t.rewrite(_WORD_AT_DOT, _at_dot)
 
 
 def suspicious(text: str) -> bool:
     """Whether any transducer's own pattern matches; where none does, no transducer changes what another one sees."""
     if not text.isascii() and _GLYPH.search(text):
         return True
-    return any(p.search(text) for p in (_SPELLED, _BRACKET_AT, _BRACKET_DOT, _WORD_AT_DOT))
+    return any(p.search(text) for p in (_SPELLED, _BRACKET_AT, _BRACKET_DOT, _WORD_DOTS, _WORD_AT_DOT))
 
 
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:

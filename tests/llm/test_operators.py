@@ -544,6 +544,44 @@ def test_pii_disguise_alone(said):
         assert [s for s in found if s[0] == "email"] == [("email", 9, 9 + len(said))]
 
 
+@pytest.mark.parametrize(
+    "prose",
+    [
+        "The train leaves at 10.30 sharp", "We open at 9.15 and close at 17.30.", "It sells at price at 3.50", "look at example.com for more", "Visit us at example.com", "Contact us at example.com today",
+        "We looked at it . Then we left", "see section 4 at page 3.2", "Meet @ 10.30 or at noon dot 5", "the e.g. at example.com case", "in 2019 at example.com", "one dot at the end. of it",
+    ],
+)
+def test_prose_is_no_personal_data(prose):
+    assert pii.spans(prose) == ([], [])
+    assert pii.spans(f"{prose} and so on, [dot] it is") == ([], [])
+
+
+@pytest.mark.parametrize(("said", "kind"), [("jane.doe at example.com", "email"), ("jane7 at example.com", "email"), ("janeDoe at mail.example.org", "email"), ("jane @ example.com", "email"), ("jane at example dot com", "email"), ("192 dot 168 dot 1 dot 1", "ip")])
+def test_disguises_without_cue(said, kind):
+    for text in (said, f"so {said} it is", f"über {said}, one, two, three, four"):
+        base, found = pii.spans(text)
+        assert not base and [(k, text[a:b]) for k, a, b in found if k == kind] == [(kind, said)]
+
+
+def test_traced_offsets_are_brute_force():
+    """Source spans by rewriting one character at a time with its sources beside it."""
+    rng = random.Random(20)
+    rules = [(re.compile("ab|c"), lambda m: "XYZ"[: rng.randrange(4)]), (re.compile("[XY]+"), lambda m: m[0].lower()), (re.compile("d."), lambda m: "")]
+    for _ in range(500):
+        text = "".join(rng.choice("abcd e") for _ in range(rng.randrange(0, 30)))
+        seen, cells = pii.Traced(text), [(c, i, i + 1) for i, c in enumerate(text)]
+        for pattern, to in rules:
+            made = []
+            seen = seen.rewrite(pattern, lambda m, to=to, made=made: made.append(to(m)) or made[-1])
+            out, done = [], 0
+            for m, new in zip(list(pattern.finditer("".join(c for c, *_ in cells))), made, strict=True):
+                a, b = m.span()
+                out += cells[done:a] + (cells[a:b] if new == m[0] else [(c, cells[a][1], cells[b - 1][2]) for c in new])
+                done = b
+            cells = out + cells[done:]
+        assert (seen.text, seen.starts, seen.ends) == ("".join(c for c, *_ in cells), [a for _, a, _ in cells], [b for *_, b in cells])
+
+
 def test_pii_gate():
     """No text that the gate holds back is changed by a transducer."""
     rng = random.Random(14)
