@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import ranked_index, seeded_key
@@ -118,6 +118,20 @@ def shard_ordered(rows: DataFrame, world: int, position: str = "position") -> Da
     return rows.withColumn("shard", F.pmod(F.col(position), F.lit(world))).withColumn("place", F.floor(F.col(position) / world))
 
 
+def write_shards(rows: DataFrame, world: int, path: str, position: str = "position") -> None:
+    """shard_ordered() rows with a folder for each shard, whose files, in the order of their names, hold it in order.
+
+    Rows are dealt by ranges of shard and place, so that a shard larger than a task becomes several files.
+    """
+    out = shard_ordered(rows, world, position)
+    out.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def read_shard(spark: SparkSession, path: str, shard: int) -> DataFrame:
+    """The rows of one shard in order."""
+    return spark.read.parquet(path).filter(F.col("shard") == shard).orderBy("place")
+
+
 def preference_text(rows: DataFrame, pieces: bool = False, end: str = "") -> DataFrame:
     """Adds prompt_text, chosen_text, rejected_text of rows (prompt, chosen, rejected); rows with a null side go."""
     before, after = PIECES if pieces else ("", "")

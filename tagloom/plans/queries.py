@@ -830,6 +830,14 @@ def shard_ordered(spark, sf):
     return training.shard_ordered(_placed(spark, sf, tokens=False), 4).select("id", "shard", "place")
 
 
+@query(f"WITH {_PLACED} SELECT id, position // 4 AS place FROM cut WHERE position % 4 = 1")
+def write_shards(spark, sf):
+    """All rows written in four shards, and the second read back."""
+    path = _path(spark, "shards")
+    training.write_shards(_placed(spark, sf, tokens=False), 4, path)
+    return training.read_shard(spark, path, 1).select("id", "place")
+
+
 @query(f"""WITH {_PLACED}, r AS (SELECT *, list_reverse(CASE WHEN len(ids) > {_PROMPT} THEN ids[len(ids) - {_PROMPT - 2}:] ELSE ids END) AS rev FROM cut
 ), w AS (SELECT *, max(len(rev)) OVER (PARTITION BY position // 8) AS width FROM r)
 SELECT id, md5(array_to_string(list_concat(list_transform(range(width - len(rev)), lambda x: 2), list_reverse(rev)), ',')) AS padded, md5(array_to_string(rev, ',')) AS reversed FROM w""")

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import combos, synthesis
+from tagloom.operators import combos, synthesis, training
 from tagloom.sources import files
 
 
@@ -127,3 +127,14 @@ def test_files_that_cannot_be_read(spark, tmp_path):
     assert rows.count() == 0 and skipped.count() == 1
     rows, skipped = files.read_reported(spark, str(tmp_path / "none"))
     assert rows.count() == 0 and skipped.count() == 0
+
+
+def test_shards_keep_the_order(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("position"), F.col("id").alias("value")).repartition(5)
+    training.write_shards(rows, 3, path)
+    for shard in range(3):
+        want = [(p // 3, next(v for v in range(1000) if v * 37 % 1000 == p)) for p in range(shard, 1000, 3)]
+        assert [(r["place"], r["value"]) for r in training.read_shard(spark, path, shard).collect()] == want
+        names = sorted(glob.glob(f"{path}/shard={shard}/part-*.parquet"))
+        assert [r["place"] for n in names for r in spark.read.parquet(n).collect()] == [p for p, _ in want]
