@@ -4,11 +4,13 @@ Blocks are windows over a text's words, whatever its lines: twice as long as the
 power of two, at half their length, so that every run of the template's length lies whole in one. Tokens are ordered
 by how many documents hold them, rarest first. A block and a template can only reach the containment threshold if they
 share a token of both prefixes, at positions that leave enough tokens, and if the block is long enough; all pairs that
-pass these filters are joined on prefix tokens and checked.
+pass these filters are joined on prefix tokens and checked. Short templates have words that prose holds too: a text must
+also hold them in the template's order, with at most one other word between two.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -22,6 +24,8 @@ from .license_texts import NOTICES, STATEMENTS
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 TEMPLATES = STATEMENTS + NOTICES
 THRESHOLD = 0.9
+#: Templates of at most so many words must stand in order.
+SHORT = 16
 #: The least stride of windows.
 LEAST_STRIDE = 8
 
@@ -45,6 +49,16 @@ def stride(words: list[str]) -> int:
     return max(LEAST_STRIDE, 1 << (len(words) - 1).bit_length())
 
 
+def in_order(words: list[str], need: int) -> str | None:
+    """A pattern over words with single spaces that finds a short template: its words in order, at most one other between
+    two, without as many of them as the threshold lets be absent; None for longer templates."""
+    if len(words) > SHORT:
+        return None
+    absent = len(set(words)) - need
+    lines = (tuple(w for i, w in enumerate(words) if i not in out) for out in itertools.combinations(range(len(words)), absent))
+    return "(^| )(" + "|".join("( [^ ]+)? ".join(line) for line in dict.fromkeys(lines)) + ")( |$)"
+
+
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -79,7 +93,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every whole text.
 
     Containment is the share of a template's distinct words that a window holds; the score is the largest that reaches
-    the threshold, 1 where a phrase stands, else 0. Null and empty texts have no words; repeated rows each give a
+    the threshold, in order where the template is short, 1 where a phrase stands, else 0. Null and empty texts have no words; repeated rows each give a
     row; other columns are not read. Only texts that hold enough words of a template at all are cut into windows. The
     driver holds the counts of the templates' own words and nothing else.
     """
@@ -120,7 +134,14 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
     fits = (size >= F.col("need")) & (F.col("pos") <= size - F.col("need")) & (F.least(size - F.col("pos"), F.size("own") - F.col("at")) >= F.col("need"))
     shared = F.size(F.array_intersect("tokens", "own"))
     pairs = probes.join(known_rows, ["stride", "token"]).filter(fits).withColumn("shared", shared).filter(F.col("shared") >= F.col("need"))
-    matched = pairs.groupBy("row").agg(F.collect_set("label").alias("more"), F.max(F.col("shared") / F.size("own")).alias("share"))
+    reached = pairs.groupBy("row", "template", "label").agg(F.max(F.col("shared") / F.size("own")).alias("share"))
+    # texts that hold a short template in order, told on the text itself, where all its words are at hand
+    orders = {k: pattern for k, _, words in known if (pattern := in_order(words, need[k]))}
+    stands = [F.when(F.col("words").rlike(pattern), F.lit(k)) for k, pattern in orders.items()]
+    ordered = based.filter(F.col("words").isNotNull()).select("row", F.array_compact(F.array(*stands)).alias("ordered"))
+    short = F.col("template").isin(list(orders))
+    confirmed = reached.join(ordered, "row").filter(~short | F.array_contains("ordered", F.col("template")))
+    matched = confirmed.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     both = based.drop("words", "held").join(matched, "row", "left")
     nothing = F.array().cast("array<string>")
     return both.select(
@@ -140,13 +161,14 @@ def sql(templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES) -> s
     gap = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     low = f"translate({{}}, '{_UPPER}', '{_LOWER}')"
     words = [(template_words(t), label) for t, label in templates]
-    known = ", ".join(f"({sorted(set(w))!r}, '{label}', {math.ceil(threshold * len(set(w)) - 1e-9)}, {stride(w)})" for w, label in words)
+    needs = [math.ceil(threshold * len(set(w)) - 1e-9) for w, _ in words]
+    known = ", ".join(f"({sorted(set(w))!r}, '{label}', {n}, {stride(w)}, '{in_order(w, n) or ''}')" for (w, label), n in zip(words, needs, strict=True))
     said = ", ".join(f"('{p}', '{label}')" for p, label in phrases)
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, trim(regexp_replace({low.format("coalesce(text, '')")}, '{gap}', ' ', 'g')) AS norm FROM documents
 ), w AS (SELECT *, CASE WHEN norm = '' THEN [] ELSE string_split(norm, ' ') END AS words FROM d
-), known(tokens, label, need, stride) AS (VALUES {known}
+), known(tokens, label, need, stride, pattern) AS (VALUES {known}
 ), said(phrase, label) AS (VALUES {said}
 ), places AS (
   SELECT doc_id, s.label, i.i - 1 AS pos FROM w, said s, LATERAL (SELECT unnest(range(1, len(words) + 1)) AS i) i
@@ -154,12 +176,12 @@ WITH d AS (
 ), b AS (
   SELECT doc_id, count(*) AS n, min(pos) AS first, max(pos) AS last, list(DISTINCT label) AS found FROM places GROUP BY 1
 ), blocks AS (
-  SELECT doc_id, stride, list_distinct(words[i * stride + 1:(i + 2) * stride]) AS tokens
-  FROM (SELECT doc_id, words, stride, unnest(range(0, greatest((len(words) - 1) // stride, 0) + 1)) AS i FROM w, (SELECT DISTINCT stride FROM known))
+  SELECT doc_id, norm, stride, list_distinct(words[i * stride + 1:(i + 2) * stride]) AS tokens
+  FROM (SELECT doc_id, norm, words, stride, unnest(range(0, greatest((len(words) - 1) // stride, 0) + 1)) AS i FROM w, (SELECT DISTINCT stride FROM known))
 ), m AS (
   SELECT doc_id, list(DISTINCT label) AS more, max(shared / len(own)) AS share FROM (
-    SELECT b.doc_id, k.label, k.tokens AS own, k.need, len(list_intersect(b.tokens, k.tokens)) AS shared FROM blocks b JOIN known k USING (stride) WHERE len(b.tokens) >= k.need
-  ) WHERE shared >= need GROUP BY 1
+    SELECT b.doc_id, b.norm, k.pattern, k.label, k.tokens AS own, k.need, len(list_intersect(b.tokens, k.tokens)) AS shared FROM blocks b JOIN known k USING (stride) WHERE len(b.tokens) >= k.need
+  ) WHERE shared >= need AND (pattern = '' OR regexp_matches(norm, pattern)) GROUP BY 1
 )
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(found), ','), '') AS base_labels,

@@ -9,6 +9,13 @@ STATEMENTS = (
     ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
     ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
     ("All rights reserved. No part of this publication may be reproduced", "proprietary"),
+    ("SPDX-License-Identifier: MIT", "mit"),
+    ("SPDX-License-Identifier: Apache", "apache"),
+    ("SPDX-License-Identifier: GPL", "gpl"),
+    ("SPDX-License-Identifier: LGPL", "lgpl"),
+    ("SPDX-License-Identifier: MPL", "mpl"),
+    ("SPDX-License-Identifier: BSD", "bsd"),
+    ("SPDX-License-Identifier: ISC", "isc"),
 )
 
 NOTICES = (

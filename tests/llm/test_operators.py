@@ -444,6 +444,23 @@ def test_licenses(spark):
     assert rows[7]["first_word"] is None and rows[6]["score"] == 1.0
 
 
+def test_license_words_in_prose(spark):
+    """A short statement's words must stand in its order; a word more or, of a longer one, a word less may be."""
+    prose = [
+        "The mit team released new license data under budget.",
+        "The project is under mit and the license was released late.",
+        "Under the old license, the MIT group released nothing.",
+        "The identifier of an SPDX file names the license that MIT chose.",
+        "We licensed a work under commons rules: creative attribution of 4 or 0 international texts, this is it, license pending.",
+    ]
+    said = [("Released under the permissive MIT License", "mit"), ("/* SPDX-License-Identifier: MIT */", "mit"), ("SPDX-License-Identifier: GPL-3.0-only", "gpl"), ("Released under the\n// MIT licence, a license", "")]
+    said += [("This work was licensed under a Creative Commons Attribution 4.0 International License", "cc-by"), ("All rights reserved. No part of the publication may be reproduced", "proprietary")]
+    texts = prose + [f"Some words before. {t}. Some words after." for t, _ in said]
+    rows = {r["doc_id"]: r for r in license_scan.scan(_docs(spark, texts)).collect()}
+    assert [rows[i]["labels"] for i in range(len(texts))] == [""] * len(prose) + [label for _, label in said]
+    assert all(rows[i]["score"] == 0 for i in range(len(prose)))
+
+
 def test_wrapped_licenses(spark):
     """Notices are found across lines and comment marks, and their scattered words aren't taken for them."""
     notices = dict(zip((label for _, label in license_texts.NOTICES), (text for text, _ in license_texts.NOTICES), strict=True))
