@@ -8,6 +8,7 @@ Rules about element names, roles and class names then drop what stands on too fe
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -22,15 +23,21 @@ from .common import map_slices, written
 #: Element names of HTML by their part in a page. SKIPPED ones are parts of a line that aren't read.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("button select option svg math object canvas audio video map label datalist".split())
+SKIPPED = frozenset("button select option svg math object canvas audio video map datalist".split())
+#: Of these, elements that end where a new block begins if they were never closed.
+CONTROLS = frozenset("button select option".split())
 DROPPED = frozenset("head nav footer aside menu dialog".split())
 BLOCKS = DROPPED | frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that no class name, role or size makes a part of the frame.
 CONTENT = frozenset("html body main article".split())
 #: Words of class and id names that mark what is not the main text, words that say nothing beside them, and roles.
-MARKS = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond replies pagination pager toolbar masthead".split())
-NEUTRAL = frozenset("site page main top bottom left right list box container wrapper wrap block section area global primary secondary inner outer bar links link item items buttons icons media widget header text policy form thread posts".split())
+MARKS = frozenset("ad ads adsense adsbygoogle bio adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond reply replies pagination pager toolbar masthead".split())
+NEUTRAL = frozenset("site page main top bottom left right list box container wrapper wrap block section area global primary secondary inner outer bar links link item items buttons icons media widget header text policy form thread posts article post user author title body slot unit google law info this".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Numbers and sizes in class names, which say nothing.
+_NUMBER = re.compile(r"\d+(?:x\d+)?")
+#: The least share of links in the text of an element that a mark beside other words makes a part of the frame.
+LINK_SHARE = 0.5
 #: The least share of the text left by the rules that articles must hold to be all that counts.
 ARTICLE_SHARE = 1 / 3
 
@@ -43,7 +50,7 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 class _Element:
     name: str
     first: int
-    #: What a rule says: 2 drop, 1 drop unless it is what the page is about, 0 nothing.
+    #: What a rule says: 2 drop, 1 drop unless it is what the page is about, -1 drop if most of its text is links, 0 nothing.
     rule: int = 0
     skipped: bool = False
     article: bool = False
@@ -54,7 +61,8 @@ class _Element:
 
 
 def _marked(attributes: str, in_article: bool) -> int:
-    """The rule that attributes give: 2 for hidden elements and roles, 1 for class and id names that are marks as a whole."""
+    """The rule that attributes give: 2 for hidden elements and roles, 1 for class and id names that are marks as a whole,
+    -1 for those that are marks in part. Numbers say nothing: `ad1` and `ad_728x90` are `ad`."""
     if "=" not in attributes and "hidden" not in attributes:
         return 0
     rule = 0
@@ -64,9 +72,9 @@ def _marked(attributes: str, in_article: bool) -> int:
             return 2
         if name in ("class", "id"):
             for token in value.split():
-                words = set(re.split(r"[^a-z0-9]+", token)) - {""}
-                own = words & MARKS or (not in_article and "header" in words)
-                rule = 1 if own and words <= MARKS | NEUTRAL else rule
+                words = {_NUMBER.sub("", w) for w in re.split(r"[^a-z0-9]+", token)} - {""}
+                if words & MARKS or (not in_article and "header" in words):
+                    rule = 1 if words <= MARKS | NEUTRAL else rule or -1
     return rule
 
 
@@ -79,26 +87,37 @@ class Page:
     elements: list[_Element]
 
 
+def _lead(e: _Element, links: list[int], sizes: list[int]) -> int:
+    """The end of the blocks of links that an element begins with."""
+    return next((i for i in range(e.first, e.last) if links[i] < LINK_SHARE * sizes[i]), e.last)
+
+
 def parse(page: str) -> Page:
     """The page's blocks and elements; the work is linear in its length, however deep elements are nested.
 
     Where article or main elements hold a third of the text that rules leave, only they count. Inline elements are
     parts of a sentence and have no subtree of their own; those that are skipped or marked say nothing. A form that
-    is never closed isn't dropped.
+    is never closed isn't dropped, and of another part of the frame that is never closed only the links it begins
+    with, if it would take most of the page's text; a button ends at the next block.
     """
     blocks: list[str] = []
     inside: list[bool] = []
     elements: list[_Element] = []
     stack: list[_Element] = []
+    links: list[int] = []
     text: list[str] = []
+    linked: list[str] = []
     open_: Counter[str] = Counter()
     skipped, articles, at = 0, 0, 0
 
     def flush() -> None:
         said = " ".join("".join(text).split())
+        link = len(" ".join("".join(linked).split()))
         text.clear()
+        linked.clear()
         if said:
             blocks.append(said)
+            links.append(link)
             inside.append(articles > 0)
             if stack:
                 stack[-1].parts.append(xxhash.xxh3_64_digest(said))
@@ -122,6 +141,8 @@ def parse(page: str) -> Page:
         m = _TAG.search(page, at)
         if not skipped:
             text.append(html.unescape(page[at : m.start() if m else len(page)]))
+            if open_["a"]:
+                linked.append(text[-1])
         if m is None:
             break
         at = m.end()
@@ -131,13 +152,16 @@ def parse(page: str) -> Page:
         if name == "br":
             text.append(" ")
             continue
+        if name in BLOCKS and not closing and stack and stack[-1].name in CONTROLS:
+            while stack and stack[-1].name in CONTROLS:
+                close(closed=False)
         if name in BLOCKS and not skipped:
             flush()
         if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None) if open_[name] else None
             if depth is not None and not (name == "p" and any(e.name in ("td", "article", "div") for e in stack[depth + 1 :])):
                 while len(stack) > depth:
-                    close()
+                    close(closed=len(stack) == depth + 1)
             continue
         if name in VOID:
             continue
@@ -158,7 +182,8 @@ def parse(page: str) -> Page:
         if name in DROPPED or name == "header" and not articles:
             e.rule = 2
         elif name not in CONTENT:
-            e.rule = max(int(name in ("form", "fieldset")), _marked(m[3], articles > 0))
+            marked = _marked(m[3], articles > 0)
+            e.rule = max(1, marked) if name in ("form", "fieldset") else marked
         e.skipped = name in SKIPPED or name not in BLOCKS and e.rule > 0
         skipped += e.skipped
         articles += e.article
@@ -168,7 +193,7 @@ def parse(page: str) -> Page:
         flush()
     while stack:
         close(closed=False)
-    return Page(blocks, _kept(blocks, inside, elements), elements)
+    return Page(blocks, _kept(blocks, links, inside, elements), elements)
 
 
 def _spread(n: int, spans: list[tuple[int, int]]) -> list[bool]:
@@ -184,22 +209,23 @@ def _spread(n: int, spans: list[tuple[int, int]]) -> list[bool]:
     return out
 
 
-def _kept(blocks: list[str], inside: list[bool], elements: list[_Element]) -> list[bool]:
+def _kept(blocks: list[str], links: list[int], inside: list[bool], elements: list[_Element]) -> list[bool]:
     sizes = list(map(len, blocks))
-    gone = _spread(len(blocks), [(e.first, e.last) for e in elements if e.rule == 2])
-    before = [0]
-    for n, g in zip(sizes, gone, strict=True):
-        before.append(before[-1] + n * (not g))
-    articles = [0]
-    for g, i in zip(gone, inside, strict=True):
-        articles.append(articles[-1] + (i and not g))
+    said, linked = [0, *itertools.accumulate(sizes)], [0, *itertools.accumulate(links)]
+    # an element that is never closed would take all that follows it
+    wide = {id(e) for e in elements if e.rule == 2 and not e.closed and 2 * (said[e.last] - said[e.first]) > said[-1]}
+    gone = _spread(len(blocks), [(e.first, _lead(e, links, sizes) if id(e) in wide else e.last) for e in elements if e.rule == 2])
+    before = [0, *itertools.accumulate(n * (not g) for n, g in zip(sizes, gone, strict=True))]
+    articles = [0, *itertools.accumulate(i and not g for g, i in zip(gone, inside, strict=True))]
 
     def framing(e: _Element) -> bool:
         """Whether a marked element goes: always beside an article of its own, else unless it holds most of the text."""
         beside = articles[-1] > 0 and articles[e.first] == articles[e.last]
+        if e.rule < 0 and linked[e.last] - linked[e.first] < LINK_SHARE * (said[e.last] - said[e.first]):
+            return False
         return beside or 2 * (before[e.last] - before[e.first]) <= before[-1]
 
-    weak = [(e.first, e.last) for e in elements if e.rule == 1 and (e.closed or e.name != "form") and framing(e)]
+    weak = [(e.first, e.last) for e in elements if e.rule in (1, -1) and (e.closed or e.name != "form") and framing(e)]
     kept = [not (g or w) for g, w in zip(gone, _spread(len(blocks), weak), strict=True)]
     left = sum(n for n, k in zip(sizes, kept, strict=True) if k)
     if 0 < left <= sum(n for n, k, i in zip(sizes, kept, inside, strict=True) if k and i) / ARTICLE_SHARE:

@@ -49,10 +49,10 @@ def stride(words: list[str]) -> int:
     return max(LEAST_STRIDE, 1 << (len(words) - 1).bit_length())
 
 
-def in_order(words: list[str], need: int) -> str | None:
+def in_order(words: list[str], need: int, short: int = SHORT) -> str | None:
     """A pattern over words with single spaces that finds a short template: its words in order, at most one other between
     two, without as many of them as the threshold lets be absent; None for longer templates."""
-    if len(words) > SHORT:
+    if len(words) > short:
         return None
     absent = len(set(words)) - need
     lines = (tuple(w for i, w in enumerate(words) if i not in out) for out in itertools.combinations(range(len(words)), absent))
@@ -89,7 +89,7 @@ def base(docs: DataFrame, phrases=PHRASES) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES, short: int = SHORT) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every whole text.
 
     Containment is the share of a template's distinct words that a window holds; the score is the largest that reaches
@@ -136,11 +136,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phr
     pairs = probes.join(known_rows, ["stride", "token"]).filter(fits).withColumn("shared", shared).filter(F.col("shared") >= F.col("need"))
     reached = pairs.groupBy("row", "template", "label").agg(F.max(F.col("shared") / F.size("own")).alias("share"))
     # texts that hold a short template in order, told on the text itself, where all its words are at hand
-    orders = {k: pattern for k, _, words in known if (pattern := in_order(words, need[k]))}
-    stands = [F.when(F.col("words").rlike(pattern), F.lit(k)) for k, pattern in orders.items()]
+    orders = {k: pattern for k, _, words in known if (pattern := in_order(words, need[k], short))}
+    stands = [F.when(F.col("words").rlike(pattern), F.lit(k)) for k, pattern in orders.items()] or [F.lit(None).cast("int")]
     ordered = based.filter(F.col("words").isNotNull()).select("row", F.array_compact(F.array(*stands)).alias("ordered"))
-    short = F.col("template").isin(list(orders))
-    confirmed = reached.join(ordered, "row").filter(~short | F.array_contains("ordered", F.col("template")))
+    confirmed = reached.join(ordered, "row").filter(~F.col("template").isin(list(orders)) | F.array_contains("ordered", F.col("template")))
     matched = confirmed.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     both = based.drop("words", "held").join(matched, "row", "left")
     nothing = F.array().cast("array<string>")

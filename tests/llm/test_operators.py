@@ -476,13 +476,26 @@ def test_wrapped_licenses(spark):
 
 
 def test_license_windows_are_brute_force(spark):
-    """The filters of the join lose no window that reaches the threshold, and add none."""
+    """The filters of the join lose no window that reaches the threshold, and add none; order is told as by trying all places."""
     rng = random.Random(16)
     templates = tuple((" ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 14))), f"l{i}") for i in range(12))
     texts = [" ".join(rng.choice("abcdefghijklmnopqrstuv") for _ in range(rng.randrange(0, 60))) for _ in range(120)]
-    want = {}
+    texts += [f"{texts[i]} {' '.join(t.split()[:-1])} x {t.split()[-1]} {texts[i + 1]}" for i, (t, _) in enumerate(templates)]
+
+    def stands(words, own, absent):
+        """Whether own stands in words from the first on, with a word between at most and so many absent."""
+        if len(own) == absent:
+            return True
+        return (absent > 0 and stands(words, own[1:], absent - 1)) or (words[:1] == own[:1] and following(words[1:], own[1:], absent))
+
+    def following(words, own, absent):
+        if len(own) == absent:
+            return True
+        return (absent > 0 and following(words, own[1:], absent - 1)) or any(words[k : k + 1] == own[:1] and following(words[k + 1 :], own[1:], absent) for k in (0, 1))
+
+    want, ordered = {}, {}
     for i, text in enumerate(texts):
-        words, best, labels = text.split(), 0.0, set()
+        words, best, labels, in_order = text.split(), 0.0, set(), (0.0, set())
         for t, label in templates:
             own, n = set(t.split()), license_scan.stride(t.split())
             for a in range(0, max(len(words), 1), n):
@@ -490,9 +503,14 @@ def test_license_windows_are_brute_force(spark):
                 if shared >= 0.8 * len(own) - 1e-9:
                     labels.add(label)
                     best = max(best, shared / len(own))
+                    if any(stands(words[k:], t.split(), int(0.2 * len(own) + 1e-9)) for k in range(len(words))):
+                        in_order = max(in_order[0], shared / len(own)), in_order[1] | {label}
         want[i] = (",".join(sorted(labels)), best)
-    rows = license_scan.scan(_docs(spark, texts), templates=templates, threshold=0.8).collect()
-    assert {r["doc_id"]: (r["labels"], r["score"]) for r in rows} == want
+        ordered[i] = (",".join(sorted(in_order[1])), in_order[0])
+    for short, rows in ((0, want), (license_scan.SHORT, ordered)):
+        found = license_scan.scan(_docs(spark, texts), templates=templates, threshold=0.8, short=short).collect()
+        assert {r["doc_id"]: (r["labels"], r["score"]) for r in found} == rows
+    assert want != ordered and sum(bool(labels) for labels, _ in ordered.values()) >= len(templates) / 2
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><header>Top</header>
@@ -544,6 +562,34 @@ def test_html_rules_leave_the_text(page, more):
     assert [b for b, k in zip(found.blocks, found.kept, strict=True) if k] == ["Some real text of the page that is long enough to count.", "And more.", *more]
 
 
+_PROSE = "A sentence of the article that is longer than all that stands beside it on the page."
+
+
+@pytest.mark.parametrize(
+    "name",
+    "article-comments post-comments user-comments comments-title comment-body ad-slot ad-unit ad_728x90 google-ads adsbygoogle ad1 cookie-law-info author-bio reply-form share-this".split(),
+)
+def test_html_marks_in_articles(name):
+    found = html_extract.parse(f'<body><article><p>{_PROSE}</p><div class="{name}"><p>Not the text</p></div><p>More</p></article></body>')
+    assert [b for b, k in zip(found.blocks, found.kept, strict=True) if k] == [_PROSE, "More"]
+
+
+def test_html_evidence():
+    """Marks beside other words count where links fill the element; what is never closed takes no text with it."""
+
+    def said(page):
+        found = html_extract.parse(page)
+        return [b for b, k in zip(found.blocks, found.kept, strict=True) if k]
+
+    text = _PROSE
+    assert said(f'<body><div><p>{text}</p><div class="has-sidebar"><p>Told with <a href="/">a link</a> in it</p></div></div></body>') == [text, "Told with a link in it"]
+    assert said(f'<body><div><p>{text}</p><div class="footer-columns"><p><a href="/">Terms of use</a> | <a href="/">Help</a></p></div></div></body>') == [text]
+    assert said(f"<body><nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>About</a></li></ul><p>{text}</p><p>More</p></body>") == [text, "More"]
+    assert said(f"<body><p>{text}</p><footer><p>Imprint</p></body>") == [text]
+    assert said(f"<body><article><p>{text}</p><button>Go<p>More</p></article></body>") == [text, "More"]
+    assert said(f"<body><article><p>{text} <label>word</label> here</p></article></body>") == [f"{text} word here"]
+
+
 def test_html_teaser_and_depth():
     found = html_extract.parse(f"<body><article><p>Read on</p></article><div>{_TEXT}</div></body>")
     assert sum(found.kept) == 3
