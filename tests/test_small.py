@@ -144,3 +144,17 @@ def test_shared_folder(spark):
 
     named = spark.conf.get("spark.checkpoint.dir")
     assert shared.shared_dir(spark) == named.rstrip("/")
+
+
+@pytest.mark.parametrize("master,local", [("local", True), ("local[4]", True), ("local[*]", True), ("local-cluster[3,2,1024]", False), ("yarn", False)])
+def test_no_machine_folder_on_a_cluster(master, local):
+    from types import SimpleNamespace
+
+    from tagloom.sources import shared
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master=master))
+    if local:
+        assert shared.shared_dir(session).startswith("file://")
+    else:
+        with pytest.raises(ValueError):
+            shared.shared_dir(session)
