@@ -47,3 +47,10 @@ def test_contents_in_jobs_equal_those_at_once(spark, atomic, combos):
 def test_contents_of_no_combos(spark, atomic, combos):
     matched = synthesis.match_sources(combos.filter("false"), synthesis.tag_index(atomic))
     assert synthesis.assembled_in_jobs(matched, atomic, lambda rows: rows.select("combo_id")).collect() == []
+
+
+def test_sources_deal_combos_once(spark, atomic, combos):
+    index = synthesis.tag_index(atomic)
+    for on_missing in ("drop", "substitute"):
+        found = synthesis.match_sources(combos, index, on_missing=on_missing)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
