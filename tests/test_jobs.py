@@ -54,3 +54,18 @@ def test_sources_deal_combos_once(spark, atomic, combos):
     for on_missing in ("drop", "substitute"):
         found = synthesis.match_sources(combos, index, on_missing=on_missing)
         assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+
+
+def test_calls_are_dealt_by_job(spark, tmp_path, monkeypatch):
+    dealt = []
+
+    def spy(df, name, by=None):
+        dealt.append((name, by))
+        return kept(df, name, by)
+
+    kept = synthesis.written
+    monkeypatch.setattr(synthesis, "written", spy)
+    texts = spark.range(20).select(F.col("id").cast("string").alias("prompt"))
+    found = synthesis.stored_replies(texts, lambda t: t + "!", f"file://{tmp_path}/store", batch=4)
+    assert sorted(r["reply"] for r in found.collect()) == sorted(f"{i}!" for i in range(20))
+    assert ("calls-by-job", "_job") in dealt
