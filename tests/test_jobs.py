@@ -69,3 +69,19 @@ def test_calls_are_dealt_by_job(spark, tmp_path, monkeypatch):
     found = synthesis.stored_replies(texts, lambda t: t + "!", f"file://{tmp_path}/store", batch=4)
     assert sorted(r["reply"] for r in found.collect()) == sorted(f"{i}!" for i in range(20))
     assert ("calls-by-job", "_job") in dealt
+
+
+LABELS = [
+    "{'ability_zh': ['a', 'b']}", "{'ability_zh': ['a','b c'], 'x': None}", "{'ability_zh': ['a\tb'], 'x': True, 'y': 'z'}",
+    "{'ability_zh': ['a'], 'ability_zh': ['b']}", "{'ability_zh': ['it\\'s'], 'x': None}", "{'ability_zh': ['a\nb']}", "{'ability_zh': []}",
+    "{'ability_zh': ['a'], 'x': None}\n", "{'ability_zh': ['a', None]}", "{'ability_zh': [\"a'b\"], 'x': None}", "{'ability_zh': ['a'], 'x': none}",
+]
+
+
+def test_plain_labels_need_no_python(spark):
+    df = spark.createDataFrame(list(enumerate(LABELS)), "id int, label string")
+    plain = [r[0] for r in df.orderBy("id").select(messages.plain_tags(F.col("label"))).collect()]
+    assert [i for i, t in enumerate(plain) if t is not None] == [0, 1, 2]
+    assert all(t == ast.literal_eval(LABELS[i])["ability_zh"] for i, t in enumerate(plain) if t is not None)
+    found = {r["id"]: r["tags"] for r in messages.extract_tags(df).collect()}
+    assert found[1] == ["a", "b c"] and found[4] == ["it's"] and found[9] == ["a'b"] and 5 not in found and 10 not in found
