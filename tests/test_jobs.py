@@ -85,3 +85,17 @@ def test_plain_labels_need_no_python(spark):
     assert all(t == ast.literal_eval(LABELS[i])["ability_zh"] for i, t in enumerate(plain) if t is not None)
     found = {r["id"]: r["tags"] for r in messages.extract_tags(df).collect()}
     assert found[1] == ["a", "b c"] and found[4] == ["it's"] and found[9] == ["a'b"] and 5 not in found and 10 not in found
+
+
+def test_graph_reads_written_records(spark, monkeypatch):
+    names = []
+
+    def spy(df, name, by=None):
+        names.append(name)
+        return kept(df, name, by)
+
+    kept = fx.written
+    monkeypatch.setattr(fx, "written", spy)
+    records = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c", "c"])], "id long, tags array<string>")
+    edges, ids = fx.indexed(spark, "", records)
+    assert names[0] == "tagged-records" and edges.count() == 2 and ids.count() == 3
