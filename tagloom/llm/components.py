@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, written_and_seen
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], int(row["h"] or 0)
+def _edges(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges written, with their number and a checksum."""
+    out, seen = written_and_seen(edges, "component-edges", n=F.count("*"), h=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    return out, (seen.get("n") or 0, int(seen.get("h") or 0))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,17 +22,16 @@ def components(edges: DataFrame) -> DataFrame:
     no rows.
     """
     kept = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    now = written(kept.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges")
-    state = _state(now)
+    now, state = _edges(kept.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while state[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        before, now = now, written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "component-edges")
+        before, last = now, state
+        now, state = _edges(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         discard(before)
-        last, state = state, _state(now)
         if state == last:
             break
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("label", F.col("node"))

@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, written, written_and_seen
 
 #: Grid points to a unit of a statistic, and of its weighted difference from the median; bins to a unit of log distance.
 GRID, FINE, BINS = 1024, 128, 64
@@ -112,26 +113,30 @@ def _weighted() -> dict[str, Column]:
     return {u: F.round((F.col(z) - F.col(f"o{i}")) * weight).cast("long") for i, (u, z) in enumerate(zip(STATISTICS, RAW, strict=True))}
 
 
+def _plus(terms: Iterable[str]) -> str:
+    return " + ".join(["0.0D", *terms])
+
+
 def _estimate(sums: DataFrame, by: list[str], ridges: tuple[float, ...]) -> DataFrame:
     """Location m_i, inverse p_i_j of the scatter and log determinant, from sums.
 
     The scatter is drawn towards PRIOR as if PRIOR_ROWS rows had it, and has the squared ridges on its diagonal.
     """
-    own, all_ = F.col("n") / (F.col("n") + PRIOR_ROWS), F.col("n") + PRIOR_ROWS
-    seen = {(i, j): (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) / (FINE * FINE) for i, j in _PAIRS}
-    cov = {(i, j): v * own + (PRIOR_ROWS * PRIOR[i] ** 2 / all_ if i == j else 0.0) for (i, j), v in seen.items()}
-    out = sums.select(*by, *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(_P)), *((v + (ridges[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for (i, j), v in cov.items()))
+    seen = {(i, j): f"(q{i}{j} / n - s{i} / n * s{j} / n) / {FINE * FINE}" for i, j in _PAIRS}
+    prior = {(i, j): f"{PRIOR_ROWS * PRIOR[i] ** 2!r}D / (n + {PRIOR_ROWS}) + {ridges[i] ** 2!r}D" if i == j else "0.0D" for i, j in _PAIRS}
+    steps = {f"c{i}{j}": f"{v} * (n / (n + {PRIOR_ROWS})) + {prior[i, j]}" for (i, j), v in seen.items()}
     for j in range(_P):
-        root = F.sqrt(F.greatest(F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0)), F.lit(ridges[j] ** 2 / 4)))
-        out = out.withColumn(f"l{j}{j}", root)
+        steps[f"l{j}{j}"] = f"sqrt(greatest(c{j}{j} - ({_plus(f'l{j}{k} * l{j}{k}' for k in range(j))}), {ridges[j] ** 2 / 4!r}D))"
         for i in range(j + 1, _P):
-            out = out.withColumn(f"l{i}{j}", (F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}"))
+            steps[f"l{i}{j}"] = f"(c{i}{j} - ({_plus(f'l{i}{k} * l{j}{k}' for k in range(j))})) / l{j}{j}"
     for j in range(_P):
-        out = out.withColumn(f"a{j}{j}", 1.0 / F.col(f"l{j}{j}"))
+        steps[f"a{j}{j}"] = f"1.0D / l{j}{j}"
         for i in range(j + 1, _P):
-            out = out.withColumn(f"a{i}{j}", -sum((F.col(f"l{i}{k}") * F.col(f"a{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}"))
-    inverse = (sum((F.col(f"a{k}{i}") * F.col(f"a{k}{j}") for k in range(i, _P)), F.lit(0.0)).alias(f"p{i}{j}") for i, j in _PAIRS)
-    log_det = sum((2.0 * F.log(f"l{i}{i}") for i in range(_P)), F.lit(0.0)).alias("log_det")
+            steps[f"a{i}{j}"] = f"-({_plus(f'l{i}{k} * a{k}{j}' for k in range(j, i))}) / l{i}{i}"
+    # in one select a step may refer to those before it; as text, because each operation on columns costs the driver a call and a stack trace, every turn
+    out = sums.select(*by, *(F.expr(f"s{i} / n").alias(f"m{i}") for i in range(_P)), *(F.expr(v).alias(k) for k, v in steps.items()))
+    inverse = (F.expr(_plus(f"a{k}{i} * a{k}{j}" for k in range(i, _P))).alias(f"p{i}{j}") for i, j in _PAIRS)
+    log_det = F.expr(_plus(f"2.0D * ln(l{i}{i})" for i in range(_P))).alias("log_det")
     return out.select(*(F.col(c).alias(f"_{c}") for c in by), *(f"m{i}" for i in range(_P)), *inverse, log_det)
 
 
@@ -147,15 +152,15 @@ def _with(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
 
 def _distances(rows: DataFrame, estimate: DataFrame, by: list[str]) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance from the row's group estimate, and keeps the estimate's start and scale if it has them."""
-    u = [(F.col(f"u{i}") - F.col(f"m{i}")) / FINE for i in range(_P)]
-    d2 = sum(((1.0 if i == j else 2.0) * F.col(f"p{i}{j}") * u[i] * u[j] for i, j in _PAIRS), F.lit(0.0))
+    u = [f"((u{i} - m{i}) / {FINE})" for i in range(_P)]
+    d2 = F.expr(_plus(f"{1.0 if i == j else 2.0}D * p{i}{j} * {u[i]} * {u[j]}" for i, j in _PAIRS))
     joined = rows.join(estimate, _same(by), "left")
     return joined.withColumn("d2", F.when(F.col("m0").isNotNull(), F.greatest(d2, F.lit(0.0)))).drop(*(c for c in estimate.columns if c not in ("start", "scale")))
 
 
 def _sums() -> list[Column]:
     first = [F.sum(f"u{i}").alias(f"s{i}") for i in range(_P)]
-    return [F.count("*").alias("n"), *first, *(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"q{i}{j}") for i, j in _PAIRS)]
+    return [F.count("*").alias("n"), *first, *(F.expr(f"sum(u{i} * u{j})").alias(f"q{i}{j}") for i, j in _PAIRS)]
 
 
 def _below(binned: DataFrame, by: list[str], share: float) -> DataFrame:
@@ -171,8 +176,7 @@ def _nearest(binned: DataFrame, by: list[str], share: float) -> DataFrame:
 
     Whole bins add up as whole numbers and the last is one row, so that the order of rows changes nothing.
     """
-    whole = F.col("part") >= 1.0
-    total = lambda c: F.coalesce(F.sum(F.when(whole, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(~whole, F.col("part") * F.col(c))), F.lit(0.0))
+    total = lambda c: F.expr(f"coalesce(sum(CASE WHEN part >= 1 THEN {c} END), 0) + coalesce(max(CASE WHEN part < 1 THEN part * {c} END), 0.0D)")
     names = ["n", *(f"s{i}" for i in range(_P)), *(f"q{i}{j}" for i, j in _PAIRS)]
     return _below(binned, by, share).groupBy(*by).agg(*(total(c).alias(c) for c in names))
 
@@ -195,21 +199,26 @@ def _starts(usable: DataFrame, by: list[str]) -> DataFrame:
 def concentrated(usable: DataFrame, by: list[str], share: float, ridges: tuple[float, ...]) -> DataFrame:
     """The estimate of each group, of all starts the one that ends with the least determinant.
 
-    A turn is kept where it lowers the log determinant of a start by more than TOLERANCE, and turns end when none
-    does; as the ridges bound determinants from below, they do end. Each turn reads and writes tables, so that plans
-    don't grow with the turns.
+    A turn is kept where it lowers the log determinant of a start by more than TOLERANCE; a start that a turn doesn't
+    lower takes no further part, as it would only meet the same estimate again, and turns end when none is left. As the
+    ridges bound determinants from below, they do end. Each turn is one query that reads and writes tables, so that
+    neither plans nor what the driver keeps of them grow with the turns.
     """
     keys = [*by, "start"]
     first = _estimate(_starts(usable, by), keys, ridges).withColumn("log_det", F.lit(float("inf"))).withColumn("fell", F.lit(True))
     estimate = written(first, "mcd-estimate")
+    left = None
     values = [c for c in estimate.columns if c not in {"fell", *(f"_{c}" for c in keys)}]
-    while estimate.filter("fell").limit(1).count():
-        now = estimate.withColumnRenamed("_start", "start")
+    while left != 0:
+        now = estimate.filter("fell").withColumnRenamed("_start", "start")
         binned = _distances(usable, now, by).filter(F.col("d2").isNotNull()).groupBy(*keys, _bin().alias("bin")).agg(*_sums())
         after = _estimate(_nearest(binned, keys, share), keys, ridges).select(*(F.col(f"_{c}").alias(c) for c in keys), F.struct(*values).alias("after"))
         fell = F.coalesce(F.col("after.log_det") < F.col("log_det") - TOLERANCE, F.lit(False))
-        both = after.join(estimate.drop("fell"), _same(keys))
-        before, estimate = estimate, written(both.select(*(f"_{c}" for c in keys), *(F.when(fell, F.col(f"after.{c}")).otherwise(F.col(c)).alias(c) for c in values), fell.alias("fell")), "mcd-estimate")
+        both = estimate.drop("fell").join(after, _same(keys), "left")
+        turned = both.select(*(f"_{c}" for c in keys), *(F.when(fell, F.col(f"after.{c}")).otherwise(F.col(c)).alias(c) for c in values), fell.alias("fell"))
+        before = estimate
+        estimate, seen = written_and_seen(turned, "mcd-estimate", left=F.count_if("fell"))
+        left = seen.get("left") or 0
         discard(before)
     least = F.row_number().over(Window.partitionBy(*(f"_{c}" for c in by)).orderBy(F.round("log_det", 9), "_start"))
     return estimate.withColumn("least", least).filter(F.col("least") == 1).drop("least", "fell", "_start")

@@ -1,0 +1,32 @@
+"""Loops of written tables: the driver runs the queries that write and no others, and learns from them when to stop."""
+
+from pyspark.sql import functions as F
+
+from tagloom.llm import components, quality
+
+
+def _no_reads(spark, monkeypatch):
+    def read(*_, **__):
+        raise AssertionError("a query of its own to see whether a loop goes on")
+
+    for name in ("count", "first", "collect", "take", "head", "isEmpty"):
+        monkeypatch.setattr(type(spark.range(0)), name, read)
+
+
+def test_components_write_only(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (5, 5), (4, None)], "a long, b long")
+    with monkeypatch.context() as inside:
+        _no_reads(spark, inside)
+        found, none = components.components(edges), components.components(edges.filter("false"))
+    assert sorted(found.collect()) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)]
+    assert none.count() == 0
+
+
+def test_turns_write_only(spark, monkeypatch):
+    u = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(400)).cast("long").alias(f"u{i}") for i in range(3)]
+    rows = spark.range(400).select((F.col("id") % 2).alias("g"), *u)
+    with monkeypatch.context() as inside:
+        _no_reads(spark, inside)
+        found, none = (quality.concentrated(r, ["g"], 0.75, quality.RIDGES) for r in (rows, rows.filter("false")))
+    assert sorted(r["_g"] for r in found.collect()) == [0, 1]
+    assert none.count() == 0
