@@ -111,3 +111,8 @@ def _plans(spark, name):
 
 def test_stored_replies_need_contents_once(spark):
     assert len(_plans(spark, "generate_stored")) == 1
+
+
+def test_texts_are_neither_grouped_nor_sent_back(spark):
+    plans = _plans(spark, "generate_stub")
+    assert plans and not any("collect_list" in p or "MapInPandas" in p for p in plans)
