@@ -1,13 +1,16 @@
 """Replies in jobs: contents are assembled once, as text that goes to the caller's function and no further."""
 
+import ast
 import hashlib
 import itertools
+import json
 import os
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.functions import messages
 from tagloom.operators import synthesis
 from tagloom.plans import queries as registered
 
@@ -116,3 +119,21 @@ def test_stored_replies_need_contents_once(spark):
 def test_texts_are_neither_grouped_nor_sent_back(spark):
     plans = _plans(spark, "generate_stub")
     assert plans and not any("collect_list" in p or "MapInPandas" in p for p in plans)
+
+
+def test_plain_replies_need_no_python(spark):
+    def said(*texts):
+        return repr([{"role": "user", "content": t} for t in texts])
+
+    plain = [said("a"), said("ä 漢 😀", "b\n\tc\\n", "\\"), said("")]
+    others = ["[\\n{'role': 'user', 'content': 'a'}]", "[{'role': 'user', 'content': 'a\\x41'}]", "[{'ro\\nle': 'user', 'content': 'a'}]", "[{'role':'user', 'content': 'a'}]", "[{'role': 'user', 'content': 'a', }]",
+              "[]", "", "no", said("x\x7f"), said("it's"), said('"'), said("a\0"), said("\x1f"), "[{'role': 'user', 'content': 'a\nb'}]", "[{'role': 'user', 'content': 'a'}]x", "[{'role': 'a', 'content': 'b', 'role': 'c'}]", said("y" * 30_000), "[{'role': 'user', 'content': 'a\\'}]", None]
+    df = spark.createDataFrame(list(enumerate(plain + others)), "id int, reply string")
+    found = {r["id"]: r for r in messages.parse_reply(df.withColumn("told", messages.plain_messages(F.col("reply")))).collect()}
+    for i, text in enumerate(plain + others):
+        try:
+            want = json.dumps(ast.literal_eval(text), ensure_ascii=False)
+        except (ValueError, SyntaxError, TypeError):
+            want = None
+        assert (found[i]["told"] is not None) == (i < len(plain)) and found[i]["parsed"] == (want is not None)
+        assert found[i]["content"] == want or want is None
